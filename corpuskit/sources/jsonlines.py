@@ -9,7 +9,6 @@ def _reject(name: str):
     raise ValueError(f"{name} is no JSON value")
 
 
-
 def json_object(line: str | None) -> dict | None:
     """The JSON object in ``line``, or None when the line holds anything else.
 
@@ -19,7 +18,7 @@ def json_object(line: str | None) -> dict | None:
     if line is None:
         return None
     try:
-        value = _NUMBERS.decode(line)
+        value = json.loads(line, parse_constant=_reject, parse_int=Number, parse_float=Number)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -29,6 +28,3 @@ class Number(str):
     """A JSON number as it is spelt."""
 
     __slots__ = ()
-
-
-_NUMBERS = json.JSONDecoder(parse_constant=_reject, parse_int=Number, parse_float=Number)
