@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuskit.llm import families as fam
 from corpuskit.llm import records as rec
-from corpuskit.llm import sampling, splitting
+from corpuskit.llm import leaks, mixing, overlap, sampling, splitting
 from corpuskit.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,16 @@ def p3_report(chunks: DataFrame, manifest: DataFrame, targets: DataFrame) -> Dat
     return fam.split_report(fam.assign_splits(fam.families(chunks, manifest), targets), targets)
 
 
+@_tables("chat_examples", "dataset_manifest")
+def p4_found(examples: DataFrame, manifest: DataFrame) -> DataFrame:
+    return overlap.CrossSplitOverlaps(examples, manifest).found()
+
+
+@_tables("chat_examples", "dataset_manifest")
+def p4_report(examples: DataFrame, manifest: DataFrame) -> DataFrame:
+    return overlap.CrossSplitOverlaps(examples, manifest).report()
+
+
 @_tables("raw_records", "dataset_manifest")
 def p5_found(records: DataFrame, manifest: DataFrame) -> DataFrame:
     return rec.RecordClasses(records, manifest).members()
@@ -75,5 +85,35 @@ def p5_records(records: DataFrame, manifest: DataFrame) -> DataFrame:
     return rec.RecordClasses(records, manifest).collapsed()
 
 
+@_tables("documents", "eval_items")
+def p6_found(documents: DataFrame, items: DataFrame) -> DataFrame:
+    return leaks.leaked(leaks.leaks(documents, items))
+
+
+@_tables("documents", "eval_items")
+def p6_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    return leaks.leaks(documents, items)
+
+
+@_tables("documents", "eval_items")
+def p6_report(documents: DataFrame, items: DataFrame) -> DataFrame:
+    return leaks.leak_report(leaks.leaks(documents, items), items)
+
+
+@_tables("documents", "mixture_targets")
+def p7_found(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    return mixing.Mixture(documents, targets).short()
+
+
+@_tables("documents", "mixture_targets")
+def p7_mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    return mixing.Mixture(documents, targets).mixed()
+
+
+@_tables("documents", "mixture_targets")
+def p7_shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    return mixing.Mixture(documents, targets).shares()
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
