@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuskit.llm import families as fam
 from corpuskit.llm import records as rec
-from corpuskit.llm import leaks, mixing, overlap, sampling, splitting
+from corpuskit.llm import leaks, mixing, overlap, sampling, splitting, toxicity
 from corpuskit.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,5 +115,22 @@ def p7_shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return mixing.Mixture(documents, targets).shares()
 
 
+@_tables("documents", "doc_labels")
+def p8_found(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    model = toxicity.fit(documents, labels)
+    return toxicity.flagged(toxicity.score(documents, model), model)
+
+
+@_tables("documents", "doc_labels")
+def p8_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    return toxicity.score(documents, toxicity.fit(documents, labels))
+
+
+@_tables("documents", "doc_labels")
+def p8_rates(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    model = toxicity.fit(documents, labels)
+    return toxicity.rates(toxicity.score(documents, model), model)
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
