@@ -8,20 +8,20 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpuskit.functions import pyjson
+from corpuskit.functions import pyjson, types as Y
 
 
 def _each(fn, texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fn(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(Y.STRING)
 def canonical_json(texts: pd.Series) -> pd.Series:
     """JSON with sorted keys and without white space; null for no JSON."""
     return _each(lambda t: pyjson.canonical(pyjson.load(t)) if pyjson.load(t) is not pyjson.BROKEN else None, texts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(Y.STRING)
 def tool_call_text(names: pd.Series, arguments: pd.Series) -> pd.Series:
     """A tool call as an assistant writes it: the name first, then the arguments with sorted keys."""
     out = []
@@ -31,14 +31,14 @@ def tool_call_text(names: pd.Series, arguments: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("struct<result:double,error:string>")
+@F.pandas_udf(Y.struct(result=Y.DOUBLE, error=Y.STRING))
 def calculate(texts: pd.Series) -> pd.DataFrame:
     """The value of an arithmetic expression (+ - * / // % ** and brackets, at most 200 characters) or why it has none."""
     rows = [pyjson.calculate(t) if t is not None else (None, None) for t in texts]
     return pd.DataFrame({"result": pd.Series([r for r, _ in rows], dtype="float64"), "error": pd.Series([e for _, e in rows], dtype=object)})
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(Y.LONG)
 def safe_eval(texts: pd.Series) -> pd.Series:
     """The value of an integer expression of + - * (at most 60 characters); null for anything else."""
     return pd.Series([pyjson.integer_value(t) if t is not None else None for t in texts], dtype="Int64")
@@ -48,21 +48,21 @@ def schema_errors(schema: dict):
     """An Arrow function from JSON texts to the list of what is wrong under ``schema``; null texts give null."""
     pyjson.check_schema(schema)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(Y.STRINGS)
     def errors(texts: pd.Series) -> pd.Series:
         return _each(lambda t: pyjson.schema_errors(pyjson.load(t), schema), texts)
 
     return errors
 
 
-@F.pandas_udf("struct<text:string,valid:boolean,repaired:boolean>")
+@F.pandas_udf(Y.struct(text=Y.STRING, valid=Y.BOOL, repaired=Y.BOOL))
 def repair_json(texts: pd.Series) -> pd.DataFrame:
     """The text made parseable where dropping trailing commas and closing brackets does it."""
     rows = [pyjson.repaired(t) if t is not None else (None, None, None) for t in texts]
     return pd.DataFrame({"text": pd.Series([r[0] for r in rows], dtype=object), "valid": pd.Series([r[1] for r in rows], dtype="boolean"), "repaired": pd.Series([r[2] for r in rows], dtype="boolean")})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(Y.STRING)
 def json_prefix_state(texts: pd.Series) -> pd.Series:
     """complete, extendable or broken: what a text is as the beginning of JSON."""
     return _each(pyjson.prefix_state, texts)
@@ -74,7 +74,7 @@ def parse_tool_call(tools: dict[str, dict[str, str]]):
     ``tools``: per tool, the type (str, int, float, bool) of each argument; a call has exactly these arguments.
     """
 
-    @F.pandas_udf("struct<status:string,why:string,name:string,arguments:string>")
+    @F.pandas_udf(Y.struct(status=Y.STRING, why=Y.STRING, name=Y.STRING, arguments=Y.STRING))
     def parse(texts: pd.Series) -> pd.DataFrame:
         rows = [pyjson.tool_call(t, tools) if t is not None else (None,) * 4 for t in texts]
         return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(("status", "why", "name", "arguments"))})
@@ -82,7 +82,7 @@ def parse_tool_call(tools: dict[str, dict[str, str]]):
     return parse
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(Y.STRINGS)
 def example_errors(texts: pd.Series) -> pd.Series:
     """What is wrong with a supervised example (id, messages, tools, target) given as JSON; empty when it is valid."""
     return _each(lambda t: pyjson.example_errors(pyjson.load(t)), texts)

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from corpuskit.functions import types as Y
 from corpuskit.functions.pytext import MARKS, SIGNS
 
 #: White space as Python sees it: Unicode white space and the four separators at \x1c.
@@ -21,7 +22,7 @@ STOP_WORDS = (
 WORD_MARKS = ".,!?;:\"'()[]{}“”‘’…-"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(Y.STRING)
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpuskit.functions import types as Y
+
 _AFTER_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -55,7 +57,7 @@ def chunk_paragraphs(paragraphs: Column, chunk_chars: int | Column) -> Column:
     if isinstance(chunk_chars, int) and chunk_chars < 16:
         raise ValueError("chunk_chars must be at least 16")
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(Y.STRINGS)
     def pack(docs: pd.Series, limits: pd.Series) -> pd.Series:
         return pd.Series([None if d is None else pack_paragraphs(list(d), max(16, int(n))) for d, n in zip(docs, limits, strict=True)], dtype=object)
 

@@ -53,8 +53,8 @@ def paragraph_dedup(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id"
 def coefficients(seed: int, num_perm: int) -> tuple[list[int], list[int]]:
     """The multipliers and shifts of the permutations."""
     rng = np.random.default_rng(np.random.SeedSequence([seed, 0x5EED]))
-    a = rng.integers(1, 2**31 - 1, size=num_perm, dtype=np.int64)
-    return a.tolist(), rng.integers(0, 2**31 - 1, size=num_perm, dtype=np.int64).tolist()
+    a, b = (rng.integers(least, 2**31, size=num_perm, dtype=np.uint64) for least in (1, 0))
+    return a.tolist(), b.tolist()
 
 
 def minhash(text: Column, num_perm: int = 64, shingle: int = 5, seed: int = 0) -> Column:
