@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from corpuskit.functions import types as Y
+from corpuskit.functions.binding import let
 from corpuskit.functions.pytext import MARKS, SIGNS
 
 #: White space as Python sees it: Unicode white space and the four separators at \x1c.
@@ -44,7 +45,10 @@ def squash(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text, white space apart; none of a blank text."""
-    clean = squash(text)
+    return let(squash(text), _words)
+
+
+def _words(clean: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
 
 
@@ -60,13 +64,17 @@ def normalize_text(text: Column) -> Column:
 
 def grams(items: Column, n: int, sep: str = " ") -> Column:
     """All runs of ``n`` neighbours of an array of strings, joined; none when there are fewer than ``n``."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(items) - (n - 1)), lambda i: F.array_join(F.slice(items, i, n), sep))
-    return F.when(F.size(items) >= n, runs).otherwise(F.array().cast("array<string>"))
 
+    def runs(w: Column) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), sep))
+        return F.when(F.size(w) >= n, all_).otherwise(F.array().cast("array<string>"))
+
+    return let(items, runs)
 
-def ngrams(text: Column, n: int) -> Column:
-    """The set of word n-grams of the normalised text."""
-    return F.array_distinct(grams(words(normalize_text(text)), n))
+
+def ngrams(plain: Column, n: int) -> Column:
+    """The set of word n-grams of a normalised text (a column of its own: no Arrow function may stand in a lambda)."""
+    return F.array_distinct(grams(words(plain), n))
 
 
 def plain_words(text: Column) -> Column:
@@ -80,7 +88,10 @@ def plain_text(text: Column) -> Column:
 
 def shingles(text: Column, size: int = 3) -> Column:
     """The set of word shingles of the plain text; a shorter text is one shingle, one without words has none."""
-    w = plain_words(text)
+    return let(plain_words(text), lambda w: _shingles(w, size))
+
+
+def _shingles(w: Column, size: int) -> Column:
     return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(grams(w, size)))
 
 
@@ -91,15 +102,21 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def repetition(text: Column, n: int = 6) -> Column:
     """The share of character n-grams that repeat an earlier one; 0 for texts below n + 6 characters."""
-    t = strip(text)
-    runs = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(F.length(t) < n + 6, F.lit(0.0)).otherwise(1.0 - F.size(F.array_distinct(runs)) / F.size(runs))
+
+    def share(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) < n + 6, F.lit(0.0)).otherwise(let(runs, lambda r: 1.0 - F.size(F.array_distinct(r)) / F.size(r)))
+
+    return let(strip(text), share)
 
 
 def distinct_n(items: Column, n: int) -> Column:
     """Distinct n-grams by all n-grams; with fewer than n items 1 if there is any and else 0."""
-    g = grams(items, n, "\x1f")
-    return F.when(F.size(items) < n, F.when(F.size(items) > 0, F.lit(1.0)).otherwise(0.0)).otherwise(F.try_divide(F.size(F.array_distinct(g)).cast("double"), F.size(g)))
+
+    def share(w: Column) -> Column:
+        return F.when(F.size(w) < n, F.when(F.size(w) > 0, F.lit(1.0)).otherwise(0.0)).otherwise(let(grams(w, n, "\x1f"), lambda g: F.size(F.array_distinct(g)).cast("double") / F.size(g)))
+
+    return let(items, share)
 
 
 def record_id(source: Column, text: Column) -> Column:
@@ -148,8 +165,7 @@ def split_sentences(text: Column) -> Column:
 
 def ranking_terms(text: Column) -> Column:
     """Plain words without stop words, repeats kept."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(plain_words(text), lambda w: ~F.array_contains(stop, w))
+    return F.filter(plain_words(text), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def paragraphs(text: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from corpuskit.functions.binding import let
+
 
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
@@ -24,8 +26,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits).cast("double")))
-    return F.transform(e, lambda x: x / total(e))
+    powers = let(F.array_max(logits).cast("double"), lambda top: F.transform(logits, lambda x: F.exp(x.cast("double") - top)))
+    return let(powers, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def apply_temperature(logits: Column, temperature: float) -> Column:
@@ -35,22 +37,29 @@ def apply_temperature(logits: Column, temperature: float) -> Column:
 
 
 def _renormalised(a: Column) -> Column:
-    s = total(a)
-    return F.when(s > 0, F.transform(a, lambda x: x / s)).otherwise(a)
+    return let(a, lambda v: let(total(v), lambda s: F.when(s > 0, F.transform(v, lambda x: x / s)).otherwise(v)))
 
 
 def top_k_filter(probs: Column, k: int) -> Column:
     """Zero below the k-th largest probability (ties with it stay), then renormalise."""
     if k <= 0:
         raise ValueError("k must be positive")
-    least = F.get(F.sort_array(probs, asc=False), F.lit(k - 1))
-    return F.when(F.size(probs) <= k, probs).otherwise(_renormalised(F.transform(probs, lambda p: F.when(p >= least, p).otherwise(0.0))))
+
+    def cut(v: Column) -> Column:
+        rest = let(F.get(F.sort_array(v, asc=False), F.lit(k - 1)), lambda least: F.transform(v, lambda p: F.when(p >= least, p).otherwise(0.0)))
+        return F.when(F.size(v) <= k, v).otherwise(_renormalised(rest))
+
+    return let(probs, cut)
 
 
 def top_p_filter(probs: Column, p: float) -> Column:
     """The smallest set of largest probabilities with a sum of at least ``p`` (earlier places first among equals)."""
     if not 0 < p <= 1:
         raise ValueError("p must be in (0, 1]")
+    return let(probs, lambda v: _nucleus(v, p))
+
+
+def _nucleus(probs: Column, p: float) -> Column:
     ranked = F.array_sort(F.transform(probs, lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
     kept = F.aggregate(
         ranked,
@@ -58,7 +67,7 @@ def top_p_filter(probs: Column, p: float) -> Column:
         lambda s, e: F.when(s["sum"] < p, F.struct((s["sum"] - e["x"]).alias("sum"), F.concat(s["at"], F.array(e["i"])).alias("at"))).otherwise(s),
         lambda s: s["at"],
     )
-    return _renormalised(F.transform(probs, lambda x, i: F.when(F.array_contains(kept, i), x).otherwise(0.0)))
+    return _renormalised(let(kept, lambda at: F.transform(probs, lambda x, i: F.when(F.array_contains(at, i), x).otherwise(0.0))))
 
 
 def argmax(values: Column) -> Column:
@@ -68,7 +77,10 @@ def argmax(values: Column) -> Column:
 
 def pick(probs: Column, uniform: Column) -> Column:
     """The place (from 0) where the running sum reaches ``uniform`` times the whole; null without positive mass."""
-    target = uniform * total(probs)
+    return let(probs, lambda v: let(uniform * total(v), lambda target: _reach(v, target)))
+
+
+def _reach(probs: Column, target: Column) -> Column:
     found = F.aggregate(
         probs,
         F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i")),
@@ -112,9 +124,12 @@ def _scale(row: Column, most: int) -> Column:
 
 def quantize(row: Column, most: int = 127) -> Column:
     """scale (float) and values (tinyint) of a row: half to even, within ±most; 127 for int8, 7 for int4."""
-    scale = _scale(row, most)
-    q = F.transform(row, lambda x: F.least(F.greatest(F.rint((x.cast("float") / scale).cast("float").cast("double")), F.lit(-float(most))), F.lit(float(most))).cast("tinyint"))
-    return F.struct(scale.alias("scale"), q.alias("values"))
+
+    def scaled(scale: Column) -> Column:
+        q = F.transform(row, lambda x: F.least(F.greatest(F.rint((x.cast("float") / scale).cast("float").cast("double")), F.lit(-float(most))), F.lit(float(most))).cast("tinyint"))
+        return F.struct(scale.alias("scale"), q.alias("values"))
+
+    return let(_scale(row, most), scaled)
 
 
 def dequantize(q: Column) -> Column:

@@ -11,13 +11,10 @@ class ContaminationError(RuntimeError):
     """Evaluation data occurs in training data."""
 
 
-def gram_hashes(text: Column, n: int) -> Column:
-    return F.transform(T.ngrams(text, n), lambda g: F.xxhash64(g, F.lit(n)))
-
-
 def eval_ngrams(texts: DataFrame, n: int = 8) -> DataFrame:
     """gram: the distinct word n-grams of the evaluation texts (column text)."""
-    return texts.select(F.explode(T.ngrams(F.col("text"), n)).alias("gram")).distinct()
+    plain = texts.select(T.normalize_text(F.col("text")).alias("plain"))
+    return plain.select(F.explode(T.ngrams(F.col("plain"), n)).alias("gram")).distinct()
 
 
 def contaminated(texts: DataFrame, grams: DataFrame, n: int = 8, id_col: str = "id") -> DataFrame:
@@ -25,7 +22,8 @@ def contaminated(texts: DataFrame, grams: DataFrame, n: int = 8, id_col: str = "
 
     Grams are exploded as texts and matched by a semi-join; the evaluation side is broadcast by Spark when it is small.
     """
-    own = texts.select(id_col, F.explode(T.ngrams(F.col("text"), n)).alias("gram"))
+    plain = texts.select(id_col, T.normalize_text(F.col("text")).alias("plain"))
+    own = plain.select(id_col, F.explode(T.ngrams(F.col("plain"), n)).alias("gram"))
     return own.join(grams, "gram", "left_semi").select(id_col).distinct()
 
 
