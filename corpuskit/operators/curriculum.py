@@ -7,10 +7,10 @@ Values whose hash falls into the held-out fifth appear in evaluation splits only
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuskit.functions import text as T
 from corpuskit.operators.dedup import first_wins
 
 WORDS = {
@@ -101,6 +101,11 @@ GENERATORS = [
 BY_NAME = {g.name: g for g in GENERATORS}
 
 
+def in_heldout(salt: str, value: object, mod: int = 5) -> bool:
+    """The rule of functions.text.heldout for one value on the driver (pools are short literal lists)."""
+    return int(sha256(f"{salt}:{value}".encode()).hexdigest()[:8], 16) % mod == 0
+
+
 def _draw(seed: int, split: str, name: str, slot: str, n: Column) -> Column:
     """A number from 0 to n - 1 by a hash of the row."""
     return F.pmod(F.xxhash64(F.lit(f"{seed}:{split}:{name}:{slot}"), F.col("row")), n)
@@ -115,9 +120,9 @@ def generate(spark: SparkSession, name: str, n: int, split: str = "train", seed:
     g = BY_NAME[name]
     slots: dict[str, Column] = {}
     for s in ("a", "b", "c"):
-        pool = F.filter(F.sequence(F.lit(g.low), F.lit(g.high)), lambda v, s=s: T.heldout(f"{name}:{s}", v) == F.lit(split != "train"))
-        pool = F.when(F.size(pool) > 0, pool).otherwise(F.sequence(F.lit(g.low), F.lit(g.high)))
-        slots[s] = F.get(pool, _draw(seed, split, name, s, F.size(pool)).cast("int"))
+        span = range(g.low, g.high + 1)
+        pool = [v for v in span if in_heldout(f"{name}:{s}", v) == (split != "train")] or list(span)
+        slots[s] = F.get(F.array(*map(F.lit, pool)), _draw(seed, split, name, s, F.lit(len(pool))).cast("int"))
     for s, words in WORDS.items():
         slots[s] = F.get(F.array(*map(F.lit, words)), _draw(seed, split, name, s, F.lit(len(words))).cast("int"))
     rows = spark.range(60 * n).withColumnRenamed("id", "row").select("row", *[c.alias(s) for s, c in slots.items()])
