@@ -12,7 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpuskit.session import Workspace
 
@@ -83,18 +85,15 @@ def pack_rows(df: DataFrame, max_len: int, length: str, *order: str) -> DataFram
     starts = tables.repartition(1).sortWithinPartitions("_block").mapInArrow(chain, "_block int, _state int, _row bigint")
     keys = [c for c in order]
     entered = inside.select("_block", "_len", *keys).join(F.broadcast(starts), "_block").repartition("_block").sortWithinPartitions("_block", *order)
-    schema = entered.select(*keys).schema
+    schema = StructType([*entered.select(*keys).schema.fields, StructField("row_no", LongType())])
+    kinds = to_arrow_schema(schema)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cols in _runs(batches, ["_len", "_state", "_row", *keys]):
             opened, _ = next_fit(np.array(cols["_len"], np.int64), max_len, cols["_state"][0])
-            yield pa.RecordBatch.from_arrays([*(pa.array(cols[k]) for k in keys), pa.array(cols["_row"][0] + opened - 1)], names=[*keys, "row_no"])
-
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    numbered = entered.select("_block", "_len", "_state", "_row", *keys).mapInArrow(number, StructType([*schema.fields, StructField("row_no", LongType())]))
-    from pyspark.sql import Window
+            yield pa.RecordBatch.from_arrays([*(pa.array(cols[k], kinds.field(k).type) for k in keys), pa.array(cols["_row"][0] + opened - 1)], schema=kinds)
 
+    numbered = entered.select("_block", "_len", "_state", "_row", *keys).mapInArrow(number, schema)
     numbered = numbered.withColumn("segment_no", F.row_number().over(Window.partitionBy("row_no").orderBy(*order)))
     return blocks.drop("_block", "_len").join(numbered, keys)
 

@@ -167,7 +167,7 @@ def documents(spark: SparkSession, path: str | list[str], fmt: str, text_field:
     """
     paths = [path] if isinstance(path, str) else path
     if fmt == "text":
-        whole = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("shard"), "value")
+        whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("shard"), "value")
         blocks = F.transform(F.split("value", r"\n(?:(?U)[\s\x1c-\x1f])*\n", -1), T.squash_lines)
         return whole.select("shard", F.lit(0).cast("bigint").alias("doc_index"), F.filter(blocks, lambda p: p != "").alias("paragraphs"))
     if fmt != "jsonl":
@@ -186,7 +186,7 @@ def documents(spark: SparkSession, path: str | list[str], fmt: str, text_field:
 
 def training_texts(spark: SparkSession, *paths: str) -> DataFrame:
     """source, text below files or folders: a record's text or each non-blank message content; other files by line."""
-    rows = spark.read.option("recursiveFileLookup", True).text(list(paths)).select(F.input_file_name().alias("path"), "value")
+    rows = spark.read.text(list(paths), recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
     v = F.when(F.col("path").rlike(r"(?i)\.(jsonl|ndjson|json)(\.gz)?$"), F.try_parse_json("value"))
     contents = F.transform(F.try_variant_get(v, "$.messages", "array<variant>"), lambda m: F.try_variant_get(m, "$.content", "string"))
     parts = F.when(v.isNull(), F.array("value")).otherwise(F.coalesce(F.array_compact(F.array(F.try_variant_get(v, "$.text", "string"))), F.array().cast("array<string>")))
