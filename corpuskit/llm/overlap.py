@@ -110,14 +110,14 @@ class _Shard:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's evaluation rows come first; its training rows then stream through the automaton."""
     schema = pa.schema([("train_text", pa.string()), ("eval_text", pa.string()), ("edits", pa.int32()), ("covered_words", pa.int32()), ("eval_words", pa.int32())])
-    held, shard = [], None
+    held, shard = {}, None  # a prompt that stands in several portions of one partition is held once
     for batch in batches:
         out: list[tuple] = []
         for train, key, block, text in zip(*(batch[c].to_pylist() for c in ("is_train", "numbers_key", "block", "text")), strict=True):
             if not train:
-                held.append((key, block, text))
+                held[key, block, text] = None
             elif held:
-                shard = shard or _Shard(held)
+                shard = shard or _Shard(list(held))
                 out += [(text, *found) for found in shard.scan(key, block, text)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)

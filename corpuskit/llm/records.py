@@ -8,7 +8,7 @@ comparison of the whole normalised structure.
 from __future__ import annotations
 
 import hashlib
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,7 +24,7 @@ def _number(spelt: str) -> str:
     try:
         value = Decimal(spelt)
         return str(int(value)) if value == value.to_integral_value() and abs(value.adjusted()) < 400 else str(value.normalize())
-    except (InvalidOperation, ValueError, OverflowError):
+    except (ArithmeticError, ValueError):
         return spelt
 
 

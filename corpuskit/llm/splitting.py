@@ -34,6 +34,8 @@ class _Cutter:
         ends = [sorted(m.end() for m in p.finditer(text)) for p in (paragraph, _SENTENCE, _WORD, _UNSPACED)]
         self.levels = [e for e in ends if e]
         self.starts = sorted({x for e in ends[:3] for x in e})
+        if not self.starts:
+            self.overlap = 0  # pieces begin at boundaries only, so there is nothing to share
 
     def nearest(self, lo: int, hi: int, target: float, levels: list[list[int]]) -> int | None:
         """The strongest boundary in [lo, hi]; of equally strong ones, the one nearest to the target."""
