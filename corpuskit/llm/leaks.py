@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -23,43 +22,48 @@ from corpuskit.functions.pytext import alnum_words
 from corpuskit.llm.overlap import distance, merged
 
 WINDOW = 8  #: words in a row that make a leak
-SAMPLED = 7  #: embedding places a bit-sampling table looks at
+SAMPLED = 6  #: embedding places a bit-sampling table looks at
 BLOCK_ITEMS = 5_000  #: items that are sent to the executors at once
 BLOCK_CHARS = 8_000_000  #: and their characters
-_SLICE = 200_000  #: words of a document that are embedded at once
+_SLICE = 50_000  #: windows that are embedded at once
+_PAIRS = 200_000  #: proposed pairs that are verified at once
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Walk:
-    """A CGK walk over windows of ``width`` words with ``tables`` samples of its steps."""
+    """CGK walks over windows of ``width`` words, one for each table, and the steps at which the table looks.
+
+    Every table has a walk of its own: a pair whose paths part early in one walk may stay together in the next.
+    """
 
     def __init__(self, width: int, tables: int, seed: int = 0):
-        rng = np.random.default_rng([seed, width])
         self.width, steps = width, 3 * width
-        self.coin = rng.integers(0, 2**63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        at = [np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False)) for _ in range(tables)]
-        # The walk has an end: all tables see only steps that a window of this width can fill.
-        self.looks: dict[int, list[int]] = {}
-        for t, places in enumerate(at):
-            for p in places:
-                self.looks.setdefault(int(p), []).append(t)
-        self.mix = rng.integers(0, 2**63, tables, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.tables = []
+        for t in range(tables):
+            rng = np.random.default_rng([seed, width, t])
+            coins, mix = (rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (steps, 1))
+            looks = np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False))
+            self.tables.append((coins[: looks[-1] + 1], set(looks.tolist()), mix[0]))
 
     def keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """One key per table for each window: (tables, windows)."""
-        out = np.zeros((len(self.mix), len(starts)), np.uint64)
-        at, end = starts.astype(np.int64), starts + self.width
-        last = len(words) - 1
-        for step, coin in enumerate(self.coin):
-            here = np.where(at < end, words[np.minimum(at, last)], _PAD)
-            for t in self.looks.get(step, ()):
-                out[t] = (out[t] + here) * self.mix[t]
-            at += ((here * coin) >> np.uint64(63)).astype(np.int64)
+        out = np.zeros((len(self.tables), len(starts)), np.uint64)
+        end, last = starts + self.width, len(words) - 1
+        for t, (coins, looks, mix) in enumerate(self.tables):
+            at = starts.astype(np.int64)
+            for step, coin in enumerate(coins):
+                here = np.where(at < end, words[np.minimum(at, last)], _PAD)
+                if step in looks:
+                    out[t] = (out[t] + here) * mix
+                at += ((here * coin) >> np.uint64(63)).astype(np.int64)
         return out ^ (out >> np.uint64(29))
 
 
 def tables_for(width: int, edits: int, recall: float, seed: int = 0) -> int:
-    """How many tables make a pair ``edits`` replacements apart meet with at least the probability ``recall``."""
+    """How many tables make a pair ``edits`` replacements apart meet in one at least with the probability ``recall``.
+
+    Measured on random windows: the smallest number whose share of meeting pairs is a standard error above the target.
+    """
     if not edits:
         return 1
     rng, trials = np.random.default_rng([seed, width, edits]), 4000
@@ -67,9 +71,10 @@ def tables_for(width: int, edits: int, recall: float, seed: int = 0) -> int:
     other = words.copy()
     for row in other:
         row[rng.choice(width, min(edits, width), replace=False)] = rng.integers(0, 2**63, dtype=np.uint64)
-    walk, starts = Walk(width, 32, seed), np.arange(trials) * width
-    meet = (walk.keys(words.ravel(), starts) == walk.keys(other.ravel(), starts)).mean()
-    return max(1, ceil(log(1 - recall) / log(1 - min(max(meet, 0.02), 0.99))))
+    walk, starts = Walk(width, 64, seed), np.arange(trials) * width
+    met = np.logical_or.accumulate(walk.keys(words.ravel(), starts) == walk.keys(other.ravel(), starts), axis=0).mean(axis=1)
+    enough = np.flatnonzero(met >= recall + np.sqrt(recall * (1 - recall) / trials))
+    return int(enough[0]) + 1 if len(enough) else 64
 
 
 def _hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
@@ -99,27 +104,39 @@ class _Windows:
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
     def matches(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document window, item window and edits of every pair within the allowed distance that a table proposes."""
-        seen = []
+        """Document window, item window and edits of every pair within the allowed distance that a table proposes.
+
+        Proposed pairs are verified in blocks, so that a phrase many windows share never fills the memory.
+        """
+        n_own, found = len(self.start), []
         for t, own in enumerate(self.walk.keys(words, starts)):
             lo, hi = np.searchsorted(self.keys[t], own, "left"), np.searchsorted(self.keys[t], own, "right")
-            n = hi - lo
-            hit = np.flatnonzero(n)
-            if len(hit):
-                reps = n[hit]
-                slot = np.repeat(lo[hit], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                seen.append(np.repeat(hit, reps) * len(self.start) + self.order[t][slot])
-        if not seen:
-            return (np.empty(0, np.int64),) * 3
-        doc, own = np.divmod(np.unique(np.concatenate(seen)), len(self.start))
+            hit = np.flatnonzero(hi > lo)
+            upto = np.cumsum((hi - lo)[hit])
+            for part in np.split(hit, np.searchsorted(upto, np.arange(_PAIRS, upto[-1] if len(upto) else 0, _PAIRS))):
+                reps = (hi - lo)[part]
+                slot = np.repeat(lo[part], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                found.append(self.verified(words, starts, np.repeat(part, reps), self.order[t][slot]))
+        pairs, first = np.unique(np.concatenate([d * n_own + i for d, i, _ in found]), return_index=True)
+        doc, own = np.divmod(pairs, n_own)
+        return doc, own, np.concatenate([e for *_, e in found])[first]
+
+    def verified(self, words: np.ndarray, starts: np.ndarray, doc: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs whose words are at most ``edits`` edits apart, with their distance."""
         steps = np.arange(self.width)
-        apart = (words[starts[doc][:, None] + steps] != self.words[self.start[own][:, None] + steps]).sum(axis=1)
-        # The Hamming distance of the words bounds their edit distance from above; the rest is computed.
-        for k in np.flatnonzero(apart > self.edits) if self.edits else ():
-            a, b = starts[doc[k]], self.start[own[k]]
-            d = distance(words[a : a + self.width].tolist(), self.words[b : b + self.width].tolist(), self.edits)
-            apart[k] = self.edits + 1 if d is None else d
-        keep = apart <= self.edits
+        a, b = words[starts[doc][:, None] + steps], self.words[self.start[own][:, None] + steps]
+        apart = (a != b).sum(axis=1)
+        if self.edits > 1:
+            # Between windows of one width, edits shift words by half their number at most; a word without an equal one
+            # within that reach takes an edit of its own. What passes this bound is computed.
+            near = a == b
+            for s in range(1, self.edits // 2 + 1):
+                near[:, s:] |= a[:, s:] == b[:, :-s]
+                near[:, :-s] |= a[:, :-s] == b[:, s:]
+            for k in np.flatnonzero((apart > self.edits) & ((~near).sum(axis=1) <= self.edits)):
+                d = distance(a[k].tolist(), b[k].tolist(), self.edits)
+                apart[k] = self.edits + 1 if d is None else d
+        keep = apart <= self.edits  # for at most one edit, a replacement, the count of unequal words is the distance
         return doc[keep], own[keep], apart[keep]
 
 
