@@ -103,6 +103,21 @@ class _Windows:
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
+    def possible(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The windows that may lie within the allowed edits of an item's; the others need no embedding.
+
+        A word that no item has takes an edit of its own, and an edit spoils two pairs of neighbours at most.
+        """
+        for n, spare in ((1, self.edits), (2, 2 * self.edits)):
+            if self.width < n:
+                break
+            own, doc = (a if n == 1 else a[:-1] * _PAD + (a[1:] ^ (a[1:] >> np.uint64(31))) for a in (self.words, words))
+            own = np.unique(own)
+            known = own[np.minimum(np.searchsorted(own, doc), len(own) - 1)] == doc
+            upto = np.concatenate([[0], np.cumsum(known)])
+            starts = starts[upto[starts + self.width - n + 1] - upto[starts] >= self.width - n + 1 - spare]
+        return starts
+
     def matches(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document window, item window and edits of every pair within the allowed distance that a table proposes.
 
@@ -158,8 +173,10 @@ class _Block:
             counts = np.maximum(0, np.array(lengths) - group.width + 1)
             owner = np.repeat(np.arange(len(docs)), counts)
             starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[owner]
-            for i in range(0, len(starts), _SLICE):
-                part = starts[i : i + _SLICE]
+            place = group.possible(words, starts)
+            owner = owner[np.searchsorted(starts, place)]
+            for i in range(0, len(place), _SLICE):
+                part = place[i : i + _SLICE]
                 for d, w, e in zip(*group.matches(words, part), strict=True):
                     entry = found.setdefault((owner[i + d], g, group.item[w]), [0, 0, set(), set()])
                     entry[0 if e == 0 else 1] += 1

@@ -6,7 +6,7 @@ threshold. Thresholds are only ever raised, so what was selected once stays sele
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuskit.llm._common import manifest_of
 
@@ -61,7 +61,6 @@ def sample_rates(examples: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def sample_growth(examples: DataFrame, manifest: DataFrame) -> DataFrame:
     """Per number of batches k: size of the sample of batches 1..k and how many of it batch k added."""
-    first = stable_sample(examples, manifest).groupBy("batch_no").agg(F.count(F.lit(1)).alias("added"))
-    # One row per batch: the self-join below is over batch numbers, not over examples.
-    upto = first.select(F.col("batch_no").alias("b"), F.col("added").alias("a"))
-    return first.join(upto, F.col("b") <= F.col("batch_no")).groupBy("batch_no", "added").agg(F.sum("a").alias("selected"))
+    added = stable_sample(examples, manifest).groupBy("batch_no").agg(F.count(F.lit(1)).alias("added"))
+    upto = Window.partitionBy(F.lit(1)).orderBy("batch_no")  # one row per batch
+    return added.select("batch_no", "added", F.sum("added").over(upto).alias("selected"))
