@@ -11,6 +11,7 @@ from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpuskit.operators import contamination, metrics, sampling
 from corpuskit.operators.dedup import first_wins
 
 WORDS = {
@@ -180,3 +181,21 @@ def as_messages(examples: DataFrame) -> DataFrame:
     """Examples as chat records (id, category, messages)."""
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"), F.lit(role == "assistant").alias("train"))
     return examples.select("id", "category", F.array(turn("user", "prompt"), turn("assistant", "answer")).alias("messages"))
+
+
+def attach_corpus(stage: DataFrame, corpus: DataFrame, byte_share: float, weights: dict[str, float], lexicon_words: int = 2000, val_records: int = 200, ngram: int = 8) -> dict[str, DataFrame]:
+    """A stage joined by natural text (``corpus``: id, text, split): its decontaminated training records, held-out samples,
+    a lexicon, and the mixture (name, weight) in which natural text has ``byte_share`` of the bytes."""
+    held = stage.filter("split <> 'train'").select(F.concat_ws(" ", "prompt", "answer").alias("text"))
+    train = corpus.filter("split = 'train'")
+    dirty = contamination.contaminated(train, contamination.eval_ngrams(held, ngram), ngram)
+    clean = train.join(dirty, "id", "left_anti")
+    samples = [sampling.bottom_k(corpus.filter(F.col("split") == s), val_records, 0, F.col("id"), "text") for s in ("val", "test")]
+    size = clean.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
+    own = stage.filter("split = 'train'").agg(F.avg(F.octet_length("prompt") + F.octet_length("answer"))).first()[0] or 1.0
+    fraction = byte_share * own / (byte_share * own + (1 - byte_share) * size)
+    whole = sum(weights.values())
+    mixed = {k: round(v / whole * (1 - fraction), 6) for k, v in weights.items()}
+    mixed["corpus"] = round(1 - sum(mixed.values()), 6)
+    spark = stage.sparkSession
+    return {"train": clean, "val": samples[0], "test": samples[1], "lexicon": metrics.lexicon(clean, lexicon_words), "mixture": spark.createDataFrame(list(mixed.items()), "name string, weight double")}

@@ -82,6 +82,7 @@ def pack_rows(df: DataFrame, max_len: int, length: str, *order: str) -> DataFram
                 state, row = end[state], row + rows[state]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int64())], names=["_block", "_state", "_row"])
 
+    # One row per block, hence per partition of the sort: the side that is broadcast below.
     starts = tables.repartition(1).sortWithinPartitions("_block").mapInArrow(chain, "_block int, _state int, _row bigint")
     keys = [c for c in order]
     entered = inside.select("_block", "_len", *keys).join(F.broadcast(starts), "_block").repartition("_block").sortWithinPartitions("_block", *order)
@@ -141,5 +142,5 @@ def micro_batches(rows: DataFrame, batch_size: int, row: str = "row_no", drop_la
     out = rows.withColumn("batch_no", F.floor(F.col(row) / batch_size).cast("bigint"))
     if not drop_last:
         return out
-    n = rows.agg((F.floor((F.max(row) + 1) / batch_size)).alias("_batches"))
-    return out.join(F.broadcast(n), F.col("batch_no") < F.col("_batches")).drop("_batches")  # one row on the right
+    last = rows.agg(F.max(row)).first()[0]
+    return out.filter(F.col("batch_no") < (0 if last is None else (last + 1) // batch_size))

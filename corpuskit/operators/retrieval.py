@@ -30,9 +30,10 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float =
     """
     tf, df, corpus = term_stats(docs)
     asked = queries.select("query", F.explode(T.ranking_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
-    # The corpus is one row.
-    weighted = asked.join(df, "term").join(F.broadcast(corpus)).withColumn("w", F.col("times") * F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    # Two numbers of the whole corpus enter as constants, so that no join without a key is needed.
+    n, avg_len = corpus.first()
+    weighted = asked.join(df, "term").withColumn("w", F.col("times") * F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len)))
     return weighted.join(tf, "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
 

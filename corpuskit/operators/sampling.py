@@ -101,3 +101,9 @@ def epoch_order(examples: DataFrame, quotas: DataFrame, seed: int, epoch: int) -
     cut = last.withColumn("_rn", rn).filter(F.col("_rn") <= F.col("quota") - F.col("_n") * (F.col("_turns") - 1)).drop("_rn")
     whole = rows.filter("repeat < _turns")
     return whole.unionByName(cut).select("source", "id", "repeat", F.sha2(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.lit("order"), "source", "repeat", F.col("id").cast("string")), 256).alias("order_key"))
+
+
+def tokenizer_sample(natural: DataFrame, supplemental: DataFrame, natural_records: int = 8000, supplemental_records: int = 4000, seed: int = 0) -> DataFrame:
+    """id, text, natural: a bottom-k sample of natural texts and one of supplemental ones (columns id, text)."""
+    pick = lambda df, k, flag: bottom_k(df.select("id", "text"), k, seed, F.col("id"), "text").select("id", "text", F.lit(flag).alias("natural"))
+    return pick(natural, natural_records, True).unionByName(pick(supplemental, supplemental_records, False))

@@ -139,10 +139,9 @@ def repeat_factors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("example_fraction", f"SELECT round(0.8 * s / (0.8 * s + 0.2 * n), 9) AS fraction FROM (SELECT avg(strlen(target_text)) AS s FROM {EXAMPLES}), (SELECT avg(strlen(text)) AS n FROM {CHUNKS})")
 def example_fraction(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "chat_examples").select("example_id", "target_text").dropDuplicates(["example_id"]).agg(F.avg(F.octet_length("target_text")).alias("s"))
-    n = chunks_of(spark, d, "text").agg(F.avg(F.octet_length("text")).alias("n"))
-    one = s.join(n)  # one row each
-    return one.select(F.round(mixture.example_fraction(0.8, F.col("s"), F.col("n")), 9).alias("fraction"))
+    examples = table(spark, d, "chat_examples").select("example_id", "target_text").dropDuplicates(["example_id"])
+    sizes = examples.select(F.octet_length("target_text").alias("s"), F.lit(None).cast("int").alias("n")).unionByName(chunks_of(spark, d, "text").select(F.lit(None).cast("int").alias("s"), F.octet_length("text").alias("n")))
+    return sizes.agg(F.avg("s").alias("s"), F.avg("n").alias("n")).select(F.round(mixture.example_fraction(0.8, F.col("s"), F.col("n")), 9).alias("fraction"))
 
 
 _TERMS = "list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "))"

@@ -469,3 +469,53 @@ def test_streaming_first_deliveries(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(f"out{n}").count() == n
+
+
+def test_registered_functions_run_as_rows(spark):
+    from corpuskit.operators import toolcalls
+
+    calls = [("calculator", '{"expression": "2*3"}'), ("calculator", '{"expression": "2*"}'), ("calculator", "{}"), ("nothing", "{}"), ("add_days", '{"date": "2024-01-31", "days": 1}'), (None, None)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(calls)], "i int, name string, arguments string")
+    got = [(r.value, r.error_code) for r in toolcalls.builtin_tools().execute(df).orderBy("i").collect()]
+    assert got == [("6.0", None), (None, "failed"), (None, "invalid_arguments"), (None, "unknown_tool"), ("2024-02-01", None), (None, "unknown_tool")]
+    ask = toolcalls.Registry([toolcalls.Tool("x", "", {"type": "object"}, lambda a: F.lit("done"), True)])
+    one = spark.createDataFrame([("x", "{}")], "name string, arguments string")
+    assert ask.execute(one).first().error_code == "confirmation_required" and ask.execute(one, F.lit(True)).first().value == "done"
+    plan = toolcalls.run_plan(spark.range(1), toolcalls.builtin_tools(), [toolcalls.Step("calculator", {"expression": F.lit("1+1")}), toolcalls.Step("add_days", {"date": F.lit("2024-01-01"), "days": F.col("step_1.value").cast("double").cast("int")})])
+    assert plan.first().step_2.value == "2024-01-03"
+    checked = toolcalls.verified(spark.range(1), {"a": F.lit(True), "b": F.lit(None).cast("boolean")}).first()
+    assert checked.verified_share == 0.5
+    ex = spark.createDataFrame([("answer", "4", "What is 2 + 2?"), ("answer", "5", "2 + 2 = ?"), ("tool_call", '{"name":"t","arguments":{"a":1}}', "x"), ("answer", "hello", "Say hello")], "target_type string, target_text string, prompt string")
+    assert [r.ok for r in ex.select(toolcalls.accepts(ex, {"type": "object", "required": ["a"]}).alias("ok")).collect()] == [True, False, True, True]
+
+
+def test_api_prepares_a_corpus(spark, tmp_path):
+    from corpuskit import api
+
+    rng = random.Random(2)
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"text": text_of(rng, 30)}) + "\n" for _ in range(20)))
+    (tmp_path / "b.txt").write_text("\n\n".join(text_of(rng, 30) for _ in range(20)))
+    entries = [{"source": "a", "path": "a.jsonl", "sha256": shards.file_sha256(tmp_path / "a.jsonl")[0]}, {"source": "b", "path": "b.txt", "chunk_chars": 300}]
+    (tmp_path / "m.json").write_text(json.dumps({"datasets": entries}))
+    counts = api.prepare_corpus(spark, str(tmp_path / "m.json"), str(tmp_path / "out"), str(tmp_path), settings=pipeline.Settings(validation=0.1, test=0.1)).collect()
+    assert {r.split for r in counts} == {"train", "val", "test"} and shards.load_corpus(spark, str(tmp_path / "out")).count() == sum(r.records for r in counts)
+    rows = spark.createDataFrame([("1", "hello", None)], "id string, text string, messages array<struct<role:string,content:string,train:boolean>>")
+    assert api.render(rows).first().text == "<BOS>hello<EOS>"
+
+
+def test_attach_corpus(spark):
+    stage = curriculum.build_stage(spark, {"arith_direct": 1.0}, 20)
+    rng = random.Random(3)
+    corpus_ = spark.createDataFrame([(str(i), text_of(rng, 40), "train" if i < 20 else "val" if i < 25 else "test") for i in range(30)], "id string, text string, split string")
+    out = curriculum.attach_corpus(stage, corpus_, 0.8, {"arith_direct": 1.0}, 10, 3)
+    assert out["train"].count() == 20 and out["val"].count() == 3 and out["lexicon"].count() == 10
+    assert sum(r.weight for r in out["mixture"].collect()) == pytest.approx(1)
+
+
+def test_check_contamination_of_examples(spark):
+    from corpuskit import api
+
+    m = "id string, messages array<struct<role:string,content:string>>, target_text string"
+    train = spark.createDataFrame([("1", [("user", "a b")], "x")], m)
+    assert api.check_contamination(train, spark.createDataFrame([("2", [("user", "c")], "x")], m)).first().contaminated is False
+    assert api.check_contamination(train, spark.createDataFrame([("2", [("user", "A b!")], "x")], m), allow=True).first().normalized_prompt_overlap == 1
