@@ -180,3 +180,10 @@ def squash_lines(block: Column) -> Column:
     """The lines of a block, each without outer white space, joined by a space; empty lines vanish."""
     lines = F.transform(F.split(block, "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]", -1), strip)
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def table_hash(row_hash: Column) -> Column:
+    """An aggregate: one hash of a multiset of rows from their sha256 hashes: the count and the sums of four 60-bit
+    parts. They add up in any order and never hold rows, so a table of any size has its hash."""
+    parts = [F.sum(F.conv(F.substring(row_hash, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    return F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *parts), 256)

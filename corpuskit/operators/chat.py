@@ -152,13 +152,9 @@ def by_category(df: DataFrame) -> DataFrame:
 
 
 def content_hash(df: DataFrame, *order: str, columns: list[str]) -> DataFrame:
-    """One hash of all rows and their order: row hashes are combined per block of the order, and blocks once more.
-
-    The second level has one row per 16-bit block of the order's hash range, so no task holds more than its block.
-    """
+    """One hash of all rows with their places in the order, whatever the partitioning."""
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (*order, *columns)]), 256)
-    blocks = df.select(row.alias("h")).withColumn("b", F.substring("h", 1, 3)).groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return blocks.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), ""), 256).alias("content_hash"))
+    return df.agg(T.table_hash(row).alias("content_hash"))
 
 
 def legacy_tokens(messages: Column, target_text: Column, max_len: int | None = None) -> tuple[Column, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def upsert(writes: DataFrame, seq: str = "seq", key: str = "entry_id") -> DataFrame:
@@ -13,9 +13,8 @@ def upsert(writes: DataFrame, seq: str = "seq", key: str = "entry_id") -> DataFr
 
 def ring(writes: DataFrame, size: int = 50, seq: str = "seq", key: str = "entry_id") -> DataFrame:
     """The ``size`` entries added last; writing an entry again changes it but not its place."""
-    first = Window.partitionBy(key)
-    rows = writes.withColumn("_first", F.min(seq).over(first)).withColumn("_rn", F.row_number().over(first.orderBy(F.desc(seq)))).filter("_rn = 1").drop("_rn")
-    return rows.orderBy(F.desc("_first")).limit(size).withColumnRenamed("_first", "first_seq")
+    latest = writes.groupBy(key).agg(F.min(seq).alias("first_seq"), F.max_by(F.struct(*[c for c in writes.columns if c != key]), seq).alias("_w"))
+    return latest.orderBy(F.desc("first_seq")).limit(size).select(key, "first_seq", "_w.*")
 
 
 def listed(entries: DataFrame, scope: str | None = None) -> DataFrame:

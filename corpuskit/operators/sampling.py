@@ -16,19 +16,21 @@ def bottom_k(df: DataFrame, k: int, seed: int, key: Column, *ties: Column | str)
     return ranked.orderBy("rank_hash", *ties).limit(k) if k > 0 else ranked.limit(0)
 
 
-def _counted(keys: DataFrame, order: list[Column]) -> DataFrame:
-    """``keys`` with _rn (place in the order, from 1) and _n (how many), without a single-task window.
+def numbered(df: DataFrame, hash_col: str, order: list[Column | str], by: str | None = None) -> DataFrame:
+    """``df`` with _rn (the place of a row within its group ``by``, or in the whole, from 1) and _n (the group's size).
 
-    Rows are dealt to 256 ranges by the leading digits of the hash; a running sum over the ranges' sizes gives each its
-    offset, and places within a range are numbered apart.
+    Rows are dealt to 4096 ranges by the leading digits of their hash; a running sum over the ranges' sizes gives each
+    range its offset and places within a range are numbered apart. So the largest group is spread over 4096 tasks.
     """
-    keys = keys.withColumn("_range", F.substring("_hash", 1, 2))
-    sizes = keys.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 256 rows: the only window without partitions, and its side of the join is that small.
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(F.lit(1))))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return keys.withColumn("_in", place).join(F.broadcast(offsets.drop("_c")), "_range").withColumn("_rn", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
+    group = F.lit(0) if by is None else F.col(by)
+    rows = df.withColumn("_group", group).withColumn("_range", F.substring(hash_col, 1, 3))
+    sizes = rows.groupBy("_group", "_range").agg(F.count(F.lit(1)).alias("_c"))
+    per = Window.partitionBy("_group")
+    before = F.coalesce(F.sum("_c").over(per.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("_group").alias("_g"), F.col("_range").alias("_r"), before.alias("_before"), F.sum("_c").over(per).alias("_n"))
+    place = F.row_number().over(Window.partitionBy("_group", "_range").orderBy(*order))
+    out = rows.withColumn("_in", place).join(offsets, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return out.withColumn("_rn", F.col("_before") + F.col("_in")).drop("_group", "_range", "_in", "_before", "_g", "_r")
 
 
 def split_groups(groups: DataFrame, validation: float, test: float, seed: int, key: str = "group_key") -> DataFrame:
@@ -38,7 +40,7 @@ def split_groups(groups: DataFrame, validation: float, test: float, seed: int, k
     """
     if not (0 <= validation < 1 and 0 <= test < 1 and validation + test < 1):
         raise ValueError("fractions must be at least 0 and leave something for training")
-    ranked = _counted(groups.select(key).distinct().withColumn("_hash", rank_hash(seed, F.col(key))), [F.col("_hash"), F.col(key)])
+    ranked = numbered(groups.select(key).distinct().withColumn("_hash", rank_hash(seed, F.col(key))), "_hash", ["_hash", key])
     n_test, n_val = (F.when(F.col("_n") < 3, 0).otherwise(F.ceil(F.lit(float(f)) * F.col("_n"))) for f in (test, validation))
     return ranked.select(key, F.when(F.col("_rn") <= n_test, "test").when(F.col("_rn") <= n_test + n_val, "val").otherwise("train").alias("split"))
 
@@ -47,23 +49,17 @@ def split_records(records: DataFrame, fraction: float, seed: int, id_col: str =
     """``id_col``, split: max(1, round(fraction * n)) records of smallest seeded hash (12 digits) to val."""
     if not 0 < fraction < 1:
         raise ValueError("the fraction must lie between 0 and 1")
-    ranked = _counted(records.select(id_col).withColumn("_hash", rank_hash(seed, F.col(id_col), 12)), [F.col("_hash"), F.col(id_col)])
+    ranked = numbered(records.select(id_col).withColumn("_hash", rank_hash(seed, F.col(id_col), 12)), "_hash", ["_hash", id_col])
     return ranked.select(id_col, F.when(F.col("_rn") <= F.greatest(F.lit(1), F.rint(F.lit(fraction) * F.col("_n"))), "val").otherwise("train").alias("split"))
 
 
 def stratified_split(df: DataFrame, stratum: Column, train: float = 0.8, validation: float = 0.1, test: float = 0.1, seed: int = 0, id_col: str = "id") -> DataFrame:
     """``id_col``, stratum, split: within each stratum round(n * train) rows to train, round(n * validation) to val, the
-    rest to test, in the order of a seeded hash. Ranges of the hash are numbered apart, so a stratum of any size is
-    spread over tasks."""
+    rest to test, in the order of a seeded hash."""
     if abs(train + validation + test - 1) > 1e-6:
         raise ValueError("the fractions must add up to 1")
-    rows = df.select(id_col, stratum.alias("stratum")).withColumn("_hash", rank_hash(seed, F.col(id_col))).withColumn("_range", F.substring("_hash", 1, 2))
-    sizes = rows.groupBy("stratum", "_range").agg(F.count(F.lit(1)).alias("_c"))
-    per = Window.partitionBy("stratum")
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(per.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_c").over(per))
-    offsets = offsets.select(F.col("stratum").alias("_s"), F.col("_range").alias("_r"), "_before", "_n")
-    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy("stratum", "_range").orderBy("_hash", id_col)))
-    rows = rows.join(offsets, F.col("stratum").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))).withColumn("_rn", F.col("_before") + F.col("_in"))
+    rows = df.select(id_col, stratum.alias("stratum")).withColumn("_hash", rank_hash(seed, F.col(id_col)))
+    rows = numbered(rows, "_hash", ["_hash", id_col], "stratum")
     n_train, n_val = F.rint(F.col("_n") * train), F.rint(F.col("_n") * validation)
     return rows.select(id_col, "stratum", F.when(F.col("_rn") <= n_train, "train").when(F.col("_rn") <= n_train + n_val, "val").otherwise("test").alias("split"))
 
@@ -95,12 +91,11 @@ def epoch_order(examples: DataFrame, quotas: DataFrame, seed: int, epoch: int) -
     rows = examples.select("source", "id").join(plan, "source").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("_turns"))))
     h = F.sha2(F.concat_ws(":", F.lit(seed), F.lit(epoch), "source", "repeat", F.col("id").cast("string")), 256)
     rows = rows.withColumn("_hash", h)
-    # All turns but the last are whole; only the last needs places, which limit_per cuts per source.
-    last = rows.filter("repeat = _turns")
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("_hash", "id"))
-    cut = last.withColumn("_rn", rn).filter(F.col("_rn") <= F.col("quota") - F.col("_n") * (F.col("_turns") - 1)).drop("_rn")
+    # All turns but the last are whole; the last one needs places.
+    last = numbered(rows.filter("repeat = _turns").withColumnRenamed("_n", "_size"), "_hash", ["_hash", "id"], "source")
+    cut = last.filter(F.col("_rn") <= F.col("quota") - F.col("_size") * (F.col("_turns") - 1)).select("source", "id", "repeat")
     whole = rows.filter("repeat < _turns")
-    return whole.unionByName(cut).select("source", "id", "repeat", F.sha2(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.lit("order"), "source", "repeat", F.col("id").cast("string")), 256).alias("order_key"))
+    return whole.select("source", "id", "repeat").unionByName(cut).select("source", "id", "repeat", F.sha2(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.lit("order"), "source", "repeat", F.col("id").cast("string")), 256).alias("order_key"))
 
 
 def tokenizer_sample(natural: DataFrame, supplemental: DataFrame, natural_records: int = 8000, supplemental_records: int = 4000, seed: int = 0) -> DataFrame:

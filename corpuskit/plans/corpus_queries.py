@@ -75,7 +75,7 @@ SELECT doc_id, list_filter(CASE WHEN regexp_matches(text, '\\n{S.SPACE}*\\n')
 FROM documents WHERE text IS NOT NULL"""
 
 
-@query("paragraphs", f"SELECT doc_id, place - 1 AS place, ps[place] AS paragraph FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS place FROM ({_PARAGRAPHS}))")
+@query("paragraphs", f"SELECT doc_id, CAST(place - 1 AS INTEGER) AS place, ps[place] AS paragraph FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS place FROM ({_PARAGRAPHS}))")
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("place", "paragraph"))
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpuskit.functions import text as T
 
@@ -172,16 +172,17 @@ def documents(spark: SparkSession, path: str | list[str], fmt: str, text_field:
         return whole.select("shard", F.lit(0).cast("bigint").alias("doc_index"), F.filter(blocks, lambda p: p != "").alias("paragraphs"))
     if fmt != "jsonl":
         raise ShardError(f"unknown format {fmt!r}")
-    rows = spark.read.text(paths).select(F.input_file_name().alias("shard"), F.monotonically_increasing_id().alias("_at"), T.strip(F.col("value")).alias("line")).filter("line <> ''")
+    rows = spark.read.text(paths).select(F.input_file_name().alias("shard"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), T.strip(F.col("value")).alias("line")).filter("line <> ''")
     v = F.try_parse_json("line")
     at = f"$['{text_field}']"
     is_text = F.schema_of_variant(F.try_variant_get(v, at, "variant")) == "STRING"
     text = F.when(is_text, F.try_variant_get(v, at, "string"))
     rows = rows.withColumn("text", F.when(v.isNull(), F.raise_error(F.concat(F.lit("no JSON in "), F.col("shard")))).otherwise(text)).filter(T.strip(F.col("text")) != "")
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("shard").orderBy("_at")) - 1
-    return rows.select("shard", number.cast("bigint").alias("doc_index"), T.paragraphs(F.col("text")).alias("paragraphs"))
+    # Documents are numbered within a file's blocks, and blocks by the running sum of their documents.
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = rows.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_c")).select("shard", "_block", before.alias("_before"))
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy("shard", "_block").orderBy("_at")) - 1).join(blocks, ["shard", "_block"])
+    return rows.select("shard", (F.col("_before") + F.col("_in")).cast("bigint").alias("doc_index"), T.paragraphs(F.col("text")).alias("paragraphs"))
 
 
 def training_texts(spark: SparkSession, *paths: str) -> DataFrame:
@@ -203,8 +204,7 @@ def checksums(spark: SparkSession, *paths: str) -> DataFrame:
 def split_identity(records: DataFrame) -> DataFrame:
     """split, records, identity: a hash of each split's records that doesn't depend on files or row order."""
     row = F.sha2(F.concat_ws("\x1f", "id", "text", "category", "source"), 256)
-    part = records.select("split", row.alias("h")).withColumn("b", F.substring("h", 1, 3)).groupBy("split", "b").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return part.groupBy("split").agg(F.sum("n").alias("records"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), ""), 256).alias("identity"))
+    return records.groupBy("split").agg(F.count(F.lit(1)).alias("records"), T.table_hash(row).alias("identity"))
 
 
 def write_corpus(records: DataFrame, folder: str) -> DataFrame:
