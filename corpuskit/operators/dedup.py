@@ -1,9 +1,10 @@
 """Exact, paragraph and near-duplicate removal. The earliest item wins; order is a column, never a partition's.
 
 Near-duplicate removal is greedy in order: an item goes iff some kept earlier item is similar. It is done in rounds.
-Candidates share a bucket (an LSH band, or a shingle of the prefix filter). An item without an undecided earlier bucket
-mate is kept; it is then compared with its bucket mates alone, and the similar ones go. So a round pairs each bucket with
-one leader: candidate pairs grow with the bucket, not with its square, and no threshold drops a case.
+Candidates share a bucket (an LSH band, or a shingle of the prefix filter). In each round the first items of every bucket
+are compared with their later mates; those that lead all their buckets are decided, and what is similar to a kept one goes.
+The first round has one leader a bucket, so the pairs of a bucket of copies grow with its size, not with its square; later
+rounds double the leaders for what is left. No threshold drops a case.
 """
 
 from __future__ import annotations
@@ -87,41 +88,72 @@ def bands(signature: Column, n_bands: int = 16, num_perm: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.slice(signature, i * per + 1, per)))
 
 
-def ordered_greedy(items: DataFrame, buckets: DataFrame, similar: Callable[[DataFrame], DataFrame], space: Workspace) -> DataFrame:
-    """id, removed_for: the kept item for which each removed one went.
+def _counted(df: DataFrame, space: Workspace, step: str) -> tuple[DataFrame, int]:
+    seen = Observation()
+    out = space.write(df.observe(seen, F.count(F.lit(1)).alias("n")), step)
+    return out, seen.get["n"]
+
+
+def _resolve(ready: DataFrame, edges: DataFrame, space: Workspace, name: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """Kept and removed items (id; id, removed_for) among ``ready`` and the items similar to them.
+
+    ``edges``: leader, id, similar, the leader first. A ready item without an edge from an undecided one is kept; what is
+    similar to it goes, and with what goes its edges; and so on until nothing moves.
+    """
+    kept_all, gone_all, step = None, None, 0
+    add = lambda whole, part: part if whole is None else whole.unionByName(part)
+    while True:
+        kept, n = _counted(ready.join(edges.select("id").distinct(), "id", "left_anti"), space, f"{name}-kept-{step}")
+        if not n:
+            return kept_all, gone_all
+        hits = edges.join(kept.withColumnRenamed("id", "leader"), "leader", "left_semi").groupBy("id").agg(F.min("leader").alias("removed_for"))
+        hits, m = _counted(hits, space, f"{name}-gone-{step}")
+        kept_all, gone_all = add(kept_all, kept), add(gone_all, hits)
+        if not m:
+            return kept_all, gone_all
+        out = hits.select("id")
+        edges = space.write(edges.join(out, "id", "left_anti").join(out.withColumnRenamed("id", "leader"), "leader", "left_anti"), f"{name}-edges-{step}")
+        ready = space.write(ready.join(kept, "id", "left_anti").join(out, "id", "left_anti"), f"{name}-ready-{step}")
+        step += 1
+
+
+def ordered_greedy(items: DataFrame, buckets: DataFrame, similar: Callable[[DataFrame], DataFrame], space: Workspace, most_leaders: int = 1024) -> DataFrame:
+    """id, removed_for: a kept, earlier, similar item for each removed one.
 
     ``items``: id, payload columns. ``buckets``: id, bucket. ``similar`` gets pairs (leader, id, with the payloads of the
-    leader under l_ and of the item under i_) and keeps the similar ones.
+    leader under l_ and of the item under i_) and keeps the similar ones. A bucket has one leader in the first round, which
+    takes most copies away, and twice as many in each further one, so that rounds grow with the logarithm of the largest
+    bucket of unlike items (up to ``most_leaders`` in a round).
     """
     payload = [c for c in items.columns if c != "id"]
     items = space.write(items, "items")
     left = space.write(buckets.select("bucket", "id").distinct(), "open-0")
-    gone: list[DataFrame] = []
-    turn = 0
+    gone, turn = None, 0
     while True:
         # Buckets with a single open item can't pair it; an item whose buckets are all such needs no further look.
-        per = left.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"))
-        shared = space.write(left.join(per.filter("n > 1").drop("n"), "bucket"), f"shared-{turn}")
-        ready = shared.groupBy("id").agg(F.bool_and(F.col("id") == F.col("leader")).alias("first")).filter("first").select(F.col("id").alias("leader"))
-        pairs = shared.filter("id <> leader").join(ready, "leader", "left_semi").select("leader", "id").distinct()
+        several = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+        shared = space.write(left.join(several, "bucket", "left_semi"), f"shared-{turn}")
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+        heads = space.write(shared.withColumn("_rn", place).filter(F.col("_rn") <= min(2**turn, most_leaders)).select("bucket", "id"), f"heads-{turn}")
+        # An item that leads all its buckets meets all its earlier mates in this round: it can be decided.
+        count = F.count(F.lit(1)).alias("c")
+        ready = space.write(heads.groupBy("id").agg(count).join(shared.groupBy("id").agg(count), ["id", "c"]).select("id"), f"ready-{turn}")
+        pairs = shared.join(heads.withColumnRenamed("id", "leader"), "bucket").filter("id > leader").select("leader", "id").distinct()
         for name, col in (("l_", "leader"), ("i_", "id")):
-            side = items.select(F.col("id").alias(col), *[F.col(c).alias(name + c) for c in payload])
-            pairs = pairs.join(side, col)
-        hits = similar(pairs).groupBy("id").agg(F.min("leader").alias("removed_for"))
-        gone.append(space.write(hits, f"gone-{turn}"))
-        decided = gone[-1].select("id").unionByName(ready.withColumnRenamed("leader", "id"))
-        seen = Observation()
-        rest = shared.select("bucket", "id").join(decided, "id", "left_anti").observe(seen, F.count(F.lit(1)).alias("n"))
-        left = space.write(rest, f"open-{turn + 1}")
-        space.drop(f"open-{turn}")
-        space.drop(f"shared-{turn}")
+            pairs = pairs.join(items.select(F.col("id").alias(col), *[F.col(c).alias(name + c) for c in payload]), col)
+        edges = space.write(similar(pairs).select("leader", "id"), f"edges-{turn}")
+        kept, hits = _resolve(ready, edges, space, f"round-{turn}")
+        rest = shared
+        if kept is not None:
+            rest = shared.join(kept.unionByName(hits.select("id")), "id", "left_anti")
+            gone = hits if gone is None else gone.unionByName(hits)
+        left, n = _counted(rest, space, f"open-{turn + 1}")
+        for step in ("open", "shared", "heads"):
+            space.drop(f"{step}-{turn}")
         turn += 1
-        if not seen.get["n"]:
+        if not n:
             break
-    out = gone[0]
-    for part in gone[1:]:
-        out = out.unionByName(part)
-    return out
+    return items.select("id", F.col("id").alias("removed_for")).limit(0) if gone is None else gone
 
 
 def dedup_texts(texts: DataFrame, mode: str = "near", threshold: float = 0.8, num_perm: int = 64, n_bands: int = 16, shingle: int = 5, seed: int = 0) -> DataFrame:

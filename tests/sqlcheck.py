@@ -25,8 +25,15 @@ def rows_of(names: list[str], rows) -> list[str]:
     return sorted("|".join(cell(r[i]) for i in order) for r in rows)
 
 
+def joins_have_keys(df) -> None:
+    """No join of a plan pairs rows without a key."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def same(spark, query, sql: str, folder: str = SMALL) -> None:
     df = query(spark, folder)
+    joins_have_keys(df)
     con = duckdb.connect()
     for p in Path(folder).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")

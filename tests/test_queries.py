@@ -21,6 +21,7 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     df = QUERIES[name](spark, sqlcheck.SMALL)
+    sqlcheck.joins_have_keys(df)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
@@ -30,3 +31,8 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert set(df.columns) == {"split", "records", "chars", "bytes"} and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_scans_read_the_needed_columns_only(spark):
+    plan = QUERIES["bottom_k_sample"](spark, sqlcheck.SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint>" in plan and "TakeOrderedAndProject" in plan
