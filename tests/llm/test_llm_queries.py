@@ -16,7 +16,16 @@ def test_query_equals_its_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, sqlcheck.SMALL).count() > 0
+    df = QUERIES[name](spark, sqlcheck.SMALL)
+    sqlcheck.joins_have_keys(df)
+    assert df.count() > 0
+
+
+def test_the_sample_filters_before_its_shuffle(spark):
+    plan = QUERIES["p2_sample"](spark, sqlcheck.SMALL)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "chat_examples" in line)
+    assert "messages" not in scan and "target_text" not in scan
+    assert plan.count("Exchange hashpartitioning(example_id") == 1
 
 
 def test_the_entry_lists_them():
