@@ -153,13 +153,15 @@ def recent_loss(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "regression_lag",
     f"""
-WITH h AS ({_HISTORY}), p AS (SELECT run AS stage, step, 'val_loss' AS metric, val_loss AS current, lag(val_loss) OVER (PARTITION BY run ORDER BY step) AS previous FROM h)
-SELECT stage, step, metric, round(current, 6) AS current, round(previous, 6) AS previous, round(current - previous, 6) AS worse, current - previous <= 0.5 + 1e-12 AS ok FROM p WHERE previous IS NOT NULL
+WITH h AS ({_HISTORY}), m AS (SELECT run AS stage, step, 'val_loss' AS metric, val_loss AS v, 0.5 AS allowed FROM h UNION ALL SELECT run, step, 'train_loss_recent', train_loss_recent, 0.25 FROM h),
+p AS (SELECT stage, step, metric, allowed, v AS current, lag(v) OVER (PARTITION BY stage, metric ORDER BY step) AS previous FROM m)
+SELECT stage, step, metric, round(current, 6) AS current, round(previous, 6) AS previous, round(current - previous, 6) AS worse, current - previous <= allowed + 1e-12 AS ok FROM p WHERE previous IS NOT NULL
 """,
 )
 def regression_lag(spark: SparkSession, d: str) -> DataFrame:
-    rows = _history(spark, d).select(F.col("run").alias("stage"), "step", F.lit("val_loss").alias("metric"), F.col("val_loss").alias("value"))
-    allowed = spark.createDataFrame([("val_loss", "up", 0.5)], "metric string, direction string, allowed double")
+    both = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("val_loss", "train_loss_recent")])).alias("m")
+    rows = _history(spark, d).select(F.col("run").alias("stage"), "step", both).select("stage", "step", "m.metric", "m.value")
+    allowed = spark.createDataFrame([("val_loss", "up", 0.5), ("train_loss_recent", "up", 0.25)], "metric string, direction string, allowed double")
     out = gates.regressions(rows, allowed)
     return out.select("stage", "step", "metric", *[F.round(c, 6).alias(c) for c in ("current", "previous", "worse")], "ok")
 
