@@ -12,7 +12,10 @@ from corpuskit.sources import shards
 
 
 def prepare_corpus(spark: SparkSession, manifest: str, out: str, base_dir: str = ".", evaluation_texts: DataFrame | None = None, settings: pipeline.Settings = pipeline.Settings()) -> DataFrame:
-    """Shards of a manifest file to a written corpus; returns its counts per split. Hashes are checked before the scan."""
+    """Shards of a manifest file to a written corpus; returns its counts per split. Hashes are checked before the scan.
+
+    Chunk sizes, least lengths and groups are those of the manifest's sources (or its defaults), not of ``settings``.
+    """
     docs, offset, quotas = None, 0, []
     for source in shards.read_manifest(Path(manifest).read_text(encoding="utf-8")):
         quotas.append((source.source, source.max_records))
@@ -21,7 +24,7 @@ def prepare_corpus(spark: SparkSession, manifest: str, out: str, base_dir: str =
             fmt = shards.shard_format(shard, source.shard_format)
             part = shards.documents(spark, str(path), fmt, source.text_field)
             # Shards follow each other in the order of the manifest: 2 ** 32 documents each at most.
-            part = part.select((F.col("doc_index") + offset).alias("doc_id"), F.lit(source.source).alias("source"), "paragraphs", F.lit(fmt == "text").alias("is_text"))
+            part = part.select((F.col("doc_index") + offset).alias("doc_id"), F.lit(source.source).alias("source"), "paragraphs", F.lit(fmt == "text").alias("is_text"), *(F.lit(getattr(source, c)).alias(c) for c in ("chunk_chars", "min_chars", "group_chunks")))
             docs = part if docs is None else docs.unionByName(part)
             offset += 2**32
     if docs is None:

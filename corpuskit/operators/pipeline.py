@@ -32,6 +32,8 @@ class Settings:
 class PreparedCorpus:
     """The pipeline over ``docs``: doc_id (unique, ordered), source, paragraphs; and is_text where shards are prose.
 
+    Sources may differ: where ``docs`` has chunk_chars, min_chars or group_chunks, these hold for the document, and the
+    settings only where they are null.
     ``chunks`` has every chunk with its fate: short, exact, near, contaminated or kept. Quotas (``max_records`` per
     source) keep a source's first kept chunks.
     """
@@ -39,14 +41,14 @@ class PreparedCorpus:
     def __init__(self, docs: DataFrame, eval_texts: DataFrame | None = None, settings: Settings = Settings(), max_records: DataFrame | None = None):
         s, self.settings = settings, settings
         self.space = space = Workspace(docs.sparkSession, "corpus")
-        have_text = "is_text" in docs.columns
-        docs = docs.select("doc_id", "source", "paragraphs", (F.col("is_text") if have_text else F.lit(False)).alias("is_text"))
+        own = lambda c, default: (F.coalesce(c, F.lit(default)) if c in docs.columns else F.lit(default)).alias(c)
+        docs = docs.select("doc_id", "source", "paragraphs", own("is_text", False), own("chunk_chars", s.chunk_chars), own("min_chars", s.min_chars), own("group_chunks", s.group_chunks))
         plain = docs if s.dedup == "none" else dedup.paragraph_dedup(docs.select("doc_id", "paragraphs")).drop("removed").join(docs.drop("paragraphs"), "doc_id")
         self.documents = docs
-        chunks = chunking.chunk_documents(plain, s.chunk_chars, s.group_chunks, F.col("is_text"), ("doc_id", "source", "is_text"))
+        chunks = chunking.chunk_documents(plain, F.col("chunk_chars"), F.col("group_chunks"), F.col("is_text"), ("doc_id", "source", "is_text", "min_chars", "group_chunks"))
         # The order of chunks as one number: documents have fewer than 2 ** 20 chunks each.
         chunks = chunks.withColumn("ord", F.shiftleft(F.col("doc_id").cast("bigint"), 20) + F.col("chunk_index"))
-        chunks = space.write(chunks.withColumn("short", F.length("text") < s.min_chars), "chunks")
+        chunks = space.write(chunks.withColumn("short", F.length("text") < F.col("min_chars")).drop("min_chars", "group_chunks"), "chunks")
         long = chunks.filter("not short").select(F.col("ord").alias("id"), "text")
         fate = dedup.dedup_texts(long, s.dedup, s.threshold, seed=s.seed).select(F.col("id").alias("ord"), "decision")
         fate = space.write(fate, "fate")
@@ -74,10 +76,10 @@ class PreparedCorpus:
         return rows.select("id", "text", F.lit("corpus").alias("category"), "source", "split")
 
     def source_counts(self) -> DataFrame:
-        """Per source: documents, chunks and their fates."""
+        """Per source: documents, chunks and their fates, which add up to the chunks."""
         docs = self.documents.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
         of = lambda f: F.count_if(F.col("fate") == f)
-        per = self.chunks.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), of("short").alias("short_dropped"), of("exact").alias("exact_removed"), of("near").alias("near_removed"), of("contaminated").alias("contaminated"), of("kept").alias("chunks_kept"))
+        per = self.chunks.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), of("short").alias("short_dropped"), of("exact").alias("exact_removed"), of("near").alias("near_removed"), of("contaminated").alias("contaminated"), of("beyond_quota").alias("beyond_quota"), of("kept").alias("chunks_kept"))
         return docs.join(per, "source", "left").na.fill(0)
 
 

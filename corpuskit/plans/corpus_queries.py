@@ -304,14 +304,24 @@ def token_counts_byte(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 2).cast("bigint").alias("n_tokens"))
 
 
+def sourced_documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents beside what the manifest says of their source, and the quotas. Sources without an entry have nulls."""
+    manifest = table(spark, d, "dataset_manifest")
+    default = lambda c, n: F.coalesce(c, F.lit(n)).alias(c)
+    is_text = shards.shard_format_column(F.get("shards", F.lit(0)), F.col("shard_format")) == "text"
+    sources = manifest.select("source", is_text.alias("is_text"), default("chunk_chars", 1000), default("min_chars", 32), default("group_chunks", 8))
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), T.paragraphs(F.col("text")).alias("paragraphs"))
+    return docs.join(F.broadcast(sources), "source", "left"), manifest.select("source", "max_records")
+
+
 @query("prepared_corpus")
 def prepared_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The whole pipeline over documents, near duplicates included, per source."""
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), T.paragraphs(F.col("text")).alias("paragraphs"))
-    return pipeline.PreparedCorpus(docs, table(spark, d, "eval_items"), pipeline.Settings(chunk_chars=600, dedup="near")).source_counts()
+    docs, quotas = sourced_documents(spark, d)
+    return pipeline.PreparedCorpus(docs, table(spark, d, "eval_items"), pipeline.Settings(chunk_chars=600, dedup="near"), quotas).source_counts()
 
 
 @query("prepared_splits")
 def prepared_splits(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), T.paragraphs(F.col("text")).alias("paragraphs"))
-    return pipeline.split_counts(pipeline.PreparedCorpus(docs, table(spark, d, "eval_items"), pipeline.Settings(chunk_chars=600, dedup="exact", validation=0.05, test=0.05)).records())
+    docs, quotas = sourced_documents(spark, d)
+    return pipeline.split_counts(pipeline.PreparedCorpus(docs, table(spark, d, "eval_items"), pipeline.Settings(chunk_chars=600, dedup="exact", validation=0.05, test=0.05), quotas).records())

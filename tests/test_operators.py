@@ -458,6 +458,38 @@ def test_quota(spark):
     assert sorted(r.doc_id for r in got) == [0, 1, 2, 3]
 
 
+def test_sources_have_their_own_chunks(spark):
+    words = [f"word{i:02d}" for i in range(60)]
+    rows = [(0, "a", [" ".join(words)], True, 100, 16, 2), (1, "b", [" ".join(reversed(words))], True, 200, 16, 3), (2, "c", ["x" * 20], False, 100, 16, 8), (3, "c", ["y" * 20], False, 100, 24, 8), (4, "d", ["z" * 20], None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, paragraphs array<string>, is_text boolean, chunk_chars int, min_chars int, group_chunks int")
+    got = pipeline.PreparedCorpus(docs).chunks.orderBy("doc_id", "chunk_index").collect()
+    assert [max(len(r.text) for r in got if r.doc_id == d) for d in (0, 1)] == [97, 195]
+    assert [[r.group_index for r in got if r.doc_id == d] for d in (0, 1)] == [[0, 0, 1, 1, 2], [0, 0, 0]]
+    assert [r.fate for r in got if r.doc_id > 1] == ["kept", "short", "short"]
+
+
+def test_api_uses_each_source_of_the_manifest(spark, tmp_path):
+    from corpuskit import api
+
+    (tmp_path / "a.txt").write_text("\n\n".join(" ".join(f"p{p}w{i}" for i in range(40)) for p in range(4)))
+    (tmp_path / "b.jsonl").write_text("".join(json.dumps({"text": f"short text {i:07d}"}) + "\n" for i in range(5)))
+    entries = [{"source": "a", "path": "a.txt", "chunk_chars": 100}, {"source": "b", "path": "b.jsonl", "min_chars": 16}]
+    (tmp_path / "m.json").write_text(json.dumps({"datasets": entries}))
+    api.prepare_corpus(spark, str(tmp_path / "m.json"), str(tmp_path / "out"), str(tmp_path))
+    texts = [(r.source, len(r.text)) for r in shards.load_corpus(spark, str(tmp_path / "out")).collect()]
+    assert max(n for s, n in texts if s == "a") <= 100 and sum(s == "b" for s, _ in texts) == 5
+
+
+def test_prepared_queries_use_the_manifest(spark):
+    from corpuskit.plans import corpus_queries
+
+    docs, quotas = corpus_queries.sourced_documents(spark, "/root/testdata/sf0.001")
+    of = {r.source: r for r in docs.drop("paragraphs", "doc_id").distinct().collect()}
+    assert (of["field_guide"].chunk_chars, of["field_guide"].min_chars, of["field_guide"].group_chunks, of["field_guide"].is_text) == (300, 20, 5, True)
+    assert (of["mill_stories"].chunk_chars, of["mill_stories"].group_chunks, of["mill_stories"].is_text) == (600, 8, False)
+    assert {r.source: r.max_records for r in quotas.collect()}["sum_cards"] == 5000
+
+
 def test_streaming_first_deliveries(spark, tmp_path):
     from corpuskit.streaming import ingest
 
