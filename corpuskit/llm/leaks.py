@@ -1,6 +1,7 @@
 """Evaluation texts leaking into training text (problem 6).
 
-Items and documents are read as words. Item-sized windows (eight words, or the whole of a shorter item) are embedded by
+Items and documents are read as words. Item-sized windows (eight words, or the whole of a shorter item), and document
+windows longer or shorter by up to the allowed edits, are embedded by
 the CGK random walk, under which texts a small edit distance apart come to lie a small Hamming distance apart; bit
 sampling over the embedding, repeated until the target recall is reached, proposes window pairs, and the exact edit
 distance of the words decides. A window without edits walks the same walk, so exact leaks are never missed.
@@ -45,10 +46,10 @@ class Walk:
             looks = np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False))
             self.tables.append((coins[: looks[-1] + 1], set(looks.tolist()), mix[0]))
 
-    def keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """One key per table for each window: (tables, windows)."""
+    def keys(self, words: np.ndarray, starts: np.ndarray, length: int | None = None) -> np.ndarray:
+        """One key per table for each window of ``length`` words (the width if not given): (tables, windows)."""
         out = np.zeros((len(self.tables), len(starts)), np.uint64)
-        end, last = starts + self.width, len(words) - 1
+        end, last = starts + (length or self.width), len(words) - 1
         for t, (coins, looks, mix) in enumerate(self.tables):
             at = starts.astype(np.int64)
             for step, coin in enumerate(coins):
@@ -60,9 +61,10 @@ class Walk:
 
 
 def tables_for(width: int, edits: int, recall: float, seed: int = 0) -> int:
-    """How many tables make a pair ``edits`` replacements apart meet in one at least with the probability ``recall``.
+    """How many tables make a pair ``edits`` edits apart meet in one at least with the probability ``recall``.
 
-    Measured on random windows: the smallest number whose share of meeting pairs is a standard error above the target.
+    Measured on random windows: the smallest number whose share of meeting pairs is a standard error above the target, for
+    replacements, insertions and deletions alike.
     """
     if not edits:
         return 1
@@ -71,8 +73,13 @@ def tables_for(width: int, edits: int, recall: float, seed: int = 0) -> int:
     other = words.copy()
     for row in other:
         row[rng.choice(width, min(edits, width), replace=False)] = rng.integers(0, 2**63, dtype=np.uint64)
-    walk, starts = Walk(width, 64, seed), np.arange(trials) * width
-    met = np.logical_or.accumulate(walk.keys(words.ravel(), starts) == walk.keys(other.ravel(), starts), axis=0).mean(axis=1)
+    few = min(edits, width - 1)
+    longer = np.stack([np.insert(row, np.sort(rng.integers(0, width + 1, edits)), rng.integers(0, 2**63, edits, dtype=np.uint64)) for row in words])
+    shorter = np.stack([np.delete(row, rng.choice(width, few, replace=False)) for row in words])
+    walk, at = Walk(width, 64, seed), np.arange(trials)
+    own = walk.keys(words.ravel(), at * width)
+    kinds = [own == walk.keys(x.ravel(), at * x.shape[1], x.shape[1]) for x in (other, longer, shorter)]
+    met = np.min([np.logical_or.accumulate(k, axis=0).mean(axis=1) for k in kinds], axis=0)
     enough = np.flatnonzero(met >= recall + np.sqrt(recall * (1 - recall) / trials))
     return int(enough[0]) + 1 if len(enough) else 64
 
@@ -103,41 +110,77 @@ class _Windows:
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
-    def possible(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The windows that may lie within the allowed edits of an item's; the others need no embedding.
+    def possible(self, words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        """The windows of ``length`` words that may lie within the allowed edits of an item's; the others need no embedding.
 
         A word that no item has takes an edit of its own, and an edit spoils two pairs of neighbours at most.
         """
         for n, spare in ((1, self.edits), (2, 2 * self.edits)):
-            if self.width < n:
+            if min(self.width, length) < n:
                 break
             own, doc = (a if n == 1 else a[:-1] * _PAD + (a[1:] ^ (a[1:] >> np.uint64(31))) for a in (self.words, words))
             own = np.unique(own)
             known = own[np.minimum(np.searchsorted(own, doc), len(own) - 1)] == doc
             upto = np.concatenate([[0], np.cumsum(known)])
-            starts = starts[upto[starts + self.width - n + 1] - upto[starts] >= self.width - n + 1 - spare]
+            starts = starts[upto[starts + length - n + 1] - upto[starts] >= length - n + 1 - spare]
         return starts
 
-    def matches(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document window, item window and edits of every pair within the allowed distance that a table proposes.
+    def matches(self, words: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document window (of ``length`` words), item window and edits of every pair within the allowed distance that a
+        table proposes.
 
         Proposed pairs are verified in blocks, so that a phrase many windows share never fills the memory.
         """
         n_own, found = len(self.start), []
-        for t, own in enumerate(self.walk.keys(words, starts)):
+        for t, own in enumerate(self.walk.keys(words, starts, length)):
             lo, hi = np.searchsorted(self.keys[t], own, "left"), np.searchsorted(self.keys[t], own, "right")
             hit = np.flatnonzero(hi > lo)
             upto = np.cumsum((hi - lo)[hit])
             for part in np.split(hit, np.searchsorted(upto, np.arange(_PAIRS, upto[-1] if len(upto) else 0, _PAIRS))):
                 reps = (hi - lo)[part]
                 slot = np.repeat(lo[part], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                found.append(self.verified(words, starts, np.repeat(part, reps), self.order[t][slot]))
+                found.append(self.verified(words, starts, np.repeat(part, reps), self.order[t][slot], length))
         pairs, first = np.unique(np.concatenate([d * n_own + i for d, i, _ in found]), return_index=True)
         doc, own = np.divmod(pairs, n_own)
         return doc, own, np.concatenate([e for *_, e in found])[first]
 
-    def verified(self, words: np.ndarray, starts: np.ndarray, doc: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def found(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Start, item window and fewest edits of each place of a document that matches; ``ends``: where each word's
+        document ends. In blocks of starts, each with the windows of all lengths.
+        """
+        starts, places = np.arange(len(words)), {}
+        for length in range(max(1, self.width - self.edits), self.width + self.edits + 1):
+            places[length] = self.possible(words, starts[starts + length <= ends], length)
+        every = np.unique(np.concatenate(list(places.values())))
+        for i in range(0, len(every), _SLICE):
+            first, last = every[i], every[min(i + _SLICE, len(every)) - 1]
+            hits = []
+            for length, place in places.items():
+                part = place[np.searchsorted(place, first) : np.searchsorted(place, last, "right")]
+                doc, own, apart = self.matches(words, part, length)
+                hits.append((part[doc], own, apart))
+            at, own, apart = (np.concatenate(x) for x in zip(*hits, strict=True))
+            order = np.lexsort((apart, own, at))
+            at, own, apart = at[order], own[order], apart[order]
+            fewest = np.ones(len(at), bool)
+            fewest[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1])
+            yield at[fewest], own[fewest], apart[fewest]
+
+    def verified(self, words: np.ndarray, starts: np.ndarray, doc: np.ndarray, own: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs whose words are at most ``edits`` edits apart, with their distance."""
+        if length != self.width:
+            a, b = words[starts[doc][:, None] + np.arange(length)], self.words[self.start[own][:, None] + np.arange(self.width)]
+            if self.edits == 1:
+                # One word apart: what the shorter window shares with both ends of the longer one covers it.
+                long, short = (a, b) if length > self.width else (b, a)
+                head = np.logical_and.accumulate(long[:, :-1] == short, axis=1).sum(axis=1)
+                tail = np.logical_and.accumulate((long[:, 1:] == short)[:, ::-1], axis=1).sum(axis=1)
+                apart = np.where(head + tail >= short.shape[1], 1, 2)
+            else:
+                far = [distance(x.tolist(), y.tolist(), self.edits) for x, y in zip(a, b, strict=True)]
+                apart = np.array([self.edits + 1 if d is None else d for d in far], np.int64)
+            keep = apart <= self.edits
+            return doc[keep], own[keep], apart[keep]
         steps = np.arange(self.width)
         a, b = words[starts[doc][:, None] + steps], self.words[self.start[own][:, None] + steps]
         apart = (a != b).sum(axis=1)
@@ -151,7 +194,7 @@ class _Windows:
             for k in np.flatnonzero((apart > self.edits) & ((~near).sum(axis=1) <= self.edits)):
                 d = distance(a[k].tolist(), b[k].tolist(), self.edits)
                 apart[k] = self.edits + 1 if d is None else d
-        keep = apart <= self.edits  # for at most one edit, a replacement, the count of unequal words is the distance
+        keep = apart <= self.edits  # for at most one edit between windows of one width, a replacement, the count of unequal words is the distance
         return doc[keep], own[keep], apart[keep]
 
 
@@ -167,18 +210,13 @@ class _Block:
         known: dict[str, int] = {}
         lengths = [len(w) for _, w in docs]
         words = _hashes([x for _, w in docs for x in w], known)
-        first = np.cumsum([0, *lengths])[:-1]
+        owner = np.repeat(np.arange(len(docs)), lengths)
+        ends = np.cumsum(lengths)[owner]
         found: dict[tuple[int, int, int], list] = {}
         for g, group in enumerate(self.windows):
-            counts = np.maximum(0, np.array(lengths) - group.width + 1)
-            owner = np.repeat(np.arange(len(docs)), counts)
-            starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[owner]
-            place = group.possible(words, starts)
-            owner = owner[np.searchsorted(starts, place)]
-            for i in range(0, len(place), _SLICE):
-                part = place[i : i + _SLICE]
-                for d, w, e in zip(*group.matches(words, part), strict=True):
-                    entry = found.setdefault((owner[i + d], g, group.item[w]), [0, 0, set(), set()])
+            for part in group.found(words, ends):
+                for at, w, e in zip(*part, strict=True):
+                    entry = found.setdefault((owner[at], g, group.item[w]), [0, 0, set(), set()])
                     entry[0 if e == 0 else 1] += 1
                     entry[3].add((int(group.offset[w]), int(group.offset[w]) + group.width))
                     if e == 0:
@@ -213,8 +251,9 @@ SCHEMA = "doc_id bigint, item_id bigint, exact_windows int, near_windows int, ex
 def leaks(documents: DataFrame, items: DataFrame, edits: int = 1, recall: float = 0.95) -> DataFrame:
     """doc_id, item_id, exact_windows, near_windows, exact_coverage, coverage: one row for each item found in a document.
 
-    Words are runs of letters and digits after NFKC and lower case. A window pair counts as exact without edits and as
-    near with up to ``edits`` word edits; exact pairs are always found, near ones with the probability ``recall``.
+    Words are runs of letters and digits after NFKC and lower case. A place of a document and a window of an item count as
+    exact without edits and as near with up to ``edits`` word edits (replacements, insertions, deletions); exact ones are
+    always found, near ones with the probability ``recall``.
     Coverage is the share of the item's words in matched windows. Items below eight words count only whole and exact.
 
     Rows with a null id are left out; null, blank and wordless texts hold nothing and wordless items occur nowhere.

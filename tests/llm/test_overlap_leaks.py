@@ -146,6 +146,45 @@ def test_near_windows_reach_the_target_recall(spark):
     assert sum((i, i) in hits for i, _ in items) >= 0.9 * len(items) and all(a == b for a, b in hits)
 
 
+def test_near_windows_by_insertion_and_deletion(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(8))) for i in range(300)]
+    docs = []
+    for i, t in items:
+        for k in (0, 1):
+            w = t.split()
+            at = rng.randint(2, 5)
+            w[at : at + k] = [] if k else ["other"]
+            docs.append((2 * i + k, "start " + " ".join(w) + " end"))
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), edits=1, recall=0.95)
+    hits = {(r.doc_id, r.item_id) for r in found.filter("near_windows > 0 and exact_windows = 0").collect()}
+    for k in (0, 1):
+        assert sum((2 * i + k, i) in hits for i, _ in items) >= 0.9 * len(items)
+    assert all(a // 2 == b for a, b in hits)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_reported_places_are_within_the_edits(edits):
+    import numpy as np
+
+    rng = random.Random(edits)
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(12))) for i in range(8)]
+    group = leaks._Block(items, edits, 0.95).windows[0]
+    known = {}
+    text = [x for _, t in items for x in mutate(rng, t.split(), edits)]
+    words = leaks._hashes(text, known)
+    best = {}
+    for s in range(len(text)):
+        for w, o in enumerate(group.start):
+            d = min((lev(words[s : s + n].tolist(), group.words[o : o + 8].tolist()) for n in range(8 - edits, 9 + edits) if s + n <= len(text)), default=99)
+            if d <= edits:
+                best[s, w] = d
+    got = {(int(a), int(w)): int(e) for part in group.found(words, np.full(len(words), len(words))) for a, w, e in zip(*part, strict=True)}
+    assert set(got) <= set(best) and len(got) >= 0.9 * len(best) and all(got[k] >= best[k] for k in got)
+    assert {k for k, d in best.items() if d == 0} <= {k for k, e in got.items() if e == 0}
+
+
 def test_cgk_turns_edits_into_few_differences():
     import numpy as np
 
