@@ -35,7 +35,10 @@ SEEDS = {
 }
 
 _HIDDEN = re.compile(r"[­​-‏‪-‮⁠-⁤﻿]")
-_MARKUP = re.compile(r"<[^<>]{1,200}>|&[a-z]{2,6};|\\n|\\\"")
+# Only tags go: of a known name, or with name=value pairs alone. Words between other angle brackets are text.
+_TAGS = "a abbr article aside audio b blockquote body br button center cite code dd del div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins label li link main mark meta nav ol option p pre q s script section select small span strike strong style sub sup svg table tbody td textarea tfoot th thead title tr tt u ul video"
+_PAIR = r"""\s+[a-z][\w:\-]{0,40}\s?=\s?(?:"[^"<>]{0,200}"|'[^'<>]{0,200}'|[^\s"'<>]{1,200})"""
+_MARKUP = re.compile(rf"(?i:</?(?:(?:{_TAGS.replace(' ', '|')})\s?/?|[a-z][\w:\-]{{0,40}}(?:{_PAIR}){{1,20}}\s?/?)>)|&[a-z]{{2,6}};|\\n|\\\"", re.ASCII)
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)]*\s+|[\n\r]+")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_@$](?:[ .\-_*·][^\W_]|[ .\-_*·][@$]){2,}(?![^\W_])")
 _TOKEN = re.compile(r"[\w@$*!|]+")

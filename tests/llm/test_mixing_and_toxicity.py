@@ -117,3 +117,10 @@ def test_chain_feeds_earlier_links():
     out = model.sentence_scores(np.array([5, 7], np.uint64), np.array([0, 1]), 2)
     p = 1 / (1 + math.exp(-2))
     assert out[0, 0] == pytest.approx(p) and out[0, 1] == pytest.approx(1 / (1 + math.exp(-(6 * p - 3)))) and out[0, 1] > out[1, 1]
+
+
+def test_words_between_angle_brackets_are_scored():
+    flat = lambda t: [w for s in toxicity.sentences(t) for w in s]
+    assert flat("so <you stupid idiot> there") == ["so", "you", "stupid", "idiot", "there"]
+    assert flat("noon <evening. By dusk it had> gone <idiot>") == ["non", "evening", "by", "dusk", "it", "had", "gone", "idiot"]
+    assert flat('<p>one</p><div class="x y" id=z>two<br/></DIV> <A href=\'u\'>four</a>') == ["one", "two", "four"]
