@@ -46,8 +46,8 @@ class PreparedCorpus:
         plain = docs if s.dedup == "none" else dedup.paragraph_dedup(docs.select("doc_id", "paragraphs")).drop("removed").join(docs.drop("paragraphs"), "doc_id")
         self.documents = docs
         chunks = chunking.chunk_documents(plain, F.col("chunk_chars"), F.col("group_chunks"), F.col("is_text"), ("doc_id", "source", "is_text", "min_chars", "group_chunks"))
-        # The order of chunks as one number: documents have fewer than 2 ** 20 chunks each.
-        chunks = chunks.withColumn("ord", F.shiftleft(F.col("doc_id").cast("bigint"), 20) + F.col("chunk_index"))
+        # The order of chunks as one number, wide enough for any two of doc_id (bigint) and chunk_index (int).
+        chunks = chunks.withColumn("ord", (F.col("doc_id").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("chunk_index")).cast("decimal(30,0)"))
         chunks = space.write(chunks.withColumn("short", F.length("text") < F.col("min_chars")).drop("min_chars", "group_chunks"), "chunks")
         long = chunks.filter("not short").select(F.col("ord").alias("id"), "text")
         fate = dedup.dedup_texts(long, s.dedup, s.threshold, seed=s.seed).select(F.col("id").alias("ord"), "decision")

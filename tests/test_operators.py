@@ -458,6 +458,13 @@ def test_quota(spark):
     assert sorted(r.doc_id for r in got) == [0, 1, 2, 3]
 
 
+def test_large_document_numbers_stay_apart(spark):
+    ids = [5, 2**43 + 5, 2**44 + 5, 2**63 - 1]
+    docs = spark.createDataFrame([(i, "s", [f"{w} stands alone in this paragraph of its own"]) for i, w in zip(ids, WORDS)], "doc_id bigint, source string, paragraphs array<string>")
+    got = pipeline.PreparedCorpus(docs, None, pipeline.Settings(dedup="near")).chunks.orderBy("ord").collect()
+    assert [r.doc_id for r in got] == ids and {r.fate for r in got} == {"kept"}
+
+
 def test_sources_have_their_own_chunks(spark):
     words = [f"word{i:02d}" for i in range(60)]
     rows = [(0, "a", [" ".join(words)], True, 100, 16, 2), (1, "b", [" ".join(reversed(words))], True, 200, 16, 3), (2, "c", ["x" * 20], False, 100, 16, 8), (3, "c", ["y" * 20], False, 100, 24, 8), (4, "d", ["z" * 20], None, None, None, None)]
