@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from math import exp
+from math import exp, lgamma, log, sqrt
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,31 +58,54 @@ def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return spread(docs).mapInArrow(count, "doc_id bigint, source string, tokens bigint")
 
 
-def poisson_cdf(mean: float, upto: int) -> list[float]:
-    """P(X <= k) for k = 0 .. upto - 1."""
-    out, term, total = [], exp(-mean), 0.0
-    for k in range(upto):
-        total += term
-        out.append(min(1.0, total))
-        term *= mean / (k + 1)
-    return out
+_TAIL = 2.0**-60  #: a probability that no 53-bit point tells from 0
 
 
-def capped_cdf(rate: float, cap: int) -> list[float]:
-    """The distribution function of a Poisson number cut off at ``cap`` whose mean after the cut is ``rate``."""
+def poisson_cdf(mean: float, upto: int) -> tuple[int, np.ndarray]:
+    """(first, P(X <= k) for k = first, first + 1, ... below ``upto``).
+
+    What lies outside is 0 (before) or 1 (behind) to within the resolution of the points it is read at, so the length
+    grows with the square root of the mean and not with ``upto``.
+    """
+    reach = 10 * sqrt(mean) + 50
+    first, last = max(0, int(mean - reach)), min(upto, int(mean + reach) + 1)
+    if first >= last:
+        return upto, np.zeros(0)
+    k = np.arange(first, last)
+    log_k = np.concatenate([[lgamma(first + 1)], np.log(k[1:])]).cumsum()
+    upto_k = np.minimum(np.cumsum(np.exp(k * log(mean) - mean - log_k)), 1.0)
+    skip = int(np.searchsorted(upto_k, _TAIL))
+    keep = int(np.searchsorted(upto_k, 1 - 2.0**-53)) + 1
+    return first + skip, upto_k[skip:keep]
+
+
+def capped_cdf(rate: float, cap: int) -> tuple[int, list[float]]:
+    """The distribution function, as above, of a Poisson number cut off at ``cap`` whose mean after the cut is ``rate``.
+
+    With a rate of ``cap`` or more every point gives ``cap``.
+    """
     if rate <= 0 or cap <= 0:
-        return [1.0] * max(cap, 1)
+        return 0, [1.0]
     if rate >= cap:
-        return [0.0] * cap
-    lo, hi = rate, 700.0
-    for _ in range(80):
+        return cap, []
+
+    def cut_mean(log_mean: float) -> float:
+        first, upto_k = poisson_cdf(exp(log_mean), cap)
+        return first + float((1 - upto_k).sum())
+
+    lo, hi = log(rate), log(rate) + 1
+    while cut_mean(hi) < rate and hi < 700:
+        lo, hi = hi, 2 * hi - lo
+    for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if sum(1 - p for p in poisson_cdf(mid, cap)) < rate else (lo, mid)
-    return poisson_cdf(lo, cap)
+        lo, hi = (mid, hi) if cut_mean(mid) < rate else (lo, mid)
+    first, upto_k = poisson_cdf(exp(lo), cap)
+    return first, upto_k.tolist()
 
 
 def _solve(cols: dict[str, list]) -> dict[str, list]:
-    return cols | {"cdf": [capped_cdf(r or 0.0, c) for r, c in zip(cols["rate"], cols["max_repeats"], strict=True)]}
+    first, cdf = zip(*(capped_cdf(r or 0.0, c) for r, c in zip(cols["rate"], cols["max_repeats"], strict=True)), strict=True)
+    return cols | {"fewest": list(first), "cdf": list(cdf)}
 
 
 class Mixture:
@@ -106,20 +130,28 @@ class Mixture:
         plan = wanted.join(supply, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("n_docs", "available_tokens")})
         plan = plan.withColumn("target_tokens", F.col("total_tokens") * F.col("target_share"))
         plan = plan.withColumn("rate", F.try_divide("target_tokens", "available_tokens")).withColumn("reachable", F.col("available_tokens") * F.col("max_repeats") >= F.col("target_tokens"))
-        schema = "source string, mixture string, total_tokens bigint, target_share double, max_repeats int, n_docs bigint, available_tokens bigint, target_tokens double, rate double, reachable boolean, cdf array<double>"
+        schema = "source string, mixture string, total_tokens bigint, target_share double, max_repeats int, n_docs bigint, available_tokens bigint, target_tokens double, rate double, reachable boolean, fewest int, cdf array<double>"
         return map_rows(plan, _solve, schema)
 
-    def short(self) -> DataFrame:
-        """mixture, source where even max_repeats uses of every document miss the target."""
-        return self.plan.filter(~F.col("reachable")).select("mixture", "source")
-
     def draws(self) -> DataFrame:
         """mixture, source, doc_id, tokens, copies: how often each document is used; documents not used are absent."""
         u = F.shiftrightunsigned(F.xxhash64("mixture", "doc_id", F.lit(self.seed)), 11) * F.lit(2.0**-53)
-        rows = self.sized.join(self.plan.filter("max_repeats > 0").select("source", "mixture", "cdf"), "source").withColumn("_u", u)
-        copies = F.size(F.filter("cdf", lambda p: p <= F.col("_u")))
+        rows = self.sized.join(self.plan.filter("max_repeats > 0").select("source", "mixture", "fewest", "cdf"), "source").withColumn("_u", u)
+        copies = F.col("fewest") + F.size(F.filter("cdf", lambda p: p <= F.col("_u")))
         return rows.select("mixture", "source", "doc_id", "tokens", copies.alias("copies")).filter("copies > 0")
 
+    def short(self) -> DataFrame:
+        """mixture, source whose draw stays below the target though it uses every document max_repeats times.
+
+        The draw's rate reaches max_repeats exactly where the target asks for all of that and more, and then every point
+        of the distribution gives max_repeats; so the draw itself tells which sources are short.
+        """
+        full = self.draws().join(self.plan.select("mixture", "source", "max_repeats"), ["mixture", "source"]).filter(F.col("copies") == F.col("max_repeats"))
+        full = full.groupBy("mixture", "source").agg(F.count(F.lit(1)).alias("docs_full"), F.sum(F.col("tokens") * F.col("copies")).alias("full_tokens"))
+        out = self.plan.join(full, ["mixture", "source"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("docs_full", "full_tokens")})
+        exhausted = (F.col("docs_full") == F.col("n_docs")) | (F.col("max_repeats") == 0)
+        return out.filter(exhausted & (F.col("full_tokens") < F.col("target_tokens"))).select("mixture", "source")
+
     def mixed(self) -> DataFrame:
         """mixture, source, doc_id, copy_no, tokens: one row for each use, in a global order given by a hash."""
         rows = self.draws().select("mixture", "source", "doc_id", F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no"), "tokens")

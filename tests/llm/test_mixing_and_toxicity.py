@@ -12,14 +12,18 @@ DOCS = "doc_id bigint, source string, text string, tokens string, copies int, cd
 TARGETS = "mixture string, total_tokens bigint, source string, target_share double, max_repeats int, rate string"
 
 
-@pytest.mark.parametrize("cap", [1, 2, 5, 40])
+@pytest.mark.parametrize("cap", [1, 2, 5, 40, 2000, 10**9])
 def test_capped_poisson_keeps_its_mean(cap):
-    for rate in (0.0, 0.01, 0.5 * cap, 0.95 * cap, cap, 3 * cap):
-        cdf = mixing.capped_cdf(rate, cap)
-        assert len(cdf) == cap and sum(1 - p for p in cdf) == pytest.approx(min(rate, cap), abs=1e-6)
+    mean = lambda first, cdf: first + sum(1 - p for p in cdf)
+    for rate in (0.0, 0.01, 900, 1_500, *((0.5 * cap, 0.95 * cap, cap, 3 * cap) if cap <= 2000 else ())):
+        first, cdf = mixing.capped_cdf(rate, cap)
+        assert first + len(cdf) <= max(cap, 1) and mean(first, cdf) == pytest.approx(min(rate, cap), abs=1e-6 * max(1, rate))
         assert cdf == sorted(cdf)
-    assert mixing.capped_cdf(1.0, 0) == [1.0]
-    assert mixing.poisson_cdf(2.0, 3)[2] == pytest.approx(math.exp(-2) * 5)
+    assert mixing.capped_cdf(1.0, 0) == (0, [1.0])
+    first, cdf = mixing.poisson_cdf(2.0, 3)
+    assert first == 0 and cdf[2] == pytest.approx(math.exp(-2) * 5)
+    first, cdf = mixing.poisson_cdf(1e6, 10**9)
+    assert cdf[10**6 - first] == pytest.approx(0.5, abs=1e-3)
 
 
 @needs_vocabulary
