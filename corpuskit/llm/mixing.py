@@ -8,7 +8,7 @@ globally by another hash. Nothing but one row per mixture and source is ever gat
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import exp, lgamma, log, sqrt
 from pathlib import Path
 
@@ -20,7 +20,29 @@ from corpuskit.llm._common import map_rows
 from corpuskit.llm.leaks import spread
 from corpuskit.session import Workspace
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"  #: a public byte-level BPE vocabulary
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  #: a public byte-level BPE vocabulary, as ranks or as a .json of the tokenizers library
+# Fixed value: the pattern by which byte-level vocabularies of this kind cut texts into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def token_counter(name: str, spec: bytes) -> Callable[[list[str]], list[int]]:
+    """A function from texts to their numbers of tokens, from the content of a vocabulary file."""
+    if name.endswith(".tiktoken"):
+        from base64 import b64decode
+
+        from tiktoken import Encoding
+
+        ranks = {b64decode(token): int(rank) for token, rank in map(bytes.split, spec.splitlines())}
+        encode = Encoding(name, pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda texts: [len(encode(t)) for t in texts]
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_str(spec.decode())
+    whole.encode_special_tokens = True
+    return lambda texts: [len(e.ids) for i in range(0, len(texts), 64) for e in whole.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
 
 
 def source_key(source: Column) -> Column:
@@ -33,25 +55,15 @@ def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     The vocabulary file is read on the driver and broadcast (its size is that of a public vocabulary, a few MB).
     Null and empty texts have no tokens; documents without a source count for none and are left out.
     """
-    spec = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
+    spec = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("tokens", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         held = sys.__dict__.setdefault("_corpuskit_tokenizers", {})  # outlives the task in a reused worker
         if tokenizer not in held:
-            held[tokenizer] = Tokenizer.from_str(spec.value)
-            held[tokenizer].encode_special_tokens = True
-        encode = held[tokenizer].encode_batch_fast
+            held[tokenizer] = token_counter(tokenizer, spec.value)
         for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            sizes: list[int] = []
-            for i in range(0, len(texts), 64):
-                sizes += [len(e.ids) for e in encode(texts[i : i + 64], add_special_tokens=False)]
+            sizes = held[tokenizer]([t or "" for t in batch["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source"].cast(pa.string()), pa.array(sizes, pa.int64())], schema=schema)
 
     docs = documents.select("doc_id", source_key(F.col("source")).alias("source"), "text").filter("doc_id is not null and source is not null and source <> ''")

@@ -51,11 +51,14 @@ def test_mixture(spark):
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(mixing.TOKENIZER)
+    path = mixing.TOKENIZER.replace(".tiktoken", ".json")
+    t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    texts = ["Hello world", "", "<|endoftext|> ünï", "a" * 3000]
-    got = mixing.count_tokens(spark.createDataFrame([(i, "s", x) for i, x in enumerate(texts)], "doc_id bigint, source string, text string"))
-    assert {r.doc_id: r.tokens for r in got.collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    texts = ["Hello world", "", "<|endoftext|> ünï", "a" * 3000, " " * 100_000, "ab \n" * 50_000, "x" * 300_000, "ﬁ １２3's  \t it'S", None]
+    docs = spark.createDataFrame([(i, "s", x) for i, x in enumerate(texts)], "doc_id bigint, source string, text string")
+    want = {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    for vocabulary in (mixing.TOKENIZER, path):
+        assert {r.doc_id: r.tokens for r in mixing.count_tokens(docs, vocabulary).collect()} == want
 
 
 def test_disguises_come_off():
