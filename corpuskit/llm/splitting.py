@@ -1,7 +1,9 @@
 """Splitting oversized texts at natural boundaries (problem 1).
 
 The least number of pieces is computed, equal-length targets are placed, each is snapped to the strongest boundary
-nearby (paragraph, sentence, word), and pieces are added while any limit fails.
+nearby (paragraph, sentence, word), and pieces are added while any limit fails. Where a stretch has no boundary within
+reach of its target, or no number of pieces keeps them all above the least size, the same targets are placed once more
+with a cut at the target itself, and at last without the least size.
 """
 
 from __future__ import annotations
@@ -11,10 +13,11 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from math import ceil
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpuskit.functions.pytext import storable
 from corpuskit.llm._common import map_rows, with_manifest
+from corpuskit.operators.dedup import first_deliveries
 from corpuskit.sources.jsonlines import Number, json_object
 
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*|[\u2029]\s*")
@@ -33,7 +36,7 @@ class _Cutter:
         paragraph = _BLANK_LINE if _BLANK_LINE.search(text) else _LINE
         ends = [sorted(m.end() for m in p.finditer(text)) for p in (paragraph, _SENTENCE, _WORD, _UNSPACED)]
         self.levels = [e for e in ends if e]
-        self.starts = sorted({x for e in ends[:3] for x in e})
+        self.starts = sorted({x for e in ends for x in e})
         if not self.starts:
             self.overlap = 0  # pieces begin at boundaries only, so there is nothing to share
 
@@ -61,20 +64,34 @@ class _Cutter:
     def too_small(self, start: int, end: int) -> bool:
         return end - start < self.least or len(self.text[start:end].strip()) < self.least
 
-    def balanced(self, pieces: int) -> list[tuple[int, int]] | None:
-        """``pieces`` pieces around equal-length targets, or None when a limit fails."""
+    def unbroken(self) -> bool:
+        """Whether some stretch without a boundary is longer than a piece may be."""
+        marks = [0, *sorted({x for e in self.levels for x in e}), self.n]
+        return any(b - a > self.limit for a, b in zip(marks, marks[1:], strict=False))
+
+    def balanced(self, pieces: int, anywhere: bool = False, least: int | None = None) -> list[tuple[int, int]] | None:
+        """``pieces`` pieces around equal-length targets, or None when a limit fails.
+
+        ``anywhere``: where no boundary lies within reach, the cut is at the target. With it and a ``least`` of 1 no limit
+        can fail from the least number of pieces on: every cut leaves no more than the further pieces hold.
+        """
+        least = self.least if least is None else least
         room, start, cut, spans = self.limit - self.overlap, 0, 0, []
         stride = (self.n - self.overlap) / pieces
         for i in range(1, pieces):
             target = self.overlap + i * stride
-            lo = max(start + self.least, cut + 1, ceil(self.n - (pieces - i) * room))
+            lo = max(start + least, cut + 1, ceil(self.n - (pieces - i) * room))
             hi = min(start + self.limit, self.n - 1)
-            cut_at = self.snap(lo, hi, target, stride / 3) if lo <= hi else None
-            if cut_at is None or self.too_small(start, cut_at):
+            if lo > hi:
+                return None
+            cut_at = self.snap(lo, hi, target, stride / 3)
+            if anywhere and cut_at is None:
+                cut_at = self.hard(lo, min(max(int(target), lo), hi))
+            if cut_at is None or least > 1 and self.too_small(start, cut_at):
                 return None
             spans.append((start, cut_at))
             cut, start = cut_at, self.restart(cut_at, start)
-        if self.n - start > self.limit or self.too_small(start, self.n):
+        if self.n - start > self.limit or least > 1 and self.too_small(start, self.n):
             return None
         return [*spans, (start, self.n)]
 
@@ -85,33 +102,18 @@ class _Cutter:
                 return x
         return at
 
-    def onward(self) -> list[tuple[int, int]]:
-        """Piece by piece, for texts with stretches that leave no choice; targets are set anew after every cut."""
-        start, spans = 0, []
-        while self.n - start > self.limit:
-            rest = self.n - start
-            pieces = max(2, ceil((rest - self.overlap) / (self.limit - self.overlap)))
-            target = start + self.overlap + (rest - self.overlap) / pieces
-            lo, hi = start + max(self.least, self.overlap + 1), min(start + self.limit, self.n - 1)
-            if self.n - self.least >= lo:
-                hi = min(hi, self.n - self.least)
-            lo = min(lo, hi)
-            cut = self.snap(lo, hi, target, (self.limit - self.overlap) / 3)
-            if cut is None:
-                cut = self.hard(lo, min(int(target), hi))
-            spans.append((start, cut))
-            start = self.restart(cut, start)
-        return [*spans, (start, self.n)]
-
     def spans(self) -> list[tuple[int, int]]:
         if self.n <= self.limit:
             return [(0, self.n)]
-        pieces = max(2, ceil((self.n - self.overlap) / (self.limit - self.overlap)))
-        for attempt in range(12):
-            if found := self.balanced(pieces):
-                return found
-            pieces += 1 if attempt < 4 else max(1, pieces // 8)
-        return self.onward()
+        fewest = max(2, ceil((self.n - self.overlap) / (self.limit - self.overlap)))
+        # A stretch longer than a piece can't be cut at a boundary, whatever the number of pieces.
+        for anywhere in (True,) if self.unbroken() else (False, True):
+            pieces = fewest
+            for attempt in range(12):
+                if found := self.balanced(pieces, anywhere):
+                    return found
+                pieces += 1 if attempt < 4 else max(1, pieces // 8)
+        return self.balanced(fewest, True, 1)
 
 
 def split_spans(text: str, limit: int, overlap: int = 0, least: int = 1) -> list[tuple[int, int]]:
@@ -138,13 +140,6 @@ def _pieces(cols: dict[str, list]) -> dict[str, list]:
     return out
 
 
-def first_delivery(df: DataFrame, key: str, at: str) -> DataFrame:
-    """One row per key: the earliest delivery (then the smallest content, so that reruns agree)."""
-    rest = [c for c in df.columns if c not in (key, at)]
-    w = Window.partitionBy(key).orderBy(F.col(at).asc_nulls_last(), *rest)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
 def split_oversized(records: DataFrame, manifest: DataFrame) -> DataFrame:
     """Pieces of every record whose text is longer than its source's ``chunk_chars``.
 
@@ -159,7 +154,7 @@ def split_oversized(records: DataFrame, manifest: DataFrame) -> DataFrame:
     rows = with_manifest(records.select("record_id", "source", "raw_json", "fetched_at"), manifest, "text_field", "chunk_chars", "chunk_overlap", "min_chars")
     # A JSON spelling is never shorter than its text: shorter lines can't hold an oversized text and needn't be shuffled.
     rows = rows.filter(F.length("raw_json") > F.col("chunk_chars"))
-    rows = first_delivery(rows, "record_id", "fetched_at").drop("fetched_at", "source")
+    rows = first_deliveries(rows.drop("source"), "record_id", "fetched_at").drop("fetched_at")
     return map_rows(rows, _pieces, "record_id bigint, piece_no int, start_char int, end_char int, text string")
 
 
