@@ -69,38 +69,42 @@ class _Cutter:
         marks = [0, *sorted({x for e in self.levels for x in e}), self.n]
         return any(b - a > self.limit for a, b in zip(marks, marks[1:], strict=False))
 
-    def balanced(self, pieces: int, anywhere: bool = False, least: int | None = None) -> list[tuple[int, int]] | None:
+    def balanced(self, pieces: int, anywhere: bool = False, at_last: bool = False) -> list[tuple[int, int]] | None:
         """``pieces`` pieces around equal-length targets, or None when a limit fails.
 
-        ``anywhere``: where no boundary lies within reach, the cut is at the target. With it and a ``least`` of 1 no limit
-        can fail from the least number of pieces on: every cut leaves no more than the further pieces hold.
+        ``anywhere``: where no boundary lies within reach, the cut is at the target. ``at_last``: pieces may be of any
+        size and joined characters may part; then no limit can fail from the least number of pieces on, since every cut
+        leaves no more than the further pieces hold.
         """
-        least = self.least if least is None else least
+        least = 1 if at_last else self.least
         room, start, cut, spans = self.limit - self.overlap, 0, 0, []
         stride = (self.n - self.overlap) / pieces
         for i in range(1, pieces):
             target = self.overlap + i * stride
             lo = max(start + least, cut + 1, ceil(self.n - (pieces - i) * room))
-            hi = min(start + self.limit, self.n - 1)
+            hi = min(start + self.limit, self.n - (pieces - i))  # the rest needs a character for each piece
             if lo > hi:
                 return None
             cut_at = self.snap(lo, hi, target, stride / 3)
             if anywhere and cut_at is None:
-                cut_at = self.hard(lo, min(max(int(target), lo), hi))
-            if cut_at is None or least > 1 and self.too_small(start, cut_at):
+                cut_at = self.hard(lo, hi, target)
+                if cut_at is None and at_last:
+                    cut_at = min(max(int(target), lo), hi)
+            if cut_at is None or not at_last and self.too_small(start, cut_at):
                 return None
             spans.append((start, cut_at))
             cut, start = cut_at, self.restart(cut_at, start)
-        if self.n - start > self.limit or least > 1 and self.too_small(start, self.n):
+        if self.n - start > self.limit or not at_last and self.too_small(start, self.n):
             return None
         return [*spans, (start, self.n)]
 
-    def hard(self, lo: int, at: int) -> int:
-        """A place without any boundary, but not before a combining mark or inside a joined sequence."""
-        for x in range(at, max(lo, at - 16), -1):
+    def hard(self, lo: int, hi: int, target: float) -> int | None:
+        """The place nearest to the target that is not before a combining mark or inside a joined sequence."""
+        at = min(max(int(target), lo), hi)
+        for x in sorted(range(max(lo, at - 16), min(hi, at + 16) + 1), key=lambda x: abs(x - at)):
             if not unicodedata.combining(self.text[x]) and self.text[x] not in "\u200d\ufe0f" and self.text[x - 1] != "\u200d":
                 return x
-        return at
+        return None
 
     def spans(self) -> list[tuple[int, int]]:
         if self.n <= self.limit:
@@ -113,7 +117,7 @@ class _Cutter:
                 if found := self.balanced(pieces, anywhere):
                     return found
                 pieces += 1 if attempt < 4 else max(1, pieces // 8)
-        return self.balanced(fewest, True, 1)
+        return self.balanced(fewest, True, True)
 
 
 def split_spans(text: str, limit: int, overlap: int = 0, least: int = 1) -> list[tuple[int, int]]:

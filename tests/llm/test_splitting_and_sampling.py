@@ -46,6 +46,21 @@ def test_a_paragraph_end_is_preferred():
     assert splitting.split_spans(text, 70)[0][1] == 45
 
 
+def test_unbroken_stretches_keep_balanced_targets():
+    rng = random.Random(1)
+    for _ in range(100):
+        parts = [rng.choice(["word " * rng.randint(1, 30), "Short one. ", "x" * rng.randint(100, 400) + " "]) for _ in range(12)]
+        text = "".join(parts).strip()
+        cutter = splitting._Cutter(text, 90, 0, 5)
+        spans = check(text, 90, 0, 5)
+        marks = {x for e in cutter.levels for x in e}
+        for i, (a, b) in enumerate(spans[:-1], 1):
+            # A hard cut stands only where no boundary lies within reach.
+            lo, hi = max(a + 5, len(text) - (len(spans) - i) * 90), min(a + 90, len(text) - (len(spans) - i))
+            assert b in marks or not any(lo <= x <= hi for x in marks)
+        assert len(spans) <= 2 * -(-len(text) // 90) + 2
+
+
 def test_no_choice():
     assert [b - a for a, b in check("x" * 1000, 100, 10, 20)] == [100] * 10
     check("x" * 95 + " " + "y" * 300, 100, 0, 50)
