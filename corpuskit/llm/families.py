@@ -20,6 +20,8 @@ from corpuskit.session import Workspace
 
 # Author entries that name nobody, as sorted name parts in lower case.
 NOBODY = ["", "anon", "anonymous", "author no", "none", "a n", "unknown", "unbekannt", "null", "nobody", "author unknown", "n a", "na", "nil", "tbd", "not available", "staff", "editor", "admin"]
+MOST_SPLITS = 100  #: more splits than this are an error: each is a branch of one expression
+BIN_ROWS = 200_000  #: rows that a hash range of families holds on average at most
 _JSONL = r"(?i)\.(jsonl|ndjson|json)(\.gz)?$"
 
 
@@ -37,8 +39,8 @@ def entity_keys(entities: Column) -> Column:
 def _keyed(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     """chunk_no, the hash of its group (null without a complete group key) and the hashes of its author and entities."""
     rows = chunks.select("chunk_no", "source", "shard_sha256", "doc_index", "chunk_index", "author", "entity_ids").filter(F.col("chunk_no").isNotNull())
-    fmt = manifest.select("source", F.when(F.coalesce(F.trim("shard_format"), F.lit("")) != "", F.lower(F.trim("shard_format")) == "jsonl").otherwise(F.get("shards", F.lit(0)).rlike(_JSONL)).alias("_jsonl"))
-    rows = with_manifest(rows, manifest, "group_chunks").join(fmt.dropDuplicates(["source"]), "source", "left")
+    is_jsonl = F.when(F.coalesce(F.trim("shard_format"), F.lit("")) != "", F.lower(F.trim("shard_format")) == "jsonl").otherwise(F.get("shards", F.lit(0)).rlike(_JSONL))
+    rows = with_manifest(rows, manifest.select("source", "group_chunks", is_jsonl.alias("_jsonl")), "group_chunks", "_jsonl")
     group = F.when(F.coalesce("_jsonl", F.lit(False)), F.lit(0)).otherwise(F.floor(F.col("chunk_index") / F.greatest("group_chunks", F.lit(1)))).cast("bigint")
     rows = rows.withColumn("_group", group)
     whole = F.col("source").isNotNull() & F.col("shard_sha256").isNotNull() & F.col("doc_index").isNotNull() & F.col("_group").isNotNull()
@@ -133,22 +135,27 @@ def family_members(found: DataFrame) -> DataFrame:
     return found.filter("chunk_no <> family_no").select("family_no", "chunk_no")
 
 
-def assign_splits(found: DataFrame, targets: DataFrame, seed: int = 0, bins: int = 4096) -> DataFrame:
+def assign_splits(found: DataFrame, targets: DataFrame, seed: int = 0, bins: int | None = None) -> DataFrame:
     """chunk_no, family_no, split: families go whole to splits, in shares near ``targets`` (split, fraction).
 
     Families heavier than a fiftieth of the smallest split's share come first, heaviest first (there are at most 50 to
     the share of it, whatever the data); the rest follow in the order of a salted hash. A family belongs to the split in
     whose stretch of the cumulative weight its middle lies, the largest split's stretch being first. The running sum is
-    two-level: over ``bins`` hash ranges, then within each, so no task sees more than its range.
+    two-level: over ``bins`` hash ranges (at least 4096, and more as the rows grow), then within each, so no task sees more
+    than its range. The ranges' sums, one number each, are added up in one task: 10 ** 12 rows have 5 million.
     Null or non-positive fractions get nothing; without any positive one the split is null.
     """
     space = Workspace(found.sparkSession, "splits")
     rows = space.write(found, "rows")
     weight = space.write(rows.groupBy("family_no").agg(F.count(F.lit(1)).alias("w")), "weights")
     total = weight.agg(F.sum("w")).first()[0] or 0
-    shares = sorted(((r.fraction, r.split) for r in targets.select("split", "fraction").filter("fraction > 0 and split is not null").limit(10_000).collect()), key=lambda x: (-x[0], x[1]))
+    shares = targets.select("split", "fraction").filter("fraction > 0 and split is not null").limit(MOST_SPLITS + 1).collect()
+    if len(shares) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits")
+    shares = sorted(((r.fraction, r.split) for r in shares), key=lambda x: (-x[0], x[1]))
     if not shares:
         return rows.withColumn("split", F.lit(None).cast("string"))
+    bins = bins or max(4096, total // BIN_ROWS)
     heavy = total * shares[-1][0] / sum(f for f, _ in shares) / 50
     big, rest = weight.filter(F.col("w") > heavy), weight.filter(F.col("w") <= heavy)
     rest = rest.withColumn("h", F.xxhash64("family_no", F.lit(seed))).withColumn("bin", F.pmod(F.shiftrightunsigned("h", 20), F.lit(bins)).cast("bigint"))

@@ -8,6 +8,7 @@ comparison of the whole normalised structure.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, functions as F
@@ -17,8 +18,6 @@ from corpuskit.llm._common import map_rows, with_manifest
 from corpuskit.session import Workspace
 from corpuskit.sources.jsonlines import Number, json_object
 
-_DEPTH = 400  #: deeper nesting is compared as one leaf
-
 
 def _number(spelt: str) -> str:
     try:
@@ -28,27 +27,46 @@ def _number(spelt: str) -> str:
         return spelt
 
 
-def canonical(value: object, depth: int = 0) -> tuple[bytes, str]:
-    """The digest of a JSON value and its whole normalised structure as a text."""
-    if isinstance(value, dict) and depth < _DEPTH:
-        parts = []
-        for name, member in value.items():
-            digest, text = canonical(member, depth + 1)
-            parts.append((hashlib.blake2b(name.encode("utf-8", "replace") + b"\0" + digest, digest_size=16).digest(), repr(name) + ":" + text))
-        parts.sort()
-        kind, digests, text = b"o", [d for d, _ in parts], "{" + ",".join(t for _, t in parts) + "}"
-    elif isinstance(value, list) and depth < _DEPTH:
-        parts = [canonical(member, depth + 1) for member in value]
-        kind, digests, text = b"a", [d for d, _ in parts], "[" + ",".join(t for _, t in parts) + "]"
+def _leaf(value: object) -> tuple[bytes, str]:
+    if isinstance(value, Number):
+        kind, text = b"n", "n" + _number(value)
+    elif isinstance(value, str):
+        kind, text = b"s", "s" + repr(storable(reading_text(value)))
     else:
-        if isinstance(value, Number):
-            kind, text = b"n", "n" + _number(value)
-        elif isinstance(value, str):
-            kind, text = b"s", "s" + repr(storable(reading_text(value)))
+        kind, text = b"c", repr(value)
+    return hashlib.blake2b(kind + text.encode("utf-8", "replace"), digest_size=16).digest(), text
+
+
+def canonical(value: object) -> tuple[bytes, str]:
+    """The digest of a JSON value and its whole normalised structure as a text, whatever the depth of nesting.
+
+    Nodes are worked off bottom-up by a stack of open ones: their kind, the members still to come and the finished ones.
+    """
+    done: list = []
+    stack: list[tuple[bytes, Iterator, list, str | None]] = [(b"", iter([(None, value)]), done, None)]
+    while stack:
+        kind, members, finished, own_name = stack[-1]
+        for name, member in members:
+            if isinstance(member, dict):
+                stack.append((b"o", iter(member.items()), [], name))
+                break
+            if isinstance(member, list):
+                stack.append((b"a", iter([(None, x) for x in member]), [], name))
+                break
+            finished.append((name, *_leaf(member)))
         else:
-            kind, text = b"c", repr(value)
-        digests = [text.encode("utf-8", "replace")]
-    return hashlib.blake2b(kind + b"".join(digests), digest_size=16).digest(), text
+            stack.pop()
+            if not stack:
+                break
+            if kind == b"o":
+                parts = sorted((hashlib.blake2b(n.encode("utf-8", "replace") + b"\0" + d, digest_size=16).digest(), repr(n) + ":" + t) for n, d, t in finished)
+                text = "{" + ",".join(t for _, t in parts) + "}"
+                digests = [d for d, _ in parts]
+            else:
+                text = "[" + ",".join(t for _, _, t in finished) + "]"
+                digests = [d for _, d, _ in finished]
+            stack[-1][2].append((own_name, hashlib.blake2b(kind + b"".join(digests), digest_size=16).digest(), text))
+    return done[0][1:]
 
 
 def _roots(cols: dict[str, list]) -> dict[str, list]:
@@ -81,24 +99,24 @@ class RecordClasses:
 
     Digests are computed once and written to the shared folder. Copies are combined before every shuffle, so a class
     that holds a third of all rows is a handful of rows after its map side; listing its members joins one row per class
-    to the ids, which adaptive execution splits where a class is hot.
+    to the ids, which adaptive execution splits where a class is hot. The full comparison reads the structures of records
+    whose root others have too; those of single records are never shuffled where Spark broadcasts the shared roots or
+    filters by them (it does so by itself from 10 GB on).
     """
 
     def __init__(self, records: DataFrame, manifest: DataFrame):
         space = Workspace(records.sparkSession, "records")
         self.rows = space.write(digests(records, manifest), "digests")
-        # The full comparison: one row for each distinct structure, whatever its digest.
-        structures = self.rows.groupBy("d1", "d2", "whole").agg(F.min("record_id").alias("least"))
-        per_root = structures.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("structures"))
-        clashing = space.write(per_root.filter("structures > 1").select("d1", "d2"), "clashing")
-        ids = self.rows.select("record_id", "d1", "d2").distinct()
-        if clashing.limit(1).count():
+        self.ids = self.rows.select("record_id", "d1", "d2").distinct().withColumn("whole", F.lit(""))
+        # The full comparison: roots with several records, by one row for each distinct structure.
+        shared = self.rows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = space.write(shared, "shared").filter("n > 1").select("d1", "d2")
+        structures = self.rows.join(shared, ["d1", "d2"], "left_semi").groupBy("d1", "d2", "whole").agg(F.count(F.lit(1)).alias("n"))
+        clashing = space.write(structures.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("structures")).filter("structures > 1").select("d1", "d2"), "clashing")
+        if not clashing.isEmpty():
             # Different structures under one 128-bit digest: their rows are told apart by the structure itself.
             apart = self.rows.join(clashing, ["d1", "d2"]).select("record_id", "d1", "d2", "whole").distinct()
-            ids = ids.join(clashing, ["d1", "d2"], "left_anti").withColumn("whole", F.lit("")).unionByName(apart)
-        else:
-            ids = ids.withColumn("whole", F.lit(""))
-        self.ids = ids
+            self.ids = self.ids.join(clashing, ["d1", "d2"], "left_anti").unionByName(apart)
 
     def collapsed(self) -> DataFrame:
         """kept_id, copies: one row per class with its smallest record_id and the number of its records."""

@@ -99,7 +99,7 @@ def test_hot_class_and_empty_table(spark):
 
 
 def test_clashing_digests_are_told_apart(spark, monkeypatch):
-    monkeypatch.setattr(rec, "canonical", lambda value, depth=0: (b"\0" * 16, repr(value["text"])))
+    monkeypatch.setattr(rec, "canonical", lambda value: (b"\0" * 16, repr(value["text"])))
     pairs, copies = classes(spark, [(1, "s", '{"body": "a"}'), (2, "s", '{"body": "b"}'), (3, "s", '{"body": "a"}')])
     assert pairs == [(1, 3)] and copies == {1: 2, 2: 1}
 
@@ -109,7 +109,21 @@ def test_canonical_numbers_and_depth():
     same = lambda a, b: rec.canonical(a)[0] == rec.canonical(b)[0]
     assert same(n("1"), n("1.0")) and same(n("1e2"), n("100")) and not same(n("1"), "1") and not same(True, n("1")) and not same(None, "none") and not same(n("1.5"), n("15"))
     deep = "x"
-    for _ in range(900):
-        deep = [deep]
-    assert rec.canonical(deep)
+    for _ in range(2000):
+        deep = {"b": n("1"), "a": [deep]}
+    turned = "X."
+    for _ in range(2000):
+        turned = {"a": [turned], "b": n("1.0")}
+    assert rec.canonical(deep) == rec.canonical(turned) and rec.canonical(deep) != rec.canonical({"b": n("1"), "a": [deep]})
+
+
+def test_deeply_nested_lines(spark):
+    nest = lambda k, leaf: "[" * k + leaf + "]" * k
+    line = lambda k, order: '{"body": "t", "attrs": {"x": ' + nest(k, '{"a": 1, "b": 2}' if order else '{"b": 2, "a": 1}') + "}}"
+    pairs, _ = classes(spark, [(1, "s", line(450, True)), (2, "s", line(450, False)), (3, "s", line(2000, True)), (4, "s", line(2000, False))])
+    assert pairs == [(1, 2), (3, 4)]
+
+
+def test_canonical_large_numbers():
+    n = rec.Number
     assert rec.canonical(n("1e999999999"))
