@@ -68,12 +68,44 @@ def test_all_near_pairs_are_found(spark):
                 n = max(len(text[a]), len(text[b]))
                 if overlap.numbers(text[a]) == overlap.numbers(text[b]) and lev(text[a], text[b]) <= n // 8:
                     want.add((min(a, b), max(a, b)))
-    for block, portion in ((5000, 50000), (7, 9)):  # small blocks and portions spread a hot key
-        got = overlap.CrossSplitOverlaps(examples(spark, rows), m, block, portion).found().collect()
+    for per_shard, portion in ((20_000, 50_000), (7, 9)):  # small shards and portions spread hot anchors
+        found = overlap.CrossSplitOverlaps(examples(spark, rows), m, per_shard, portion)
+        got = found.found().collect()
         assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
+        report = found.report().collect()
+        for kind, mine in (("train", True), ("val", False), ("test", False)):
+            own = {x for p in want for x in p if side[x] == mine and (mine or dict((i, s) for i, s, _ in rows)[x] == kind[:2])}
+            assert sum(r.n_overlapping for r in report if r.split == kind) == len(own)
+        assert sum(r.n_pairs for r in report if r.split == "train") == len(want) == sum(r.n_pairs for r in report if r.split != "train")
     assert len(want) > 50
 
 
+def test_hashes_are_those_of_spark(spark):
+    rows = [(k, w) for k in (0, 7, -(2**62)) for w in ("a", "größer", "x" * 100)]
+    got = spark.createDataFrame(rows, "k bigint, w string").selectExpr("k", "w", "xxhash64(k, w) AS h").collect()
+    assert all(overlap._Router.hashes(r.k, [r.w]) == [r.h % 2**64] for r in got)
+
+
+def test_collisions_and_hot_anchors_lose_nothing(spark, monkeypatch):
+    """Counts in four buckets and a filter of few bits: every text goes everywhere, and the pairs stay the same."""
+    rng = random.Random(4)
+    rows = [(f"{i}", "va" if i % 4 == 0 else "tr", [("user", " ".join(rng.choice(WORDS) for _ in range(rng.choice([2, 9, 17]))))]) for i in range(200)]
+    m = spark.createDataFrame([("tr", "train"), ("va", "val")], "source string, split string")
+    want = {tuple(r) for r in overlap.CrossSplitOverlaps(examples(spark, rows), m).found().collect()}
+    monkeypatch.setattr(overlap, "COUNTERS", 4)
+    assert want and {tuple(r) for r in overlap.CrossSplitOverlaps(examples(spark, rows), m, 5, 3).found().collect()} == want
+
+
+def test_coverage_unites_training_texts(spark):
+    m = spark.createDataFrame([("tr", "train"), ("va", "val")], "source string, split string")
+    w = [f"w{i}" for i in range(40)]
+    rows = [("e", "va", [("user", " ".join(w[:28]))]), ("a", "tr", [("user", " ".join([*w[:20], "other", "words", "here"]))]), ("b", "tr", [("user", " ".join(["start", *w[8:28], *w[30:]]))]), ("f", "va", [("user", "nothing of it")])]
+    got = overlap.CrossSplitOverlaps(examples(spark, rows), m)
+    assert got.found().count() == 0
+    report = {r.split: r for r in got.report().collect()}
+    assert report["val"].n_covered == 1 and report["val"].mean_coverage == 0.5 and report["train"].mean_coverage is None
+
+
 def test_overlap_cases(spark):
     m = spark.createDataFrame([("tr", "train"), ("va", "val"), ("no", None), ("tr", "train")], "source string, split string")
     u = lambda *t: [("user", x) for x in t]
@@ -199,12 +231,9 @@ def test_cgk_turns_edits_into_few_differences():
 
 
 def test_passages_cover_the_prompt():
-    from collections import Counter
-
     rng = random.Random(0)
     for n in range(1, 80):
-        w = [rng.choice(WORDS) for _ in range(n)]
-        spans = overlap.passages(w, Counter(w))
-        assert len(spans) == n // 7 + 1 and spans[0][0] == 0 and spans[-1][1] == n and all(a < b for a, b in spans) and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
-    with pytest.raises(StopIteration):
-        next(overlap._Shard([(0, 0, "a b")]).scan(0, 1, "a b"))
+        spans = overlap.passages([rng.choice(WORDS) for _ in range(n)], [rng.randint(0, 9) for _ in range(n)])
+        assert len(spans) == n // 7 + 1 and spans[0][0] == 0 and spans[-1][1] == n and all(a <= i < b for a, b, i in spans) and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+    shard = overlap._Shard({(0, "a b"): ((1, 2), {(0, 2)})})
+    assert [x[0] for x in shard.scan(0, "a b")] == [(1, 2)] and not list(shard.scan(1, "a b"))
