@@ -108,6 +108,7 @@ class _Router:
         return max(1, -(-self.count(h) // self.portion))
 
     def is_anchor(self, h: int) -> bool:
+        """Whether a word is an anchor, or a set of numbers one of an evaluation prompt."""
         bit = (h >> 20) & (FILTER_BITS - 1)
         return bool(self.bits[bit >> 3] >> (bit & 7) & 1)
 
@@ -115,43 +116,59 @@ class _Router:
         return (((h ^ portion * _MIX) * _MIX & _ALL64) >> 32) % self.shards
 
     def shards_of_text(self, numbers_key: int, text: str) -> set[int]:
+        if not self.is_anchor(numbers_key):
+            return set()
         found = [h for h in self.hashes(numbers_key, set(text.split(" "))) if self.is_anchor(h)]
         own = xxh64_intdigest(text.encode()) if any(self.portions(h) > 1 for h in found) else 0
         return {self.shard(h, own % self.portions(h)) for h in found}
 
 
 class _Shard:
-    """The evaluation prompts of one shard and the automaton over the passages that were dealt to it.
+    """The evaluation prompts of one shard and, for each set of numbers, the automaton over the passages dealt to it.
 
-    ``prompts``: (numbers key, text) to the prompt's ids and the spans of its passages here.
+    ``prompts``: (numbers key, text) to the prompt's ids and the spans of its passages here. An automaton is built when
+    the first training text with its numbers comes.
     """
 
     def __init__(self, prompts: dict[tuple[int, str], tuple[tuple[int, int], set[tuple[int, int]]]]):
+        self.prompts = [(text, ids, spans) for (_, text), (ids, spans) in prompts.items()]
+        self.seen: list[set[tuple[int, int]]] = [set() for _ in self.prompts]
+        self.of_key: dict[int, list[int]] = {}
+        for i, (key, _) in enumerate(prompts):
+            self.of_key.setdefault(key, []).append(i)
+        self.automata: dict = {}
+
+    def automaton(self, key: int):
         import ahocorasick
 
-        self.prompts = [(key, text, text.split(" "), ids) for (key, text), (ids, _) in prompts.items()]
-        self.seen: list[set[tuple[int, int]]] = [set() for _ in self.prompts]
         found: dict[str, list[tuple[int, int, int]]] = {}
-        for i, (_, spans) in enumerate(prompts.values()):
+        for i in self.of_key[key]:
+            text, _, spans = self.prompts[i]
+            words = text.split(" ")
             for a, b in spans:
-                found.setdefault(" " + " ".join(self.prompts[i][2][a:b]) + " ", []).append((i, a, b))
-        self.automaton = ahocorasick.Automaton()
+                found.setdefault(" " + " ".join(words[a:b]) + " ", []).append((i, a, b))
+        out = ahocorasick.Automaton()
         for passage, places in found.items():
-            self.automaton.add_word(passage, places)
-        self.automaton.make_automaton()
+            out.add_word(passage, places)
+        out.make_automaton()
+        return out
 
     def scan(self, key: int, text: str) -> Iterator[tuple[tuple[int, int], int, set[tuple[int, int]]]]:
         """The ids of evaluation prompts near ``text``, with their distance and the matched passages."""
+        if key not in self.of_key:
+            return
+        if key not in self.automata:
+            self.automata[key] = self.automaton(key)
         hits: dict[int, set[tuple[int, int]]] = {}
-        for _, places in self.automaton.iter(f" {text} "):
+        for _, places in self.automata[key].iter(f" {text} "):
             for i, a, b in places:
-                if self.prompts[i][0] == key:
-                    hits.setdefault(i, set()).add((a, b))
+                hits.setdefault(i, set()).add((a, b))
         if hits:
             words = text.split(" ")
             for i, spans in hits.items():
                 self.seen[i] |= spans
-                _, other, others, ids = self.prompts[i]
+                other, ids, _ = self.prompts[i]
+                others = other.split(" ")
                 d = 0 if text == other else distance(words, others, edits_for(max(len(words), len(others))))
                 if d is not None and (d == 0 or numbers(words) == numbers(others)):
                     yield ids, d, spans
@@ -192,7 +209,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out += [(t1, t2, *ids, d, _structs(spans)) for ids, d, spans in shard.scan(key, text)]
         if out:
             yield _batch(out, schema)
-    touched = [(None, None, *ids, None, _structs(spans)) for (*_, ids), spans in zip(shard.prompts, shard.seen, strict=True) if spans] if shard else []
+    touched = [(None, None, *ids, None, _structs(spans)) for (_, ids, _), spans in zip(shard.prompts, shard.seen, strict=True) if spans] if shard else []
     if touched:
         yield _batch(touched, schema)
 
@@ -256,7 +273,7 @@ class CrossSplitOverlaps:
             return out
 
         cuts = self.space.write(map_rows(held, cut, f"numbers_key bigint, t1 bigint, t2 bigint, text string, anchor bigint, portions int, spans {_SPANS}"), "cuts")
-        bit = F.shiftright("anchor", 20).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+        bit = F.shiftright(F.explode(F.array("anchor", "numbers_key")), 20).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
         # FILTER_BITS / 8 bytes at most, whatever the data.
         maps = cuts.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
