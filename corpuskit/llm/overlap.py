@@ -273,9 +273,9 @@ class CrossSplitOverlaps:
             return out
 
         cuts = self.space.write(map_rows(held, cut, f"numbers_key bigint, t1 bigint, t2 bigint, text string, anchor bigint, portions int, spans {_SPANS}"), "cuts")
-        bit = F.shiftright(F.explode(F.array("anchor", "numbers_key")), 20).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+        bit = F.shiftright("h", 20).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
         # FILTER_BITS / 8 bytes at most, whatever the data.
-        maps = cuts.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+        maps = cuts.select(F.explode(F.array("anchor", "numbers_key")).alias("h")).select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for r in maps:
             bits[(r.part - 1) * _BITMAP // 8 : r.part * _BITMAP // 8] = np.frombuffer(r.bits, np.uint8)
