@@ -6,8 +6,9 @@ these are out-of-fold predictions. A document scores as its worst sentence.
 
 Labels exist per document only. The sentence that makes a labelled document abusive is found by alternating: score the
 sentences, take each document's worst, train again, and drop labelled documents without any suspicious sentence (labels
-are wrong at times). The first four categories carry no labels in the data; a worst sentence counts for a category when
-it has one of that category's seed words.
+are wrong at times). The first four categories carry no labels in the data. Seed words name the category of some of the
+worst sentences; a model of their other words, which never sees a seed, then judges every worst sentence, so that a
+category is learnt from its phrasing and not from the list.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from corpuskit.llm.leaks import spread
 
 CATEGORIES = ("sexual", "threat", "hate", "insult", "abusive")
 POSITIVES, NEGATIVES = 4_000, 12_000  #: the most labelled documents of either verdict that training looks at
+CLEAN_WEIGHT = 5.0  #: the most that a clean document of the sample weighs in the fit
+LEAST_POSITIVES = 5  #: abusive documents that the choice of a threshold needs
 
 # Seed words of the categories, in English, German, French and Spanish.
 SEEDS = {
@@ -49,40 +52,49 @@ _TWINS = str.maketrans("\u0430\u0435\u043e\u0440\u0441\u0445\u0443\u043a\u043c\u
 _SPELT = "zzspeltzz"  #: stands before letters that were spelt out
 _LATIN = re.compile("[a-z]")
 _WINDOW, _STEP = 24, 12
+DECAY = 3e-5  #: how strongly weights are drawn to zero
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
+def _read(token: str) -> tuple[str, ...]:
+    """What a single token in lower case stands for: look-alike signs read as letters, repeats collapsed, masks marked."""
+    token = token.strip("!|_")
+    if not token:
+        return ()
+    if token == _SPELT:
+        return ("<spelt>",)
+    if token.isdigit():
+        return ("<num>",)
+    if "*" in token.strip("*"):
+        return "<mask>", _RUN.sub(r"\1", f"{token[0]}*{token[-1]}{len(token)}")
+    if not token.isascii() and (twin := token.translate(_TWINS)) != token and _LATIN.search(token):
+        return "<twin>", _RUN.sub(r"\1", twin.translate(_LEET))
+    if not token.isalpha() and any(c.isalpha() for c in token):
+        return (_RUN.sub(r"\1", token.replace("*", "").translate(_LEET)),)
+    return (_RUN.sub(r"\1", token),)
+
+
+def _joined(m: re.Match) -> str:
+    word = re.sub(r"[ .\-_*·]", "", m.group())
+    # The letters may begin with a one-letter word of their own.
+    return f" {_SPELT} {word} {word[1:]} "
+
+
+_READ: dict[str, tuple[str, ...]] = {}  # tokens read before; emptied when it grows large
+
+
 def plain_tokens(sentence: str) -> list[str]:
     """Words with disguises taken off: spelt-out letters joined, look-alike signs read as letters, repeats collapsed."""
     if not sentence.isascii():
         sentence = "".join(c for c in unicodedata.normalize("NFD", sentence) if not unicodedata.combining(c))
-    sentence = sentence.lower()
-    out = []
-
-    def join(m: re.Match) -> str:
-        word = re.sub(r"[ .\-_*·]", "", m.group())
-        # The letters may begin with a one-letter word of their own.
-        return f" {_SPELT} {word} {word[1:]} "
-
-    for token in _TOKEN.findall(_SPACED.sub(join, sentence)):
-        token = token.strip("!|_")
-        if not token:
-            continue
-        if token == _SPELT:
-            token = "<spelt>"
-        elif token.isdigit():
-            token = "<num>"
-        elif "*" in token.strip("*"):
-            out.append("<mask>")
-            token = f"{token[0]}*{token[-1]}{len(token)}"
-        elif not token.isascii() and (twin := token.translate(_TWINS)) != token and _LATIN.search(token):
-            out.append("<twin>")
-            token = _RUN.sub(r"\1", twin.translate(_LEET))
-        elif not token.isalpha() and any(c.isalpha() for c in token):
-            token = _RUN.sub(r"\1", token.replace("*", "").translate(_LEET))
-        else:
-            token = _RUN.sub(r"\1", token)
-        out.append(token)
+    out: list[str] = []
+    for token in _TOKEN.findall(_SPACED.sub(_joined, sentence.lower())):
+        read = _READ.get(token)
+        if read is None:
+            if len(_READ) > 300_000:
+                _READ.clear()
+            read = _READ[token] = _read(token)
+        out += read
     return out
 
 
@@ -125,24 +137,61 @@ class Features:
         return np.concatenate([words, pairs]), np.concatenate([owner, owner[1:][same]])
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, turns: int = 120, decay: float = 2e-5) -> np.ndarray:
-    """Weights of a logistic regression over sparse features, dense ``extra`` columns and a constant (Adam, full batch)."""
-    k = extra.shape[1]
-    w, m, v = (np.zeros(width + k + 1) for _ in range(3))
-    total = weight.sum()
-    w[-1] = np.log((weight @ y + 1) / (weight @ (1 - y) + 1))
-    for t in range(1, turns + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], n) + extra @ w[width:-1] + w[-1], -30, 30)))
-        e = (p - y) * weight / total
-        g = np.concatenate([np.bincount(cols, e[rows], width), extra.T @ e, [e.sum()]])
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.einsum("i,i->", a, b))  # of vectors this long a threaded library makes idle threads spin
+
+
+def _times(extra: np.ndarray, w: np.ndarray) -> np.ndarray | float:
+    return sum(extra[:, j] * w[j] for j in range(extra.shape[1])) if extra.shape[1] else 0.0
+
+
+def _fit(rows: np.ndarray, cols: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, fall: float = 1e-4, turns: int = 40, decay: float = DECAY) -> np.ndarray:
+    """Weights of a logistic regression over sparse features, dense ``extra`` columns and a constant, by L-BFGS.
+
+    It stops when a step makes the loss fall by less than the share ``fall`` of it.
+    """
+    total, sign = weight.sum(), 2 * y - 1
+    w = np.zeros(width + extra.shape[1] + 1)
+    w[-1] = np.log((_dot(weight, y) + 1) / (_dot(weight, 1 - y) + 1))
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(rows, w[cols], n) + _times(extra, w[width:-1]) + w[-1]
+        e = -sign * weight / (1 + np.exp(np.clip(sign * z, -30, 30))) / total
+        g = np.concatenate([np.bincount(cols, e[rows], width), [_dot(x, e) for x in extra.T], [e.sum()]])
         g[:-1] += decay * w[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
+        return _dot(weight, np.logaddexp(0, -sign * z)) / total + decay / 2 * _dot(w[:-1], w[:-1]), g
+
+    at, g = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(turns):
+        step, alphas = g.copy(), []
+        for s, d, r in reversed(past):
+            alphas.append(r * _dot(s, step))
+            step -= alphas[-1] * d
+        if past:
+            s, d, r = past[-1]
+            step /= r * _dot(d, d)
+        else:
+            step /= max(1e-12, np.sqrt(_dot(g, g)))
+        for (s, d, r), a in zip(past, reversed(alphas), strict=True):
+            step += (a - r * _dot(d, step)) * s
+        slope, size = _dot(g, step), 1.0
+        while True:
+            new, h = loss(w - size * step)
+            if new <= at - 1e-4 * size * slope or size < 1e-6:
+                break
+            size /= 2
+        s, d = -size * step, h - g
+        w, g, before, at = w + s, h, at, new
+        if (curve := _dot(s, d)) > 1e-14:
+            past = [*past[-7:], (s, d, 1 / curve)]
+        if before - at < fall * before:
+            break
     return w
 
 
 def _prob(rows: np.ndarray, cols: np.ndarray, n: int, w: np.ndarray, width: int, extra: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], n) + extra @ w[width : width + extra.shape[1]] + w[-1], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], n) + _times(extra, w[width : width + extra.shape[1]]) + w[-1], -30, 30)))
 
 
 class ChainModel:
@@ -177,27 +226,74 @@ def _best_cut(score: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
     return float((s[best] + (s[best + 1] if best + 1 < len(s) else 0.0)) / 2)
 
 
-def train(doc: np.ndarray, toxic: np.ndarray, features: np.ndarray, owner: np.ndarray, sentence_doc: np.ndarray, clean_weight: float = 1.0, folds: int = 3) -> ChainModel:
+def _seeded(features: np.ndarray, owner: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Which features of one document (its words, then its pairs of neighbours) are seed words or pairs with one."""
+    words = (len(features) + int(owner.max()) + 1) // 2 if len(features) else 0
+    hit = np.isin(features[:words], seeds)
+    same = owner[1:words] == owner[: max(0, words - 1)]
+    return np.concatenate([hit, (hit[1:] | hit[:-1])[same]]) if words > 1 else hit
+
+
+class _Sentences:
+    """Sentences as sparse rows over ``keys``, with equal ones of one fold and one set of labels taken together."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, width: int, *labels: np.ndarray):
+        # Sums of 32-bit numbers are exact in doubles; two of them and the labels make one hash of 64 bits.
+        kind = np.zeros(n, np.uint64)
+        for column in (*(np.bincount(rows, ((cols + 1) * m & 0xFFFFFFFF) * 1.0, n) for m in (0x9E3779B1, 0x85EBCA77)), *labels):
+            kind = (kind ^ column.astype(np.uint64)) * np.uint64(_M1)
+            kind ^= kind >> np.uint64(29)
+        _, first, self.group = np.unique(kind, return_index=True, return_inverse=True)
+        self.n, self.width, self.first = len(first), width, first
+        keep = np.zeros(n, bool)
+        keep[first] = True
+        hit = keep[rows]
+        self.rows, self.cols = self.group[rows[hit]], cols[hit]
+
+    def summed(self, weight: np.ndarray) -> np.ndarray:
+        return np.bincount(self.group, weight, self.n)
+
+    def fit(self, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, fall: float = 1e-4) -> np.ndarray:
+        return _fit(self.rows, self.cols, self.n, self.width, extra, y, weight, fall)
+
+    def out_of_fold(self, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, part: np.ndarray, folds: int, fall: float = 1e-4) -> np.ndarray:
+        """Each sentence's probability by a model that saw none of its fold."""
+        out = np.zeros(self.n)
+        for k in range(folds):
+            w = self.fit(extra, y, weight * (part != k), fall)
+            own = part == k
+            out[own] = _prob(self.rows, self.cols, self.n, w, self.width, extra)[own]
+        return out
+
+
+def train(doc: np.ndarray, toxic: np.ndarray, features: np.ndarray, owner: np.ndarray, sentence_doc: np.ndarray, clean_weight: float = 1.0, folds: int = 3, seeded: np.ndarray | None = None, chained: bool = True) -> ChainModel:
     """Fit a chain. ``toxic``: verdict per document; ``sentence_doc``: document of each sentence; features as in Features;
-    ``clean_weight``: how many clean documents each sampled one stands for.
+    ``clean_weight``: how many clean documents each sampled one stands for (more than CLEAN_WEIGHT count as that in the
+    fit, but not in the choice of the threshold); ``seeded``: the features that are seed words or pairs with one.
+
+    A worst sentence belongs to a category when it has one of its seed words or when its other words say so: a model of
+    the context alone, taught by the seeded sentences without their seeds, judges all sentences out of fold.
 
     Training happens on a bounded sample and is deterministic. Seed words enter as light examples of their category, so a
-    sample with few or no abusive documents still yields a (weaker) model.
+    sample with few or no abusive documents still yields a (weaker) model; with fewer than LEAST_POSITIVES sure ones no
+    threshold can be chosen and it is 0.5. ``chained`` off feeds no earlier probabilities (for comparison).
     """
     f = Features()
     seeds = [(c, f.word(plain_tokens(w)[0])) for c, words in SEEDS.items() for w in words.split()]
+    seed_keys = np.array([h for _, h in seeds], np.uint64)
     n_docs, n = len(toxic), len(sentence_doc)
+    seeded = np.isin(features, seed_keys) if seeded is None else seeded
     positive = toxic[sentence_doc] == 1 if n else np.zeros(0, bool)
     # A first guess at the worst sentences: log odds of features by documents that have them.
     every, col = np.unique(features, return_inverse=True)
     seen = np.divmod(np.unique(sentence_doc[owner] * len(every) + col), max(1, len(every))) if n else np.zeros((2, 0), np.int64)
     is_pos = toxic[seen[0]] == 1 if n else np.zeros(0, bool)
     odds = np.log((np.bincount(seen[1][is_pos], minlength=len(every)) + 0.3) / (np.bincount(seen[1][~is_pos], minlength=len(every)) + 0.3) * max(1, n_docs - toxic.sum()) / max(1, toxic.sum()))
-    seed_at = np.isin(every, np.array([h for _, h in seeds], np.uint64))
+    seed_at = np.isin(every, seed_keys)
     score = np.bincount(owner, np.clip(odds, -2, 4)[col] + 2.0 * seed_at[col], n)
     score = score / np.sqrt(np.maximum(1, np.bincount(owner, minlength=n))) if n else score
     fold = (doc.astype(np.uint64) * np.uint64(_M1) >> np.uint64(40)) % np.uint64(folds)
-    keep, held = np.ones(n_docs, bool), np.zeros(n)
+    keep = np.ones(n_docs, bool)
     for turn in range(3):
         # The worst sentence of every kept positive document.
         order = np.lexsort((np.arange(n), -score, sentence_doc))
@@ -207,43 +303,68 @@ def train(doc: np.ndarray, toxic: np.ndarray, features: np.ndarray, owner: np.nd
         use[chosen] = True
         mark = np.zeros(n, bool)
         mark[chosen] = True
-        keys = np.union1d(np.unique(features[mark[owner]]), np.array([h for _, h in seeds], np.uint64)).astype(np.uint64)
+        keys = np.union1d(np.unique(features[mark[owner]]), seed_keys).astype(np.uint64)
         at = np.minimum(np.searchsorted(keys, features), len(keys) - 1)
         hit = keys[at] == features
-        rows, cols = owner[hit], at[hit]
         # Seed words follow as sentences of one word.
-        rows = np.concatenate([rows, n + np.arange(len(seeds))])
-        cols = np.concatenate([cols, np.searchsorted(keys, np.array([h for _, h in seeds], np.uint64))])
+        rows = np.concatenate([owner[hit], n + np.arange(len(seeds))])
+        cols = np.concatenate([at[hit], np.searchsorted(keys, seed_keys)])
+        bare = np.concatenate([~seeded[hit], np.zeros(len(seeds), bool)])
         size = n + len(seeds)
-        y = np.zeros((size, len(CATEGORIES)))
-        for c, name in enumerate(CATEGORIES[:-1]):
-            own = np.isin(keys, np.array([h for k, h in seeds if k == name], np.uint64))
-            y[:n, c] = mark & (np.bincount(rows[own[cols]], minlength=size)[:n] > 0)
-            y[n:, c] = [k == name for k, _ in seeds]
-        y[:n, -1], y[n:, -1] = mark, 1
-        weight = np.concatenate([use * min(clean_weight, 5.0), np.full(len(seeds), 0.2)])
+        weight = np.concatenate([use * min(clean_weight, CLEAN_WEIGHT), np.full(len(seeds), 0.2)])
         weight[:n][mark] = 3.0
         part = np.concatenate([fold[sentence_doc], np.full(len(seeds), folds)]) if n else np.full(len(seeds), folds)
-        fed = np.zeros((size, len(CATEGORIES)))
-        # The whole chain is needed only once the worst sentences are settled.
-        for c in range(len(CATEGORIES)) if turn == 2 else [len(CATEGORIES) - 1]:
-            for k in range(folds):
-                w = _fit(rows, cols, size, len(keys), fed[:, :c], y[:, c], weight * (part != k))
-                fed[part == k, c] = _prob(rows, cols, size, w, len(keys), fed[:, :c])[part == k]
-            fed[n:, c] = y[n:, c]
-        held = fed[:n, -1]
-        score = held
+        abusive = np.concatenate([mark, np.ones(len(seeds), bool)])
+        y = np.zeros((size, len(CATEGORIES)))
+        y[:, -1] = abusive
+        last = turn == 2
+        if last:
+            # The categories are needed only once the worst sentences are settled.
+            named = np.zeros((size, len(CATEGORIES) - 1), bool)
+            for c, name in enumerate(CATEGORIES[:-1]):
+                own = np.isin(keys, np.array([h for k, h in seeds if k == name], np.uint64))
+                named[:n, c] = mark & (np.bincount(rows[own[cols]], minlength=size)[:n] > 0)
+                named[n:, c] = [k == name for k, _ in seeds]
+            y[:, :-1] = named | _by_context(rows[bare], cols[bare], size, len(keys), mark, named, part, folds)
+        s = _Sentences(rows, cols, size, len(keys), part.astype(float), weight > 0, *y.T)
+        weight, part, y = s.summed(weight), part[s.first], y[s.first]
+        fed = np.zeros((s.n, len(CATEGORIES)))
+        for c in range(len(CATEGORIES)) if last else [len(CATEGORIES) - 1]:
+            before = fed[:, : c if last and chained else 0]
+            # Which sentence is a document's worst is settled by the order of the scores, long before they stand still.
+            fed[:, c] = s.out_of_fold(before, y[:, c], weight, part, folds, 1e-4 if last else 3e-3)
+            fed[part == folds, c] = y[part == folds, c]
+        held = score = fed[s.group, -1][:n]
         worst = np.zeros(n_docs)
         np.maximum.at(worst, sentence_doc, held)
-        if turn < 2:
+        if not last:
             # Documents called abusive that held-out scores don't tell from clean ones are left out of the next turn.
             keep = (toxic == 0) | (worst >= _best_cut(worst, toxic, clean_weight) * (0.7 if turn == 0 else 1.0))
-    weights = [_fit(rows, cols, size, len(keys), fed[:, :c], y[:, c], weight) for c in range(len(CATEGORIES))]
+    weights = [s.fit(fed[:, :c] * chained, y[:, c], weight) for c in range(len(CATEGORIES))]
     sure = keep & (toxic == 1)
-    cut = _best_cut(worst[keep], toxic[keep], clean_weight) if sure.sum() >= 5 else 0.5
+    cut = _best_cut(worst[keep], toxic[keep], clean_weight) if sure.sum() >= LEAST_POSITIVES else 0.5
     return ChainModel(keys, weights, float(np.clip(cut, 0.03, 0.9)))
 
 
+def _by_context(rows: np.ndarray, cols: np.ndarray, size: int, width: int, mark: np.ndarray, named: np.ndarray, part: np.ndarray, folds: int) -> np.ndarray:
+    """Which marked sentences belong to a category by the words around its seeds (features without seeds), out of fold.
+
+    Sentences with seeds teach: those of the category against those of the others.
+    """
+    out = np.zeros(named.shape, bool)
+    marked = np.concatenate([mark, np.zeros(size - len(mark), bool)])
+    for c in range(named.shape[1]):
+        taught = marked & named.any(axis=1)
+        if not (taught & named[:, c]).any() or not (taught & ~named[:, c]).any():
+            continue
+        hit = marked[rows]
+        place = np.cumsum(marked) - 1
+        s = _Sentences(place[rows[hit]], cols[hit], int(marked.sum()), width, part[marked].astype(float), taught[marked], named[marked, c])
+        p = s.out_of_fold(np.zeros((s.n, 0)), named[marked, c][s.first] * 1.0, s.summed(taught[marked] * 1.0), part[marked][s.first], folds)
+        out[marked, c] = p[s.group] >= 0.5
+    return out
+
+
 def _labelled(documents: DataFrame, labels: DataFrame, positives: int, negatives: int) -> tuple[DataFrame, float]:
     """doc_id, toxic and text of a bounded sample of documents whose verdicts agree, chosen by a hash of the id.
 
@@ -258,7 +379,7 @@ def _labelled(documents: DataFrame, labels: DataFrame, positives: int, negatives
     return documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id"), stands[0] / stands[1]
 
 
-def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> ChainModel:
+def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, chained: bool = True) -> ChainModel:
     """Train on at most ``positives`` + ``negatives`` labelled documents; sentences are read on the executors."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,15 +399,20 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, neg
     doc, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64)
     features = got["features"].combine_chunks().flatten().to_numpy().view(np.uint64) if len(doc) else np.zeros(0, np.uint64)
     owners = got["owner"].combine_chunks()
-    base, flat, which = 0, [], []
+    base, flat, which, masks = 0, [], [], []
+    known = Features()
+    seeds = np.array([known.word(plain_tokens(w)[0]) for words in SEEDS.values() for w in words.split()], np.uint64)
+    upto = 0
     for i, part in enumerate(owners):
         own = np.asarray(part.values)
+        masks.append(_seeded(features[upto : upto + len(own)], own, seeds))
+        upto += len(own)
         flat.append(own.astype(np.int64) + base)
         count = int(own.max()) + 1
         which.append(np.full(count, i))
         base += count
     owner = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-    return train(doc, toxic, features, owner, np.concatenate(which) if which else np.zeros(0, np.int64), clean_weight)
+    return train(doc, toxic, features, owner, np.concatenate(which) if which else np.zeros(0, np.int64), clean_weight, seeded=np.concatenate(masks) if masks else np.zeros(0, bool), chained=chained)
 
 
 SCHEMA = "doc_id bigint, source string, score double, " + ", ".join(f"{c} double" for c in CATEGORIES[:-1])
