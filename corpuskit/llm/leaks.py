@@ -84,6 +84,15 @@ def tables_for(width: int, edits: int, recall: float, seed: int = 0) -> int:
     return int(enough[0]) + 1 if len(enough) else 64
 
 
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` words in a row."""
+    out = words[: max(0, len(words) - n + 1)]
+    for k in range(1, n):
+        more = words[k : k + len(out)]
+        out = out * _PAD + (more ^ (more >> np.uint64(31)))
+    return out
+
+
 def _hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     for w in words:
         if w not in known:
@@ -99,6 +108,7 @@ class _Windows:
         self.width, self.edits = width, edits if width >= WINDOW else 0
         self.walk = Walk(width, tables_for(width, self.edits, recall))
         self.words = np.concatenate([w for _, w in items])
+        self.runs: dict[int, np.ndarray] = {}
         counts = np.array([len(w) - width + 1 for _, w in items])
         first = np.cumsum([0, *(len(w) for _, w in items[:-1])])
         self.item = np.repeat(np.arange(len(items)), counts)
@@ -110,21 +120,30 @@ class _Windows:
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
-    def possible(self, words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    def known(self, words: np.ndarray, n: int) -> np.ndarray:
+        """The number of ``n``-word runs that some item has, up to each place of a document."""
+        if n not in self.runs:
+            self.runs[n] = np.unique(_grams(self.words, n))
+        own, doc = self.runs[n], _grams(words, n)
+        hit = own[np.minimum(np.searchsorted(own, doc), len(own) - 1)] == doc if len(own) else np.zeros(len(doc), bool)
+        return np.concatenate([[0], np.cumsum(hit)])
+
+    def possible(self, starts: np.ndarray, length: int, upto: dict[int, np.ndarray]) -> np.ndarray:
         """The windows of ``length`` words that may lie within the allowed edits of an item's; the others need no embedding.
 
-        A word that no item has takes an edit of its own, and an edit spoils two pairs of neighbours at most.
+        A word that no item has takes an edit of its own, and an edit spoils two pairs of neighbours at most. What edits
+        leave of the longer window falls into one run more than there are edits, so the longest of them has a known least
+        length. ``upto`` (see ``known``) by length of run.
         """
-        for n, spare in ((1, self.edits), (2, 2 * self.edits)):
-            if min(self.width, length) < n:
-                break
-            own, doc = (a if n == 1 else a[:-1] * _PAD + (a[1:] ^ (a[1:] >> np.uint64(31))) for a in (self.words, words))
-            own = np.unique(own)
-            known = own[np.minimum(np.searchsorted(own, doc), len(own) - 1)] == doc
-            upto = np.concatenate([[0], np.cumsum(known)])
-            starts = starts[upto[starts + length - n + 1] - upto[starts] >= length - n + 1 - spare]
+        least = self.longest_run(length)
+        for n, needed in ((1, length - self.edits), (2, length - 1 - 2 * self.edits), (least, 1)):
+            if 1 <= n <= length and needed > 0:
+                starts = starts[upto[n][starts + length - n + 1] - upto[n][starts] >= needed]
         return starts
 
+    def longest_run(self, length: int) -> int:
+        return -(-(max(self.width, length) - self.edits) // (self.edits + 1))
+
     def matches(self, words: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document window (of ``length`` words), item window and edits of every pair within the allowed distance that a
         table proposes.
@@ -149,8 +168,10 @@ class _Windows:
         document ends. In blocks of starts, each with the windows of all lengths.
         """
         starts, places = np.arange(len(words)), {}
-        for length in range(max(1, self.width - self.edits), self.width + self.edits + 1):
-            places[length] = self.possible(words, starts[starts + length <= ends], length)
+        lengths = range(max(1, self.width - self.edits), self.width + self.edits + 1)
+        upto = {n: self.known(words, n) for n in {1, 2, *map(self.longest_run, lengths)} if n}
+        for length in lengths:
+            places[length] = self.possible(starts[starts + length <= ends], length, upto)
         every = np.unique(np.concatenate(list(places.values())))
         for i in range(0, len(every), _SLICE):
             first, last = every[i], every[min(i + _SLICE, len(every)) - 1]
