@@ -80,30 +80,40 @@ def _joined(m: re.Match) -> str:
     return f" {_SPELT} {word} {word[1:]} "
 
 
-_READ: dict[str, tuple[str, ...]] = {}  # tokens read before; emptied when it grows large
+class _Reader(dict):
+    """What each token stands for, remembered; emptied when it grows large."""
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        self[token] = read = _read(token)
+        return read
+
+
+_READ = _Reader()
+
+
+def _bare(text: str) -> str:
+    """In lower case, without accents."""
+    return (text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))).lower()
 
 
 def plain_tokens(sentence: str) -> list[str]:
     """Words with disguises taken off: spelt-out letters joined, look-alike signs read as letters, repeats collapsed."""
-    if not sentence.isascii():
-        sentence = "".join(c for c in unicodedata.normalize("NFD", sentence) if not unicodedata.combining(c))
-    out: list[str] = []
-    for token in _TOKEN.findall(_SPACED.sub(_joined, sentence.lower())):
-        read = _READ.get(token)
-        if read is None:
-            if len(_READ) > 300_000:
-                _READ.clear()
-            read = _READ[token] = _read(token)
-        out += read
-    return out
+    return [word for token in _TOKEN.findall(_SPACED.sub(_joined, _bare(sentence))) for word in _READ[token]]
 
 
 def sentences(text: str) -> list[list[str]]:
     """The sentences of a text as tokens; long ones in overlapping windows."""
-    text = _MARKUP.sub(" \n ", _HIDDEN.sub("", text if text.isascii() else unicodedata.normalize("NFKC", text)))
+    if not text.isascii():
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+    if "<" in text or "&" in text or "\\" in text:
+        text = _MARKUP.sub(" \n ", text)
+    text = _bare(text)
+    spaced = _SPACED.search(text) is not None
     out = []
     for part in _SENTENCE.split(text):
-        tokens = plain_tokens(part) if part else []
+        tokens = [word for token in _TOKEN.findall(_SPACED.sub(_joined, part) if spaced else part) for word in _READ[token]]
         if len(tokens) > _WINDOW + _STEP:
             out += [tokens[i : i + _WINDOW] for i in range(0, len(tokens) - _STEP, _STEP)]
         elif tokens:
