@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 import pandas as pd
@@ -74,9 +73,11 @@ def parse_tool_call(tools: dict[str, dict[str, str]]):
     ``tools``: per tool, the type (str, int, float, bool) of each argument; a call has exactly these arguments.
     """
 
+    schemas = {name: pyjson.arguments_schema(declared) for name, declared in tools.items()}
+
     @F.pandas_udf(Y.struct(status=Y.STRING, why=Y.STRING, name=Y.STRING, arguments=Y.STRING))
     def parse(texts: pd.Series) -> pd.DataFrame:
-        rows = [pyjson.tool_call(t, tools) if t is not None else (None,) * 4 for t in texts]
+        rows = [pyjson.tool_call(t, schemas) if t is not None else (None,) * 4 for t in texts]
         return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(("status", "why", "name", "arguments"))})
 
     return parse
@@ -88,8 +89,23 @@ def example_errors(texts: pd.Series) -> pd.Series:
     return _each(lambda t: pyjson.example_errors(pyjson.load(t)), texts)
 
 
-def json_equal(a: str, b: str) -> bool:
-    return json.loads(a) == json.loads(b)
+@F.pandas_udf(Y.BOOL)
+def json_equal(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Whether two texts are the same JSON value; false where either is none."""
+    read = lambda t: pyjson.BROKEN if t is None else pyjson.load(t)
+    return pd.Series([(a := read(x)) is not pyjson.BROKEN and (b := read(y)) is not pyjson.BROKEN and a == b for x, y in zip(left, right, strict=True)], dtype="boolean")
+
+
+def parse_structured(schema: dict, repair: bool = True):
+    """An Arrow function that reads a text as JSON under ``schema``: value (canonical), valid, repaired and errors."""
+    pyjson.check_schema(schema)
+
+    @F.pandas_udf(Y.struct(value=Y.STRING, valid=Y.BOOL, repaired=Y.BOOL, errors=Y.STRINGS))
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        rows = [pyjson.structured(t, schema, repair) if t is not None else (None,) * 4 for t in texts]
+        return pd.DataFrame({"value": pd.Series([r[0] for r in rows], dtype=object), "valid": pd.Series([r[1] for r in rows], dtype="boolean"), "repaired": pd.Series([r[2] for r in rows], dtype="boolean"), "errors": pd.Series([r[3] for r in rows], dtype=object)})
+
+    return parse
 
 
 def matches_grammar(pattern: str):

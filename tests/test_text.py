@@ -1,3 +1,4 @@
+import json
 import re
 import unicodedata
 
@@ -6,6 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from corpuskit.functions import pyjson, text as T
+from corpuskit.functions.jsonscan import mended, scan
 from corpuskit.functions.pytext import alnum_words, reading_text, storable
 
 ODD = ["", "   ", "A b C", "4+5=9", "4 + 5", "“Quoted” 'text'!", "ＡＢＣ １２", "x\x1fy\x1cz", "café CAFÉ", "ﬁne", None, "tab\tnew\nline", "a" * 5000]
@@ -102,8 +104,36 @@ def test_json_repair_and_prefixes():
     assert [pyjson.prefix_state(t) for t in ('{"a": "x', '{"a": nu', "{} x", "{}", "", '{"a" 1')] == ["extendable", "extendable", "broken", "complete", "extendable", "broken"]
 
 
+VALUES = st.recursive(st.none() | st.booleans() | st.integers(-99, 99) | st.text('ab"\\\\,]}é\\n', max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text("ab,}", max_size=2), x, max_size=3), max_leaves=8)
+
+
+@settings(max_examples=200, deadline=None)
+@given(VALUES, st.sampled_from([None, 1]))
+def test_scanner_agrees_with_the_parser(value, indent):
+    text = json.dumps(value, indent=indent, ensure_ascii=False)
+    assert scan(text).state == "complete"
+    for k in range(len(text)):
+        part, whole = text[:k], True
+        try:
+            json.loads(part)
+        except ValueError:
+            whole = False
+        state = scan(part).state
+        # A minus sign or an escape cut short is no lexeme; every other beginning can be continued.
+        assert state == ("complete" if whole else "extendable") or part.endswith("-") or "\\" in part[-6:]
+        if state == "extendable" and not scan(part).cut and (fixed := mended(part)) is not None:
+            json.loads(fixed)
+
+
+def test_structured_texts():
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}}}
+    assert pyjson.structured('{"a": 1,}', schema) == ('{"a":1}', True, True, []) and pyjson.structured('{"a": 1,}', schema, False)[1] is False
+    assert pyjson.structured('{"a": "x"', schema)[1:3] == (False, True) and pyjson.structured("no", schema)[0] is None
+    assert mended('{"a": ",]", "b": [1,],') is None and mended('{"a": ",]", "b": [1,]') == '{"a": ",]", "b": [1]}' and mended('{"a": 1]') is None
+
+
 def test_tool_calls_and_examples():
-    tools = {"add": {"a": "int", "b": "int"}}
+    tools = {"add": pyjson.arguments_schema({"a": "int", "b": "int"})}
     status = lambda t: pyjson.tool_call(t, tools)[0]
     assert [status('{"name": "add", "arguments": {"a": 1, "b": 2}}'), status('{"name": "add", "arguments": {"a": 1, "b": true}}'), status('{"name": "x", "arguments": {}}'), status("hello"), status('{"name": ')] == ["ok", "malformed", "malformed", "none", "malformed"]
     good = {"id": "1", "messages": [{"role": "user", "content": "x"}], "target": {"type": "answer", "content": "y"}}
