@@ -6,8 +6,9 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from corpuskit.functions import pyjson, types as Y
+from corpuskit.functions import pyground, pyjson, types as Y
 
 
 def _each(fn, texts: pd.Series) -> pd.Series:
@@ -67,13 +68,14 @@ def json_prefix_state(texts: pd.Series) -> pd.Series:
     return _each(pyjson.prefix_state, texts)
 
 
-def parse_tool_call(tools: dict[str, dict[str, str]]):
+def parse_tool_call(tools: dict[str, dict[str, str]] | None = None):
     """An Arrow function that reads a tool call: status (none, malformed, ok), why, name and canonical arguments.
 
-    ``tools``: per tool, the type (str, int, float, bool) of each argument; a call has exactly these arguments.
+    ``tools``: per tool, the type (str, int, float, bool) of each argument; a call has exactly these arguments. Without
+    ``tools`` any name and any arguments will do.
     """
 
-    schemas = {name: pyjson.arguments_schema(declared) for name, declared in tools.items()}
+    schemas = {name: pyjson.arguments_schema(declared) for name, declared in tools.items()} if tools is not None else None
 
     @F.pandas_udf(Y.struct(status=Y.STRING, why=Y.STRING, name=Y.STRING, arguments=Y.STRING))
     def parse(texts: pd.Series) -> pd.DataFrame:
@@ -83,6 +85,31 @@ def parse_tool_call(tools: dict[str, dict[str, str]]):
     return parse
 
 
+def grounding(mode: str = "balanced"):
+    """An Arrow function from a call's arguments (a JSON object) and the source text to fields (field, grounded, span,
+    transformation), all_grounded and blocks: whether the call must not be run in ``mode`` (strict, balanced, permissive).
+
+    Null where the arguments are no object; a null source has no words.
+    """
+    if mode not in pyground.MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    kind = Y.struct(fields=ArrayType(Y.struct(field=Y.STRING, grounded=Y.BOOL, span=Y.STRING, transformation=Y.STRING)), all_grounded=Y.BOOL, blocks=Y.BOOL)
+
+    @F.pandas_udf(kind)
+    def ground(arguments: pd.Series, sources: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, source in zip(arguments, sources, strict=True):
+            value = pyjson.load(text) if text is not None else None
+            if not isinstance(value, dict):
+                rows.append((None, None, None))
+                continue
+            found = pyground.grounded_fields(value, source or "")
+            rows.append(([dict(zip(("field", "grounded", "span", "transformation"), f, strict=True)) for f in found], all(f[1] for f in found), pyground.blocks(value, found, mode)))
+        return pd.DataFrame({"fields": pd.Series([r[0] for r in rows], dtype=object), "all_grounded": pd.Series([r[1] for r in rows], dtype="boolean"), "blocks": pd.Series([r[2] for r in rows], dtype="boolean")})
+
+    return ground
+
+
 @F.pandas_udf(Y.STRINGS)
 def example_errors(texts: pd.Series) -> pd.Series:
     """What is wrong with a supervised example (id, messages, tools, target) given as JSON; empty when it is valid."""

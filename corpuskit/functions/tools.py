@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from corpuskit.functions import text as T
+from corpuskit.functions import jsonfns as J, text as T
 from corpuskit.functions.vectors import total
 
 # Units in their dimension's base unit (metre, gram, litre).
@@ -113,11 +113,12 @@ def grounded_number(value: Column, source: Column) -> Column:
     return F.when(F.array_contains(found, value.cast("string")), "verbatim").when(F.array_contains(found, whole), "number_normalized")
 
 
+# How a refusal begins.
 REFUSALS = ("i can't", "i cannot", "i can’t", "sorry, i can't", "sorry, i can’t", "sorry, i cannot")
 
 
 def score_text(kind: Column, text: Column, expected: Column, needles: Column) -> Column:
-    """Whether an answer passes. Kinds: exact, contains, contains_ci, clarify, refusal, no_tool, final_answer.
+    """Whether an answer passes. Kinds: exact, contains, contains_ci, clarify, refusal, no_tool, final_answer, json.
 
     ``expected`` is the wanted text, ``needles`` the wanted parts; null for other kinds.
     """
@@ -133,9 +134,28 @@ def score_text(kind: Column, text: Column, expected: Column, needles: Column) ->
         .when(kind == "clarify", out.endswith("?") & ~call)
         .when(kind == "refusal", starts & ~call)
         .when(kind == "no_tool", ~call & has(low, False))
+        .when(kind == "json", F.coalesce(J.json_equal(F.when(kind == "json", text), expected), F.lit(False)))
         .when(kind == "final_answer", (final == want) | F.array_contains(F.split(final, " "), want))
     )
 
 
+CALL = J.parse_tool_call()  #: reads a call of any tool
+
+
+def call_score(call: Column, known: Column, wanted: Column, arguments: Column, value: Column | None = None) -> Column:
+    """status, name_ok and args_ok of a call (see ``CALL``) of one of the tools ``known`` (null: any), where the tool
+    ``wanted`` should be called with ``arguments`` (JSON); a calculator's expression may have any form of the ``value``.
+
+    The scorer tool_name asks for name_ok, tool_call for both.
+    """
+    strange = (call["status"] == "ok") & known.isNotNull() & ~F.coalesce(F.array_contains(known, call["name"]), F.lit(False))
+    status = F.when(strange, "malformed").otherwise(call["status"])
+    name_ok = F.coalesce((status == "ok") & (call["name"] == wanted), F.lit(False))
+    same = J.json_equal(call["arguments"], arguments)
+    if value is not None:
+        same = F.when(wanted == "calculator", J.safe_eval(F.get_json_object(call["arguments"], "$.expr")).eqNullSafe(value)).otherwise(same)
+    return F.struct(status.alias("status"), name_ok.alias("name_ok"), (name_ok & F.coalesce(same, F.lit(False))).alias("args_ok"))
+
+
 def mean_of(values: Column) -> Column:
     return F.try_divide(total(values), F.size(values))

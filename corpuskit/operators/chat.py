@@ -13,19 +13,20 @@ ROLES = ("system", "user", "assistant", "tool")
 SEGMENTS = "array<struct<text:string,special:string,trainable:boolean>>"
 
 
-def normalize_examples(df: DataFrame, id_col: str = "id") -> DataFrame:
+def normalize_examples(df: DataFrame, id_col: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Examples (``id_col``, category, text, messages, tools, target_type, target_text; absent columns count as null)
     reduced to one shape: id, kind (text or chat), category, text, messages (role, content, train), tools, and ``error``
     (null when the example is usable).
 
-    ``target_text`` becomes a last, trainable assistant turn, unless the messages end with one already.
+    ``target_text`` becomes a last, trainable assistant turn, unless the messages end with one already. Columns in ``keep``
+    come through as they are.
     """
     have = set(df.columns)
     col = lambda c, t: F.col(c).cast(t) if c in have else F.lit(None).cast(t)
     rows = df.select(
         F.col(id_col).alias("id"), F.coalesce(col("category", "string"), F.lit("")).alias("category"), col("text", "string").alias("text"),
         col("messages", "array<struct<role:string,content:string,train:boolean>>").alias("messages"), F.coalesce(col("tools", "array<string>"), F.array().cast("array<string>")).alias("tools"),
-        col("target_type", "string").alias("target_type"), col("target_text", "string").alias("target_text"),
+        col("target_type", "string").alias("target_type"), col("target_text", "string").alias("target_text"), *keep,
     )
     train = lambda m: F.coalesce(m["train"], m["role"] == "assistant")
     turns = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), train(m).alias("train")))
@@ -48,7 +49,7 @@ def normalize_examples(df: DataFrame, id_col: str = "id") -> DataFrame:
         .when(F.exists(trained, lambda m: T.strip(m["content"]) == ""), "an empty trained turn")
     )
     category = F.when((F.col("category") == "") & F.col("target_type").isNotNull() & ~ends & F.col("target_text").isNotNull(), F.col("target_type")).otherwise(F.col("category"))
-    return rows.select("id", F.when(has_text, "text").otherwise("chat").alias("kind"), category.alias("category"), "text", F.col("turns").alias("messages"), "tools", error.alias("error"))
+    return rows.select("id", F.when(has_text, "text").otherwise("chat").alias("kind"), category.alias("category"), "text", F.col("turns").alias("messages"), "tools", error.alias("error"), *keep)
 
 
 def segments() -> Column:

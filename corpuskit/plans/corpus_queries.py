@@ -14,12 +14,12 @@ from corpuskit.sources import shards
 
 def chunks_of(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """Chunks without second deliveries."""
-    return table(spark, d, "corpus_chunks").select("chunk_no", *cols).dropDuplicates(["chunk_no"])
+    return dedup.first_deliveries(table(spark, d, "corpus_chunks").select("chunk_no", *cols), "chunk_no")
 
 
 def examples_of(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """Chat examples without second deliveries, beside their source's split."""
-    rows = table(spark, d, "chat_examples").select("example_id", "source", *cols).dropDuplicates(["example_id"])
+    rows = dedup.first_deliveries(table(spark, d, "chat_examples").select("example_id", "source", *cols), "example_id")
     return rows.join(table(spark, d, "dataset_manifest").select("source", "split"), "source")
 
 

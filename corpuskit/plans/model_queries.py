@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuskit.functions import text as T, tools, vectors as V
 from corpuskit.operators import bpe, chat, evaluation, gates, metrics, mixture, packing, retrieval, sampling
+from corpuskit.operators.dedup import first_deliveries
 from corpuskit.plans import sqltext as S
 from corpuskit.plans.catalogue import query
 from corpuskit.plans.corpus_queries import CHUNKS, EXAMPLES, chunks_of
@@ -15,8 +16,8 @@ MAX_TOKENS = 1024
 
 
 def rendered(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chat_examples").select(F.col("example_id").alias("id"), "source", "category", "messages", "tools", "target_type", "target_text").dropDuplicates(["id"])
-    norm = chat.normalize_examples(rows).join(rows.select("id", "source"), "id")
+    rows = first_deliveries(table(spark, d, "chat_examples").select(F.col("example_id").alias("id"), "source", "category", "messages", "tools", "target_type", "target_text"), "id")
+    norm = chat.normalize_examples(rows, keep=("source",))
     return norm.filter("error is null").withColumn("segments", chat.segments())
 
 
@@ -62,8 +63,8 @@ def examples_by_category(spark: SparkSession, d: str) -> DataFrame:
 
 @query("invalid_examples", f"WITH {_NORMAL} SELECT (SELECT count(*) FROM t) - (SELECT count(*) FROM ok) AS n_invalid, (SELECT count(*) FROM ok) AS n_valid")
 def invalid_examples(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chat_examples").withColumnRenamed("example_id", "id").dropDuplicates(["id"])
-    return chat.normalize_examples(rows.select("id", "category", "messages", "tools", "target_type", "target_text")).agg(F.count_if(F.col("error").isNotNull()).alias("n_invalid"), F.count_if(F.col("error").isNull()).alias("n_valid"))
+    rows = first_deliveries(table(spark, d, "chat_examples").select(F.col("example_id").alias("id"), "category", "messages", "tools", "target_type", "target_text"), "id")
+    return chat.normalize_examples(rows).agg(F.count_if(F.col("error").isNotNull()).alias("n_invalid"), F.count_if(F.col("error").isNull()).alias("n_valid"))
 
 
 @query("render_prompt")
@@ -139,7 +140,8 @@ def repeat_factors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("example_fraction", f"SELECT round(0.8 * s / (0.8 * s + 0.2 * n), 9) AS fraction FROM (SELECT avg(strlen(target_text)) AS s FROM {EXAMPLES}), (SELECT avg(strlen(text)) AS n FROM {CHUNKS})")
 def example_fraction(spark: SparkSession, d: str) -> DataFrame:
-    examples = table(spark, d, "chat_examples").select("example_id", "target_text").dropDuplicates(["example_id"])
+    examples = table(spark, d, "chat_examples").select("example_id", "target_text")
+    examples = first_deliveries(examples, "example_id")
     sizes = examples.select(F.octet_length("target_text").alias("s"), F.lit(None).cast("int").alias("n")).unionByName(chunks_of(spark, d, "text").select(F.lit(None).cast("int").alias("s"), F.octet_length("text").alias("n")))
     return sizes.agg(F.avg("s").alias("s"), F.avg("n").alias("n")).select(F.round(mixture.example_fraction(0.8, F.col("s"), F.col("n")), 9).alias("fraction"))
 
@@ -289,22 +291,37 @@ def grammar_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graded(spark: SparkSession, d: str) -> DataFrame:
-    """Examples as graded rows: the last assistant turn against the target, by the scorer of the example's meta."""
-    rows = table(spark, d, "chat_examples").select("example_id", "category", "messages", "target_text", "meta").dropDuplicates(["example_id"])
+    """Examples as graded rows: the last assistant turn against the target, by the scorer of the example's meta (a call
+    where the target is one)."""
+    rows = first_deliveries(table(spark, d, "chat_examples").select("example_id", "source", "category", "messages", "tools", "target_type", "target_text", "meta"), "example_id")
     said = F.element_at(F.filter("messages", lambda m: m["role"] == "assistant"), -1)["content"]
-    rows = rows.select("example_id", F.lower(F.coalesce("category", F.lit(""))).alias("category"), F.coalesce(F.get_json_object("meta", "$.score"), F.lit("exact")).alias("scorer"), F.get_json_object("meta", "$.paraphrase").cast("boolean").alias("paraphrase"), F.coalesce(F.get(F.filter("messages", lambda m: m["role"] == "assistant"), F.lit(0))["content"], F.lit("")).alias("text"), F.coalesce("target_text", F.lit("")).alias("expected"), said.alias("last"))
-    ok = tools.score_text(F.col("scorer"), F.col("text"), F.col("expected"), F.array("expected"))
-    return rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    is_call = F.coalesce(F.col("target_type") == "tool_call", F.lit(False))
+    scorer = F.when(is_call, "tool_call").otherwise(F.coalesce(F.get_json_object("meta", "$.score"), F.lit("exact")))
+    rows = rows.select("example_id", "source", F.lower(F.coalesce("category", F.lit(""))).alias("category"), scorer.alias("scorer"), F.get_json_object("meta", "$.paraphrase").cast("boolean").alias("paraphrase"), F.coalesce(F.when(F.exists("messages", lambda m: m["role"] == "assistant"), said), F.lit("")).alias("text"), F.coalesce("target_text", F.lit("")).alias("expected"), "tools")
+    wants = F.col("scorer") == "tool_call"
+    call = tools.call_score(tools.CALL(F.when(wants, F.col("text"))), F.col("tools"), F.get_json_object("expected", "$.name"), F.get_json_object("expected", "$.arguments"))
+    rows = rows.withColumn("call", F.when(wants, call))
+    plain = tools.score_text(F.col("scorer"), F.col("text"), F.col("expected"), F.array("expected"))
+    ok = F.when(wants, F.col("call.args_ok")).otherwise(F.coalesce(plain, F.lit(False)))
+    return rows.select("example_id", "source", "category", "scorer", "paraphrase", "text", "expected", ok.alias("ok"), "call.status", "call.name_ok")
+
+
+def _json(x: str, path: str) -> str:
+    return f"json_extract(CASE WHEN json_valid({x}) THEN {x} END, '{path}')"
 
 
 _GRADED = f"""
-a AS (SELECT example_id, lower(coalesce(category, '')) AS category, coalesce(json_extract_string(meta, '$.score'), 'exact') AS scorer, CAST(json_extract_string(meta, '$.paraphrase') AS BOOLEAN) AS paraphrase,
-  coalesce(list_filter(messages, lambda m: m.role = 'assistant')[1].content, '') AS text, coalesce(target_text, '') AS expected FROM {EXAMPLES}),
-g AS (SELECT *, coalesce(CASE scorer WHEN 'exact' THEN {S.squash("text")} = {S.squash("expected")} WHEN 'contains' THEN contains({S.squash("text")}, expected) AND NOT {S.looks_like_call("text")}
+a0 AS (SELECT example_id, source, lower(coalesce(category, '')) AS category, CASE WHEN target_type = 'tool_call' THEN 'tool_call' ELSE coalesce(json_extract_string(meta, '$.score'), 'exact') END AS scorer, CAST(json_extract_string(meta, '$.paraphrase') AS BOOLEAN) AS paraphrase,
+  coalesce(list_filter(messages, lambda m: m.role = 'assistant')[-1].content, '') AS text, coalesce(target_text, '') AS expected, tools FROM {EXAMPLES}),
+a AS (SELECT *, CASE WHEN scorer <> 'tool_call' THEN NULL WHEN NOT {S.looks_like_call("text")} THEN 'none'
+    WHEN json_valid(text) AND list_sort(json_keys(CASE WHEN json_valid(text) THEN text END)) = ['arguments', 'name'] AND json_type({_json("text", "$.arguments")}) = 'OBJECT' AND (tools IS NULL OR list_contains(tools, {_json("text", "$.name")} ->> '$')) THEN 'ok' ELSE 'malformed' END AS status FROM a0),
+g0 AS (SELECT *, CASE WHEN scorer = 'tool_call' THEN coalesce(status = 'ok' AND {_json("text", "$.name")} = {_json("expected", "$.name")}, false) END AS name_ok FROM a),
+g AS (SELECT *, coalesce(CASE scorer WHEN 'tool_call' THEN name_ok AND {_json("text", "$.arguments")} = {_json("expected", "$.arguments")} WHEN 'exact' THEN {S.squash("text")} = {S.squash("expected")} WHEN 'contains' THEN contains({S.squash("text")}, expected) AND NOT {S.looks_like_call("text")}
+  WHEN 'json' THEN {_json("text", "$")} = {_json("expected", "$")}
   WHEN 'contains_ci' THEN contains(lower({S.squash("text")}), lower(expected)) AND NOT {S.looks_like_call("text")} WHEN 'clarify' THEN {S.squash("text")} LIKE '%?' AND NOT {S.looks_like_call("text")}
   WHEN 'no_tool' THEN contains(lower({S.squash("text")}), expected) AND NOT {S.looks_like_call("text")}
   WHEN 'refusal' THEN regexp_matches(lower({S.squash("text")}), '^(i can''t|i cannot|i can’t|sorry, i can''t|sorry, i can’t|sorry, i cannot)') AND NOT {S.looks_like_call("text")}
-  WHEN 'final_answer' THEN {S.squash("string_split(text, '####')[-1]")} = {S.squash("expected")} OR list_contains(string_split({S.squash("string_split(text, '####')[-1]")}, ' '), {S.squash("expected")}) END, false) AS ok FROM a)
+  WHEN 'final_answer' THEN {S.squash("string_split(text, '####')[-1]")} = {S.squash("expected")} OR list_contains(string_split({S.squash("string_split(text, '####')[-1]")}, ' '), {S.squash("expected")}) END, false) AS ok FROM g0)
 """
 
 
@@ -327,25 +344,53 @@ def weighted_rollup(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.weighted_rollup(evaluation.capability_accuracy(graded(spark, d))).select("category", "n", F.round(F.coalesce("accuracy", F.lit(-1.0)), 9).alias("accuracy"))
 
 
-@query("tool_behavior")
+def _rate(hit: str, among: str) -> str:
+    return f"round(coalesce(avg(CASE WHEN {hit} THEN 1 ELSE 0 END) FILTER ({among}), -1), 9)"
+
+
+_CALLS = "scorer = 'tool_call'"
+
+
+@query(
+    "tool_behavior",
+    f"""
+WITH {_GRADED} SELECT CAST(count(*) FILTER ({_CALLS}) AS BIGINT) AS requests_needing_a_tool, {_rate("name_ok", _CALLS)} AS correct_tool_rate, {_rate("ok", _CALLS)} AS argument_accuracy,
+  {_rate("status = 'ok' AND NOT name_ok", _CALLS)} AS wrong_tool_rate, {_rate("status = 'none'", _CALLS)} AS no_call_rate, {_rate("status = 'malformed'", _CALLS)} AS malformed_call_rate,
+  CAST(count(*) FILTER (NOT {_CALLS}) AS BIGINT) AS requests_needing_no_tool, {_rate(S.looks_like_call("text"), f"NOT {_CALLS}")} AS false_positive_call_rate,
+  {_rate("ok", "category = 'clarification'")} AS clarification_on_missing_argument_accuracy, {_rate("ok", "category = 'clarification_followup'")} AS clarification_followup_call_accuracy,
+  {_rate("ok", "category = 'tool_result'")} AS tool_result_incorporation_accuracy, {_rate("ok", "category = 'refusal'")} AS refusal_accuracy FROM g
+""",
+)
 def tool_behavior(spark: SparkSession, d: str) -> DataFrame:
-    rows = graded(spark, d).withColumn("status", F.when(T.looks_like_call(F.col("text")), "ok").otherwise("none")).withColumn("name_ok", F.col("ok"))
-    return evaluation.tool_behavior(rows.withColumn("scorer", F.when(F.col("category") == "tools", "tool_call").otherwise(F.col("scorer"))))
+    out = evaluation.tool_behavior(graded(spark, d))
+    return out.select(*[F.round(F.coalesce(c, F.lit(-1.0)), 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+_LAST = "regexp_matches(text, '[.?!}]$')"
 
 
-@query("generation_block", f"WITH {_GRADED} SELECT count(*) AS graded_examples, round(avg(strlen(text)), 6) AS mean_response_tokens, round(avg(length(text)), 6) AS mean_response_chars FROM g")
+@query(
+    "generation_block",
+    f"""
+WITH {_GRADED}, r AS (SELECT *, trim(text) AS t FROM g),
+p AS (SELECT *, CASE WHEN length(t) < 12 THEN 0.0 ELSE 1.0 - len(list_distinct(q)) / len(q) END AS rep FROM (SELECT *, list_transform(range(1, length(t) - 4), lambda i: substr(t, i, 6)) AS q FROM r))
+SELECT count(*) AS graded_examples, round(avg(strlen(text)), 6) AS mean_response_tokens, round(avg(length(text)), 6) AS mean_response_chars, round(avg(CASE WHEN {_LAST} THEN 0 ELSE 1 END), 6) AS unterminated_rate, round(avg(rep), 6) AS mean_repetition, round(avg(CASE WHEN rep > 0.5 THEN 1 ELSE 0 END), 6) AS looping_rate FROM p
+""",
+)
 def generation_block(spark: SparkSession, d: str) -> DataFrame:
-    rows = graded(spark, d).withColumn("tokens", F.octet_length("text")).withColumn("finish", F.lit("eos"))
-    return evaluation.generation_block(rows).select("graded_examples", F.round("mean_response_tokens", 6).alias("mean_response_tokens"), F.round("mean_response_chars", 6).alias("mean_response_chars"))
+    """Answers that stop in the middle of a sentence count as cut off."""
+    rows = graded(spark, d).withColumn("tokens", F.octet_length("text")).withColumn("finish", F.when(F.col("text").rlike(r"[.?!}]$"), "eos").otherwise("length"))
+    out = evaluation.generation_block(rows)
+    return out.select("graded_examples", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
 def _accuracies(spark: SparkSession, d: str, split: str) -> DataFrame:
     rows = graded(spark, d).withColumn("metric", F.concat(F.lit("capabilities."), "category"))
-    sources = table(spark, d, "chat_examples").select("example_id", "source").dropDuplicates(["example_id"]).join(table(spark, d, "dataset_manifest").select("source", "split"), "source")
-    return rows.join(sources, "example_id").filter(F.col("split") == split).groupBy("metric").agg(F.round(F.avg(F.col("ok").cast("int")), 9).alias("value"))
+    sources = table(spark, d, "dataset_manifest").select("source", "split")
+    return rows.join(sources, "source").filter(F.col("split") == split).groupBy("metric").agg(F.round(F.avg(F.col("ok").cast("int")), 9).alias("value"))
 
 
-_METRICS = "m AS (SELECT split, 'capabilities.' || category AS metric, round(avg(CASE WHEN ok THEN 1 ELSE 0 END), 9) AS value FROM g JOIN (SELECT DISTINCT ON (example_id) example_id, source FROM chat_examples) USING (example_id) JOIN (SELECT source, split FROM dataset_manifest) USING (source) GROUP BY ALL)"
+_METRICS = "m AS (SELECT split, 'capabilities.' || category AS metric, round(avg(CASE WHEN ok THEN 1 ELSE 0 END), 9) AS value FROM g JOIN (SELECT source, split FROM dataset_manifest) USING (source) GROUP BY ALL)"
 
 
 @query("eval_compare", f"WITH {_GRADED}, {_METRICS} SELECT metric, a.value AS a, b.value AS b, round(b.value - a.value, 9) AS delta FROM m a JOIN m b USING (metric) WHERE a.split = 'train' AND b.split = 'test'")
@@ -367,8 +412,4 @@ def bpe_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 @query("content_hash")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return chat.content_hash(table(spark, d, "chat_examples").select("example_id", "target_text").dropDuplicates(["example_id"]), "example_id", columns=["target_text"])
-
-
-def rounded(c: Column | str, digits: int = 9) -> Column:
-    return F.round(c, digits)
+    return chat.content_hash(first_deliveries(table(spark, d, "chat_examples").select("example_id", "target_text"), "example_id"), "example_id", columns=["target_text"])

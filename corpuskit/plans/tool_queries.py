@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuskit.functions import jsonfns as J, tools
 from corpuskit.operators import curriculum, gates, memory
+from corpuskit.operators.dedup import first_deliveries
+from corpuskit.plans import sqltext as S
 from corpuskit.plans.catalogue import query
 from corpuskit.plans.corpus_queries import EXAMPLES
 from corpuskit.session import table
@@ -31,11 +33,13 @@ def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    first = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"]
-    return table(spark, d, "chat_examples").select("example_id", F.coalesce(first, F.lit("")).alias("prompt"), "target_text", "meta").dropDuplicates(["example_id"])
+    """What the users say in each example, all turns, beside its tools and target."""
+    said = F.array_join(F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
+    rows = first_deliveries(table(spark, d, "chat_examples").select("example_id", "messages", "tools", "target_type", "target_text"), "example_id")
+    return rows.select("example_id", F.coalesce(said, F.lit("")).alias("prompt"), "tools", "target_type", "target_text")
 
 
-_PROMPTS = f"(SELECT example_id, coalesce(list_filter(messages, lambda m: m.role = 'user')[1].content, '') AS prompt, target_text FROM {EXAMPLES})"
+_PROMPTS = f"(SELECT example_id, coalesce(array_to_string(list_transform(list_filter(messages, lambda m: m.role = 'user'), lambda m: coalesce(m.content, '')), chr(10)), '') AS prompt, tools, target_type, target_text FROM {EXAMPLES})"
 
 
 def _any(hints: tuple[str, ...]) -> str:
@@ -60,12 +64,36 @@ def grounding(spark: SparkSession, d: str) -> DataFrame:
     return prompts(spark, d).select("example_id", F.coalesce(tools.grounded_string(word, F.col("prompt")), F.lit("none")).alias("grounded"))
 
 
-@query("confidence", "SELECT event_id, round(c, 9) AS confidence, CASE WHEN c >= 0.9 THEN 'execute' WHEN c >= 0.7 THEN 'verify' ELSE 'clarify' END AS action FROM (SELECT event_id, least(least(1.0, greatest(0.0, (value - value / 10) / nullif(value, 0))), greatest(0.0, 1.0 - 0.25 * (event_id % 3)), CASE WHEN user_id = 0 THEN 1.0 ELSE (user_id - 1) / user_id END) AS c FROM events)")
+@query(
+    "grounded_calls",
+    f"""
+WITH c AS (SELECT example_id, prompt, json_extract(target_text, '$.arguments') AS args FROM {_PROMPTS} WHERE target_type = 'tool_call' AND json_valid(target_text)),
+f AS (SELECT example_id, prompt, unnest(json_keys(args)) AS field, args FROM c),
+g AS (SELECT example_id, field, list_contains(regexp_extract_all(prompt, '-?\d+(?:\.\d+)?'), json_extract_string(args, '$.' || field)) AS grounded FROM f)
+SELECT example_id, count(*) AS n_fields, count(*) FILTER (grounded) AS n_grounded, count(*) FILTER (grounded) < count(*) AS blocked FROM g GROUP BY example_id
+""",
+)
+def grounded_calls(spark: SparkSession, d: str) -> DataFrame:
+    """How many of a call's arguments stand in what the user said, and whether strict grounding blocks the call."""
+    calls = prompts(spark, d).filter("target_type = 'tool_call'").select("example_id", "prompt", F.get_json_object("target_text", "$.arguments").alias("arguments")).filter("arguments is not null")
+    rows = calls.select("example_id", J.grounding("strict")(F.col("arguments"), F.col("prompt")).alias("g"))
+    return rows.filter(F.size("g.fields") > 0).select("example_id", F.size("g.fields").cast("bigint").alias("n_fields"), F.size(F.filter("g.fields", lambda f: f["grounded"])).cast("bigint").alias("n_grounded"), F.col("g.blocks").alias("blocked"))
+
+
+@query(
+    "confidence",
+    """
+WITH s AS (SELECT vec_id, label, list_sort(embedding::DOUBLE[], 'DESC') AS s FROM embeddings),
+c AS (SELECT vec_id, least(CASE WHEN s[1] <= 0 THEN 0.0 ELSE least(1.0, greatest(0.0, (s[1] - s[2]) / s[1])) END, greatest(0.0, 1.0 - 0.25 * (vec_id % 3)), CASE WHEN label = 0 THEN 1.0 ELSE (label - 1) / label END) AS c FROM s)
+SELECT vec_id, round(c, 9) AS confidence, CASE WHEN c >= 0.9 THEN 'execute' WHEN c >= 0.7 THEN 'verify' ELSE 'clarify' END AS action FROM c
+""",
+)
 def confidence(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value")
-    margin = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(v - v / 10, v)))
-    c = tools.confidence(margin, tools.argument_confidence(F.col("event_id") % 3), tools.share_of(F.col("user_id") - 1, F.col("user_id")))
-    return table(spark, d, "events").select("event_id", F.round(c, 9).alias("confidence"), tools.confidence_action(c).alias("action"))
+    """Vectors read as the scores of tools, ranked; errors and passed checks from the other numbers of the row."""
+    ranked = F.sort_array(F.transform("embedding", lambda x: x.cast("double")), asc=False)
+    rows = table(spark, d, "embeddings").select("vec_id", "label", ranked.alias("s"))
+    c = tools.confidence(tools.tool_margin(F.col("s")), tools.argument_confidence(F.col("vec_id") % 3), tools.share_of(F.col("label") - 1, F.col("label")))
+    return rows.select("vec_id", F.round(c, 9).alias("confidence"), tools.confidence_action(c).alias("action"))
 
 
 @query("json_numbers", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k, json_valid(props) AS valid FROM events")
@@ -109,14 +137,23 @@ def calculator(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "c.result", "whole")
 
 
-@query("tool_calls")
-def tool_calls(spark: SparkSession, d: str) -> DataFrame:
-    """What the examples' targets are as tool calls."""
-    parse = J.parse_tool_call({"swap_units": {"anchor": "int"}, "read_barometer": {"place": "str"}})
-    return prompts(spark, d).select("example_id", parse(F.coalesce("target_text", F.lit(""))).alias("c")).select("example_id", "c.status", F.coalesce("c.name", F.lit("")).alias("name"))
+def _json(path: str) -> str:
+    return f"json_extract(CASE WHEN json_valid(target_text) THEN target_text END, '{path}')"
 
 
-_ENTRIES = "(SELECT event_id AS seq, user_id AS entry_id, event_type AS scope, value FROM events)"
+@query(
+    "tool_calls",
+    f"""
+SELECT example_id, CASE WHEN NOT {S.looks_like_call("coalesce(target_text, '')")} THEN 'none' WHEN NOT json_valid(target_text) OR list_sort(json_keys(CASE WHEN json_valid(target_text) THEN target_text END)) <> ['arguments', 'name'] OR json_type({_json("$.arguments")}) <> 'OBJECT' THEN 'malformed'
+  WHEN NOT list_contains(tools, {_json("$.name")} ->> '$') THEN 'malformed' ELSE 'ok' END AS status,
+  CASE WHEN {S.looks_like_call("coalesce(target_text, '')")} AND json_type({_json("$.arguments")}) = 'OBJECT' THEN {_json("$.name")} ->> '$' ELSE '' END AS name FROM {_PROMPTS}
+""",
+)
+def tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    """What the examples' targets are as calls of the tools that the example declares."""
+    rows = prompts(spark, d).select("example_id", "tools", tools.CALL(F.coalesce("target_text", F.lit(""))).alias("c"))
+    score = tools.call_score(F.col("c"), F.coalesce("tools", F.array().cast("array<string>")), F.col("c.name"), F.col("c.arguments"))
+    return rows.select("example_id", score["status"].alias("status"), F.coalesce("c.name", F.lit("")).alias("name"))
 
 
 @query("memory_upsert", "SELECT user_id AS entry_id, max(event_id) AS seq, arg_max(event_type, event_id) AS scope, arg_max(value, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
