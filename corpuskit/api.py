@@ -7,32 +7,100 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpuskit.functions import text as T
 from corpuskit.operators import bpe, chat, contamination, curriculum, evaluation, gates, pipeline, sampling
 from corpuskit.sources import shards
 
 
-def prepare_corpus(spark: SparkSession, manifest: str, out: str, base_dir: str = ".", evaluation_texts: DataFrame | None = None, settings: pipeline.Settings = pipeline.Settings()) -> DataFrame:
-    """Shards of a manifest file to a written corpus; returns its counts per split. Hashes are checked before the scan.
+def _acquired(spark: SparkSession, manifest: str, base_dir: str, fetch: dict) -> tuple[list[shards.Source], list[tuple]]:
+    """The sources of a manifest and, for each shard in order, its number, source, place, format and text field.
 
-    Chunk sizes, least lengths and groups are those of the manifest's sources (or its defaults), not of ``settings``.
+    Local shards are hashed on the executors, all at once, and compared to the pinned hashes there are.
     """
-    docs, offset, quotas = None, 0, []
-    for source in shards.read_manifest(Path(manifest).read_text(encoding="utf-8")):
-        quotas.append((source.source, source.max_records))
+    sources = shards.read_manifest(Path(manifest).read_text(encoding="utf-8"))
+    found, pinned = [], {}
+    for source in sources:
         for i, shard in enumerate(source.shards):
-            path, _, _ = shards.fetch_shard(shard, base_dir, expected_sha256=(source.sha256[i] or "") if source.sha256 else "")
-            fmt = shards.shard_format(shard, source.shard_format)
-            part = shards.documents(spark, str(path), fmt, source.text_field)
-            # Shards follow each other in the order of the manifest: 2 ** 32 documents each at most.
-            part = part.select((F.col("doc_index") + offset).alias("doc_id"), F.lit(source.source).alias("source"), "paragraphs", F.lit(fmt == "text").alias("is_text"), *(F.lit(getattr(source, c)).alias(c) for c in ("chunk_chars", "min_chars", "group_chunks")))
-            docs = part if docs is None else docs.unionByName(part)
-            offset += 2**32
-    if docs is None:
+            want = (source.sha256[i] or "") if source.sha256 else ""
+            path, _, _ = shards.fetch_shard(shard, base_dir, expected_sha256=want, auth_env=source.auth_env, hashed=False, **fetch)
+            uri = path.resolve().as_uri()
+            found.append((len(found), source.source, uri, shards.shard_format(shard, source.shard_format), source.text_field))
+            if want:
+                pinned[uri] = want
+    if pinned:
+        for row in shards.checksums(spark, *pinned).toLocalIterator():
+            if row.sha256 != pinned[row.path]:
+                raise shards.ShardError(f"{row.path} has sha256 {row.sha256}, not {pinned[row.path]}")
+    return sources, found
+
+
+def _documents(spark: SparkSession, sources: list[shards.Source], found: list[tuple]) -> DataFrame:
+    """doc_id, source, shard, paragraphs, is_text and the sources' sizes: one scan for each format and text field.
+
+    Shards follow each other in the order of the manifest, with room for 2 ** 32 documents each.
+    """
+    if not found:
         raise shards.ShardError("the manifest has no shards")
-    corpus = pipeline.PreparedCorpus(docs, evaluation_texts, settings, spark.createDataFrame(quotas, "source string, max_records int"))
+    sizes = {s.source: (s.chunk_chars, s.min_chars, s.group_chunks) for s in sources}
+    rows = [(*f[:3], *sizes[f[1]]) for f in found]
+    # One row per shard of a manifest that was read on the driver: Spark broadcasts it while it is small.
+    places = spark.createDataFrame(rows, "shard_no bigint, source string, uri string, chunk_chars int, min_chars int, group_chunks int")
+    docs = None
+    for fmt, field in sorted({f[3:] for f in found}):
+        part = shards.documents(spark, [f[2] for f in found if f[3:] == (fmt, field)], fmt, field).withColumn("uri", F.regexp_replace("shard", "^file:/+", "file:///")).drop("shard")
+        part = part.join(places, "uri", "left")
+        number = F.when(F.col("shard_no").isNull(), F.raise_error(F.concat(F.lit("no shard of the manifest: "), F.col("uri")))).otherwise(F.col("shard_no"))
+        part = part.select((number * 2**32 + F.col("doc_index")).alias("doc_id"), "source", F.col("uri").alias("shard"), "paragraphs", F.lit(fmt == "text").alias("is_text"), "chunk_chars", "min_chars", "group_chunks")
+        docs = part if docs is None else docs.unionByName(part)
+    return docs
+
+
+def prepare_corpus(spark: SparkSession, manifest: str, out: str, base_dir: str = ".", evaluation_texts: DataFrame | None = None, settings: pipeline.Settings = pipeline.Settings(), **fetch: object) -> DataFrame:
+    """Shards of a manifest file to a written corpus; returns its sizes per split, natural text apart from supplemental.
+
+    Chunk sizes, least lengths, groups and quotas are those of the manifest's sources (or its defaults), not of
+    ``settings``. Hashes are checked before the scan. ``fetch``: see ``shards.fetch_shard``.
+    """
+    sources, found = _acquired(spark, manifest, base_dir, fetch)
+    quotas = spark.createDataFrame([(s.source, s.max_records, len(s.shards)) for s in sources], "source string, max_records int, n_shards int")
+    corpus = pipeline.PreparedCorpus(_documents(spark, sources, found), evaluation_texts, settings, quotas)
     records = corpus.records()
     shards.write_corpus(records, out)
-    return pipeline.split_counts(records)
+    corpus.source_counts().coalesce(1).write.mode("overwrite").json(f"{out}/sources")
+    return pipeline.split_counts(shards.load_corpus(spark, out, verify=False), [s.source for s in sources if s.supplemental])
+
+
+def prepare_external(spark: SparkSession, manifest: str, out: str, base_dir: str = ".", **fetch: object) -> DataFrame:
+    """Every entry of a manifest as records in ``out``/<source>.<split>, without duplicates removed or splits dealt.
+
+    A synthetic entry is generated; one local record file is copied line by line; other shards become chunks, up to the
+    entry's quota, spread evenly over its shards. Returns source, entry_type, split, natural, examples, tokens, bytes and
+    identity of each entry, which ``out``/manifest holds as well.
+    """
+    sources, found = _acquired(spark, manifest, base_dir, fetch)
+    written = None
+    for source in sources:
+        own = [f for f in found if f[1] == source.source]
+        copied = source.entry_type == "local" and len(own) == 1 and own[0][3] == "jsonl" and not own[0][2].lower().endswith(".gz")
+        folder = f"{out}/{source.source}.{source.split}"
+        if source.entry_type == "synthetic":
+            made = curriculum.generate(spark, str(source.extra.get("generator")), int(source.extra.get("examples") or 0), source.split, int(source.extra.get("seed") or 0))
+            lines = curriculum.as_messages(made).select(F.to_json(F.struct("id", "category", "messages")).alias("value"))
+        elif copied:
+            lines = spark.read.text(own[0][2]).filter("trim(value) <> ''")
+        else:
+            lines = pipeline.plain_chunks(_documents(spark, sources, own), source.max_records, len(own)).select(F.to_json(F.struct("id", "text", "category", "source")).alias("value"))
+        lines.write.mode("overwrite").text(folder)
+        texts = shards.record_texts(spark.read.text(folder))
+        size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("bigint")
+        row = texts.agg(F.count(F.lit(1)).alias("examples"), (size + 2 * F.count(F.lit(1))).alias("tokens"), size.alias("bytes"), T.table_hash(F.sha2("value", 256)).alias("identity"))
+        natural = source.entry_type != "synthetic" and not source.supplemental
+        row = row.select(F.lit(source.source).alias("source"), F.lit(source.entry_type).alias("entry_type"), F.lit(source.split).alias("split"), F.lit(natural).alias("natural"), "examples", "tokens", "bytes", "identity")
+        written = row if written is None else written.unionByName(row)
+    if written is None:
+        raise shards.ShardError("the manifest has no entries")
+    written.coalesce(1).write.mode("overwrite").json(f"{out}/manifest")
+    return spark.read.schema(written.schema).json(f"{out}/manifest")
 
 
 def tokenizer_sample(natural: DataFrame, supplemental: DataFrame, natural_records: int = 8000, supplemental_records: int = 4000, seed: int = 0) -> DataFrame:

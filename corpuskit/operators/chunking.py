@@ -64,6 +64,12 @@ def chunk_paragraphs(paragraphs: Column, chunk_chars: int | Column) -> Column:
     return pack(paragraphs, F.lit(chunk_chars) if isinstance(chunk_chars, int) else chunk_chars)
 
 
+def lost_characters(paragraphs: Column, chunk_chars: Column) -> Column:
+    """How many characters ``chunk_paragraphs`` drops: what stands beyond the limit in words longer than it."""
+    words = F.flatten(F.transform(F.filter(paragraphs, lambda p: F.length(p) > chunk_chars), lambda p: F.split(p, r"(?U)[\s\x1c-\x1f]+")))
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda n, w: n + F.greatest(F.length(w) - chunk_chars, F.lit(0)))
+
+
 def chunk_documents(docs: DataFrame, chunk_chars: int | Column = 1000, group_chunks: int | Column = 8, is_text: Column | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys``, chunk_index, group_index, text: one row per chunk of ``docs`` (``keys`` and paragraphs).
 

@@ -33,6 +33,21 @@ def numbered(df: DataFrame, hash_col: str, order: list[Column | str], by: str |
     return out.withColumn("_rn", F.col("_before") + F.col("_in")).drop("_group", "_range", "_in", "_before", "_g", "_r")
 
 
+def places(df: DataFrame, by: list[str], parts: list[Column], order: list[Column | str]) -> DataFrame:
+    """``df`` with _place, a row's place within its group ``by`` in the given order, from 1.
+
+    ``parts`` cut each group into stretches that follow each other in the order. A running sum over the sizes of the
+    stretches gives each its offset, and places within a stretch are numbered apart: no task sees a whole group.
+    """
+    rows = df.withColumns({f"_part{i}": p for i, p in enumerate(parts)})
+    cut = [f"_part{i}" for i in range(len(parts))]
+    sizes = rows.groupBy(*by, *cut).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy(*cut).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumn("_before", before).drop("_c")
+    inside = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*by, *cut).orderBy(*order)))
+    return inside.join(offsets, [*by, *cut]).withColumn("_place", F.col("_before") + F.col("_in")).drop(*cut, "_in", "_before")
+
+
 def split_groups(groups: DataFrame, validation: float, test: float, seed: int, key: str = "group_key") -> DataFrame:
     """``key``, split: the first ceil(test * G) groups by seeded hash to test, the next ceil(validation * G) to val.
 

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-import shutil
-from collections.abc import Mapping, Sequence
+import os
+import time
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from http.client import HTTPException, IncompleteRead
 from pathlib import Path
-from urllib.parse import urlsplit
+from urllib.error import HTTPError
+from urllib.parse import unquote, urlsplit
+from urllib.request import Request, urlopen
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpuskit.functions import text as T
+from corpuskit.session import Workspace
 
 RECORD_SUFFIXES = (".jsonl", ".ndjson", ".json")
 _BLOCK = 1 << 20
@@ -49,27 +56,79 @@ def file_sha256(path: str | Path) -> tuple[str, int]:
     return digest.hexdigest(), size
 
 
-def fetch_shard(shard: str, base_dir: str = ".", cache_dir: str | None = None, allow_download: bool = False, expected_sha256: str = "", download=None) -> tuple[Path, str, int]:
-    """(path, sha256, bytes) of a shard: local files and file:// in place, others by ``download(url, target)``.
-
-    A network shard is refused unless downloads are allowed; a hash other than the expected one is an error; a download
-    is kept under the hash of its address and used again only while its content still has the expected hash.
+# Answers of a server that are worth another attempt, besides all of 5xx.
+PASSING = (408, 429)
+
+
+def _passing(error: Exception) -> bool:
+    """Whether a failed download may succeed when it is tried again."""
+    if isinstance(error, HTTPError):
+        return error.code in PASSING or error.code >= 500
+    return isinstance(error, (OSError, HTTPException)) and not isinstance(error, ValueError)
+
+
+def open_url(url: str, token: str | None = None, timeout: float = 120.0):
+    """A response with read() and headers. The token goes to the first host alone: it is not sent on after a redirect."""
+    request = Request(url, headers={"User-Agent": "corpuskit"})
+    if token:
+        request.add_unredirected_header("Authorization", f"Bearer {token}")
+    return urlopen(request, timeout=timeout)
+
+
+def _download(url: str, target: Path, opened, attempts: int, pause: float, sleep) -> str:
+    """Stream ``url`` to ``target``; the sha256. Passing failures and short bodies are tried again, from the start."""
+    for attempt in range(1, attempts + 1):
+        try:
+            digest, size = hashlib.sha256(), 0
+            with opened(url) as response, target.open("wb") as out:
+                while block := response.read(_BLOCK):
+                    digest.update(block)
+                    out.write(block)
+                    size += len(block)
+                promised = response.headers.get("Content-Length")
+            if promised and promised.strip().isdigit() and int(promised) != size:
+                raise IncompleteRead(b"", int(promised) - size)
+            return digest.hexdigest()
+        except (OSError, HTTPException, ValueError) as error:
+            target.unlink(missing_ok=True)
+            if attempt == attempts or not _passing(error):
+                raise ShardError(f"{redacted(url)} could not be fetched ({attempt} attempts): {type(error).__name__} {getattr(error, 'code', '')}".rstrip()) from None
+            sleep(pause * attempt)
+    raise ShardError(f"{redacted(url)}: no attempt was allowed")
+
+
+def fetch_shard(shard: str, base_dir: str = ".", cache_dir: str | None = None, allow_download: bool = False, expected_sha256: str = "", auth_env: str = "", opened=None, attempts: int = 3, pause: float = 10.0, sleep=time.sleep, hashed: bool = True) -> tuple[Path, str | None, int]:
+    """(path, sha256, bytes) of a shard: local files and file:// in place, http(s) through a cache.
+
+    A network shard is refused unless downloads are allowed. What fails in passing (connections, short bodies, 408, 429 and
+    5xx) is tried again after a pause that grows with the attempts; other answers are final. ``auth_env`` names the
+    environment variable with a bearer token. A hash other than the expected one is an error, and a cached file whose
+    content has another is fetched anew. ``opened(url)`` stands in for the network. Without ``hashed`` local files are only
+    looked up: ``checksums`` hashes them where they are read.
     """
     if needs_network(shard):
-        if not allow_download or download is None:
+        if not allow_download:
             raise ShardError(f"{redacted(shard)} needs the network, which is not allowed here")
-        path = Path(cache_dir or base_dir) / (hashlib.sha256(shard.encode()).hexdigest()[:32] + "".join(Path(urlsplit(shard).path).suffixes[-2:]))
-        if not (path.is_file() and expected_sha256 and file_sha256(path)[0] == expected_sha256):
+        token = os.environ.get(auth_env, "") if auth_env else ""
+        if auth_env and not token:
+            raise ShardError(f"{redacted(shard)} needs a token in the environment variable {auth_env}, which is not set")
+        path = Path(cache_dir or base_dir) / (hashlib.sha256(redacted(shard).encode()).hexdigest()[:32] + "".join(Path(urlsplit(shard).path).suffixes[-2:]))
+        path.parent.mkdir(parents=True, exist_ok=True)
+        found = file_sha256(path)[0] if path.is_file() else None
+        if found is None or expected_sha256 and found != expected_sha256:
             part = path.with_name(path.name + ".part")
-            path.parent.mkdir(parents=True, exist_ok=True)
-            download(shard, part)
-            shutil.move(part, path)
+            found = _download(shard, part, opened or (lambda url: open_url(url, token or None)), attempts, pause, sleep)
+            if not expected_sha256 or found == expected_sha256:
+                part.replace(path)
+            else:
+                part.unlink()
+        size = path.stat().st_size if path.is_file() else 0
     else:
-        path = Path(urlsplit(shard).path) if shard.startswith("file:") else Path(base_dir) / shard
-    if not path.is_file():
-        raise ShardError(f"{redacted(shard)} doesn't exist")
-    found, size = file_sha256(path)
-    if expected_sha256 and found != expected_sha256:
+        path = Path(unquote(urlsplit(shard).path)) if shard.startswith("file:") else Path(base_dir) / shard
+        if not path.is_file():
+            raise ShardError(f"{redacted(shard)} doesn't exist")
+        found, size = file_sha256(path) if hashed else (None, path.stat().st_size)
+    if expected_sha256 and found is not None and found != expected_sha256:
         raise ShardError(f"{redacted(shard)} has sha256 {found}, not {expected_sha256}")
     return path, found, size
 
@@ -140,17 +199,23 @@ def read_manifest(text: str) -> list[Source]:
 
 
 def lines_of(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, line_no (from 1), line of text files. Lines are numbered within their file by one pass over it."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.select("path", F.posexplode(F.split(F.decode(F.col("content"), "UTF-8"), "\r\n|\r|\n", -1)).alias("line_no", "line")).select("path", (F.col("line_no") + 1).alias("line_no"), "line")
+    """path, line_no (from 1, blank lines included), line of text files of any size.
+
+    The lines of a file block are read one after the other, so a line's place in its block is the distance of its running
+    id from the block's first; only one row a block is ever shuffled or summed.
+    """
+    rows = spark.read.text(list(paths)).select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    per = rows.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = Workspace(spark, "lines").write(per.select("path", "_block", "_first", before.alias("_before")), "blocks")
+    return rows.join(per, ["path", "_block"]).select("path", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, value (variant) of the non-blank lines; a line that is no JSON is an error naming the file."""
-    rows = spark.read.text(list(paths)).select(F.input_file_name().alias("path"), T.strip(F.col("value")).alias("line")).filter("line <> ''")
-    value = F.try_parse_json("line")
-    bad = F.raise_error(F.concat(F.lit("no JSON in "), F.col("path"), F.lit(": "), F.substring("line", 1, 80)))
-    return rows.withColumn("line", F.when(value.isNull(), bad).otherwise(F.col("line"))).select("path", F.parse_json("line").alias("value"))
+    """path, value (variant) of the non-blank lines; a line that is no JSON is an error naming the file and the line."""
+    rows = lines_of(spark, *paths).withColumn("line", T.strip(F.col("line"))).filter("line <> ''")
+    bad = F.raise_error(F.concat(F.lit("no JSON in "), F.col("path"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), F.substring("line", 1, 80)))
+    return rows.withColumn("line", F.when(F.try_parse_json("line").isNull(), bad).otherwise(F.col("line"))).select("path", F.parse_json("line").alias("value"))
 
 
 def iter_examples(spark: SparkSession, *paths: str) -> DataFrame:
@@ -185,20 +250,47 @@ def documents(spark: SparkSession, path: str | list[str], fmt: str, text_field:
     return rows.select("shard", (F.col("_before") + F.col("_in")).cast("bigint").alias("doc_index"), T.paragraphs(F.col("text")).alias("paragraphs"))
 
 
+def _texts_of(v: Column) -> Column:
+    """What a record (a variant) says: its text, or each of its messages."""
+    contents = F.transform(F.try_variant_get(v, "$.messages", "array<variant>"), lambda m: F.try_variant_get(m, "$.content", "string"))
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(F.array_compact(F.array(F.try_variant_get(v, "$.text", "string"))), none), F.coalesce(contents, none))
+
+
+def record_texts(lines: DataFrame) -> DataFrame:
+    """value, text of JSON lines: the text or all message contents together; other lines as they are."""
+    v = F.try_parse_json("value")
+    return lines.select("value", F.when(v.isNull(), F.col("value")).otherwise(F.array_join(_texts_of(v), "\n")).alias("text"))
+
+
 def training_texts(spark: SparkSession, *paths: str) -> DataFrame:
     """source, text below files or folders: a record's text or each non-blank message content; other files by line."""
     rows = spark.read.text(list(paths), recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
     v = F.when(F.col("path").rlike(r"(?i)\.(jsonl|ndjson|json)(\.gz)?$"), F.try_parse_json("value"))
-    contents = F.transform(F.try_variant_get(v, "$.messages", "array<variant>"), lambda m: F.try_variant_get(m, "$.content", "string"))
-    parts = F.when(v.isNull(), F.array("value")).otherwise(F.coalesce(F.array_compact(F.array(F.try_variant_get(v, "$.text", "string"))), F.array().cast("array<string>")))
-    parts = F.concat(parts, F.coalesce(contents, F.array().cast("array<string>")))
+    parts = F.when(v.isNull(), F.array("value")).otherwise(_texts_of(v))
     name = F.regexp_extract("path", r"train_([^/]*?)\.jsonl", 1)
     return rows.select(F.when(name != "", name).alias("source"), F.explode(parts).alias("text")).filter(T.strip(F.col("text")) != "")
 
 
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow.fs import FileSystem
+
+    for batch in batches:
+        for path in batch["path"].to_pylist():
+            files, place = FileSystem.from_uri(path)
+            digest, size = hashlib.sha256(), 0
+            with files.open_input_stream(place, compression=None) as handle:
+                while block := handle.read(_BLOCK):
+                    digest.update(block)
+                    size += len(block)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()]), pa.array([size], pa.int64())], names=["path", "sha256", "bytes"])
+
+
 def checksums(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, sha256, bytes of files, hashed where they are read."""
-    return spark.read.format("binaryFile").load(list(paths)).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    """path, sha256, bytes of files of any size, hashed in blocks on the executors, a task for each file."""
+    uris = [p if "://" in p else Path(p).resolve().as_uri() for p in paths]
+    rows = spark.createDataFrame([(u,) for u in uris], "path string")
+    return rows.repartition(max(1, min(len(uris), 10_000)), "path").mapInArrow(_hash_files, "path string, sha256 string, bytes bigint")
 
 
 def split_identity(records: DataFrame) -> DataFrame:
@@ -207,12 +299,19 @@ def split_identity(records: DataFrame) -> DataFrame:
     return records.groupBy("split").agg(F.count(F.lit(1)).alias("records"), T.table_hash(row).alias("identity"))
 
 
+def split_sizes(records: DataFrame) -> DataFrame:
+    """split, records, tokens (of the byte tokenizer, two marks a text), bytes and identity of each split."""
+    row = F.sha2(F.concat_ws("\x1f", "id", "text", "category", "source"), 256)
+    size = F.sum(F.octet_length("text")).cast("bigint")
+    return records.groupBy("split").agg(F.count(F.lit(1)).alias("records"), (size + 2 * F.count(F.lit(1))).alias("tokens"), size.alias("bytes"), T.table_hash(row).alias("identity"))
+
+
 def write_corpus(records: DataFrame, folder: str) -> DataFrame:
-    """Write records (id, text, category, source, split) as JSON lines by split, and their identities beside them."""
+    """Write records (id, text, category, source, split) as JSON lines by split, and beside them their sizes and identities."""
     records.write.mode("overwrite").partitionBy("split").json(f"{folder}/records")
-    identity = split_identity(records)
-    identity.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
-    return identity
+    sizes = split_sizes(records)
+    sizes.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    return sizes
 
 
 def load_corpus(spark: SparkSession, folder: str, verify: bool = True) -> DataFrame:
@@ -220,7 +319,8 @@ def load_corpus(spark: SparkSession, folder: str, verify: bool = True) -> DataFr
     schema = "id string, text string, category string, source string, split string"
     records = spark.read.schema(schema).json(f"{folder}/records")
     if verify:
-        want = spark.read.schema("split string, records bigint, identity string").json(f"{folder}/manifest")
-        if split_identity(records).exceptAll(want).unionByName(want.exceptAll(split_identity(records))).limit(1).count():
+        want = spark.read.schema("split string, records bigint, identity string").json(f"{folder}/manifest").select("split", F.struct("records", "identity").alias("want"))
+        found = split_identity(records).select("split", F.struct("records", "identity").alias("found"))
+        if not found.join(want, "split", "full").filter(~F.col("found").eqNullSafe(F.col("want"))).isEmpty():
             raise ShardError(f"the records in {folder} aren't those of its manifest")
     return records
