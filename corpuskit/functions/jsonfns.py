@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -31,6 +32,12 @@ def tool_call_text(names: pd.Series, arguments: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+@F.pandas_udf(Y.STRING)
+def legacy_call_text(targets: pd.Series) -> pd.Series:
+    """The name and arguments of a target (JSON) as older files spell a call: a space after marks, ASCII only."""
+    return _each(lambda t: json.dumps({"name": v.get("name"), "arguments": v.get("arguments", {})}) if isinstance(v := pyjson.load(t), dict) else None, targets)
+
+
 @F.pandas_udf(Y.struct(result=Y.DOUBLE, error=Y.STRING))
 def calculate(texts: pd.Series) -> pd.DataFrame:
     """The value of an arithmetic expression (+ - * / // % ** and brackets, at most 200 characters) or why it has none."""

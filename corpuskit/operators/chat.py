@@ -158,10 +158,21 @@ def content_hash(df: DataFrame, *order: str, columns: list[str]) -> DataFrame:
     return df.agg(T.table_hash(row).alias("content_hash"))
 
 
-def legacy_tokens(messages: Column, target_text: Column, max_len: int | None = None) -> tuple[Column, Column]:
-    """Prompt text (contents joined by a space) and target text of the older training format."""
+def unique_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """``df`` itself; an error naming one of them when an id occurs twice. Ids alone are read and shuffled for it."""
+    again = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id_col).limit(1).collect()
+    if again:
+        raise ValueError(f"the id {again[0][0]!r} occurs more than once")
+    return df
+
+
+def legacy_tokens(messages: Column, target_type: Column, target_text: Column, max_len: int | None = None) -> tuple[Column, Column]:
+    """Byte ids of the prompt in the older training format (a start mark and the contents joined by a space, cut to
+    ``max_len``) and the text of the target, a call with its name before its arguments."""
     prompt = F.array_join(F.transform(messages, lambda m: F.coalesce(m["content"], F.lit(""))), " ")
-    return (F.substring(prompt, 1, max_len) if max_len else prompt), target_text
+    ids = F.concat(F.array(F.lit(BOS)), encode_bytes(prompt))
+    target = F.when(target_type == "tool_call", J.legacy_call_text(target_text)).otherwise(F.coalesce(target_text, F.lit("")))
+    return (F.slice(ids, 1, max_len) if max_len else ids), target
 
 
 canonical_json, tool_call_text = J.canonical_json, J.tool_call_text

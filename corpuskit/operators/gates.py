@@ -108,10 +108,3 @@ def resolve_mode(stage: Column, own_stage: Column, complete: Column, exhausted:
         .when(resume, F.when(same & ~complete & ~exhausted, "resume"))
         .when(begin, F.when(complete & ~same, "init-from"))
     )
-
-
-def render_history(history: DataFrame, columns: Sequence[str]) -> str:
-    """A Markdown table of the (small) history, one line per checkpoint."""
-    show = lambda x: "-" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
-    lines = ["| " + " | ".join(columns) + " |", "|" + " - |" * len(columns)]
-    return "\n".join([*lines, *("| " + " | ".join(show(r[c]) for c in columns) + " |" for r in history.select(*columns).limit(10_000).collect())])
