@@ -67,36 +67,89 @@ def invalid_examples(spark: SparkSession, d: str) -> DataFrame:
     return chat.normalize_examples(rows).agg(F.count_if(F.col("error").isNotNull()).alias("n_invalid"), F.count_if(F.col("error").isNull()).alias("n_valid"))
 
 
-@query("render_prompt")
+_TOOLS = "CASE WHEN len(coalesce(tools, [])) > 0 THEN 'tools: ' || array_to_string(tools, ', ') || chr(10) ELSE '' END"
+
+
+@query(
+    "render_prompt",
+    f"""
+WITH {_NORMAL}, p AS (SELECT id, tools, m[1:len(m) - 1] AS p FROM ok WHERE len(m) > 1)
+SELECT id, '<BOS>' || {_TOOLS} || array_to_string(list_transform(list_filter(p, lambda x: x.role = 'system'), lambda x: 'system:' || chr(10) || x.content || chr(10)), '')
+  || array_to_string(list_transform(list_filter(p, lambda x: x.role <> 'system'), lambda x: x.role || ':' || chr(10) || x.content || CASE WHEN x.role = 'assistant' THEN '<EOS>' ELSE chr(10) END), '') || 'assistant:' || chr(10) AS prompt
+FROM p WHERE p[-1].role <> 'assistant'
+""",
+)
 def render_prompt(spark: SparkSession, d: str) -> DataFrame:
     """The prompt before each example's last assistant turn."""
     rows = rendered(spark, d).withColumn("messages", F.slice("messages", 1, F.greatest(F.size("messages") - 1, F.lit(0)))).filter(F.size("messages") > 0)
     return rows.select("id", chat.prompt_text().alias("prompt")).filter("prompt is not null")
 
 
-@query("token_ids")
+_SEGMENT = "struct_pack(h := {h}, t := {t}, z := {z})"
+
+
+def _segment(text: str, trained: str = "false", special: int = 0) -> str:
+    return _SEGMENT.format(h=f"hex(encode({text}))", t=trained, z=special)
+
+
+@query(
+    "token_ids",
+    f"""
+WITH {_NORMAL}, g AS (SELECT id, list_concat([{_segment("''", special=1)}], CASE WHEN len(coalesce(tools, [])) > 0 THEN [{_segment(_TOOLS)}] ELSE [] END,
+  flatten(list_transform(list_concat(list_filter(m, lambda x: x.role = 'system'), list_filter(m, lambda x: x.role <> 'system')), lambda x: CASE WHEN x.role = 'assistant' THEN [{_segment("'assistant:' || chr(10)")}, {_segment("x.content", "x.train")}, {_segment("''", "x.train", 2)}] ELSE [{_segment("x.role || ':' || chr(10) || x.content || chr(10)")}] END))) AS segs FROM ok),
+i AS (SELECT id, list_transform(segs, lambda p: struct_pack(t := p.t, v := CASE WHEN p.z > 0 THEN [p.z] ELSE list_transform(range(1, length(p.h) // 2 + 1), lambda k: CAST('0x' || substr(p.h, 2 * k - 1, 2) AS INTEGER) + 4) END)) AS s FROM g),
+f AS (SELECT id, flatten(list_transform(s, lambda p: p.v)) AS ids, list_concat([-100], flatten(list_transform(s, lambda p: list_transform(p.v, lambda v: CASE WHEN p.t THEN v ELSE -100 END)))[2:]) AS labels FROM i),
+o AS (SELECT *, CASE WHEN len(ids) <= {MAX_TOKENS} THEN 'whole' WHEN len(list_filter(labels[2:{MAX_TOKENS}], lambda v: v <> -100)) > 0 THEN 'truncated' ELSE 'dropped' END AS overflow FROM f)
+SELECT id, CASE WHEN overflow = 'dropped' THEN '' ELSE array_to_string(ids[1:{MAX_TOKENS}], ' ') END AS ids, CASE WHEN overflow = 'dropped' THEN '' ELSE array_to_string(labels[1:{MAX_TOKENS}], ' ') END AS labels, len(ids) AS n_ids, overflow FROM o
+""",
+)
 def token_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Byte tokens and labels of every example, cut to the length of a row."""
-    rows = rendered(spark, d).select("id", chat.byte_tokens("segments").alias("t")).select("id", "t.ids", "t.labels")
-    return chat.apply_overflow(rows, MAX_TOKENS, "truncate").select("id", "ids", "labels", F.coalesce("overflow", F.lit("whole")).alias("overflow"))
+    """Byte tokens and labels of every example (as texts of numbers), cut to the length of a row where they are longer:
+    overflow tells which are, and n_ids how long they were."""
+    rows = rendered(spark, d).select("id", chat.byte_tokens("segments").alias("t")).select("id", "t.ids", "t.labels", F.size("t.ids").cast("bigint").alias("n_ids"))
+    text = lambda c: F.array_join(c, " ").alias(c)
+    return chat.apply_overflow(rows, MAX_TOKENS, "truncate").select("id", text("ids"), text("labels"), "n_ids", F.coalesce("overflow", F.lit("whole")).alias("overflow"))
+
+
+_LENGTHS = f"n_ids AS (SELECT id, least(n_tokens, {MAX_TOKENS}) AS length, n_tokens > {MAX_TOKENS} AS cut, row_number() OVER (ORDER BY id) AS rn FROM r)"
+_PACKED = f"""
+p(rn, row_no, used, segment_no) AS (SELECT rn, CAST(0 AS BIGINT), length, 1 FROM n_ids WHERE rn = 1 UNION ALL
+  SELECT n.rn, CASE WHEN p.used + n.length > {MAX_TOKENS} THEN p.row_no + 1 ELSE p.row_no END, CASE WHEN p.used + n.length > {MAX_TOKENS} THEN n.length ELSE p.used + n.length END, CASE WHEN p.used + n.length > {MAX_TOKENS} THEN 1 ELSE p.segment_no + 1 END
+  FROM p JOIN n_ids n ON n.rn = p.rn + 1)
+"""
 
 
-@query("packed_rows")
+@query("packed_rows", f"WITH RECURSIVE {_NORMAL}, {_LENGTHS}, {_PACKED} SELECT id, CAST(length AS INTEGER) AS length, cut, row_no, segment_no FROM p JOIN n_ids USING (rn)")
 def packed_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Every example's row and segment in the packed epoch."""
-    rows = _lengths(spark, d).select("id", F.least("n_tokens", F.lit(MAX_TOKENS)).cast("int").alias("length"))
+    """Every example's row and segment in the packed epoch; what is longer than a row counts as cut to it."""
+    rows = _lengths(spark, d).select("id", F.least("n_tokens", F.lit(MAX_TOKENS)).cast("int").alias("length"), (F.col("n_tokens") > MAX_TOKENS).alias("cut"))
     return packing.pack_rows(rows, MAX_TOKENS, "length", "id")
 
 
-@query("padding_utilisation")
+@query(
+    "padding_utilisation",
+    f"""
+WITH RECURSIVE {_NORMAL}, {_LENGTHS}, {_PACKED} SELECT count(*) AS n_examples, count(*) FILTER (cut) AS n_cut, CAST(max(row_no) + 1 AS BIGINT) AS n_rows, round(sum(length) / (count(*) * {MAX_TOKENS}), 6) AS padded, round(sum(length) / ((max(row_no) + 1) * {MAX_TOKENS}), 6) AS packed FROM p JOIN n_ids USING (rn)
+""",
+)
 def padding_utilisation(spark: SparkSession, d: str) -> DataFrame:
-    """How full rows are, with one example a row and packed."""
+    """How full rows are, with one example a row and packed, and how many examples were cut to a row."""
     rows = packed_rows(spark, d)
-    packed = rows.groupBy("row_no").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("n"))
-    return packed.agg(F.sum("n").alias("n_examples"), F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("used") / (F.sum("n") * MAX_TOKENS), 6).alias("padded"), F.round(F.sum("used") / (F.count(F.lit(1)) * MAX_TOKENS), 6).alias("packed"))
+    packed = rows.groupBy("row_no").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("n"), F.count_if("cut").alias("cut"))
+    return packed.agg(F.sum("n").alias("n_examples"), F.sum("cut").alias("n_cut"), F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("used") / (F.sum("n") * MAX_TOKENS), 6).alias("padded"), F.round(F.sum("used") / (F.count(F.lit(1)) * MAX_TOKENS), 6).alias("packed"))
 
 
-@query("epoch_plan")
+@query(
+    "epoch_plan",
+    """
+WITH e AS (SELECT DISTINCT source, example_id AS id FROM chat_examples), w AS (SELECT source, weight / sum(weight) OVER () * (SELECT count(*) FROM e) AS x FROM dataset_manifest WHERE entry_type = 'synthetic' AND split = 'train'),
+f AS (SELECT *, floor(x) AS fl FROM w), q AS (SELECT source, CAST(fl + CASE WHEN row_number() OVER (ORDER BY x - fl DESC, source) <= (SELECT count(*) FROM e) - sum(fl) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f),
+n AS (SELECT source, count(*) AS n FROM e GROUP BY source), p AS (SELECT source, quota, n, CAST(ceil(quota / n) AS BIGINT) AS turns FROM q JOIN n USING (source) WHERE quota > 0),
+r AS (SELECT source, id, quota, n, turns, unnest(range(1, turns + 1)) AS repeat FROM e JOIN p USING (source)),
+k AS (SELECT *, row_number() OVER (PARTITION BY source, repeat ORDER BY sha256('0:1:' || source || ':' || repeat || ':' || id), id) AS place FROM r)
+SELECT source, id, CAST(repeat AS INTEGER) AS repeat, sha256('0:1:order:' || source || ':' || repeat || ':' || id) AS order_key FROM k WHERE repeat < turns OR place <= quota - n * (turns - 1)
+""",
+)
 def epoch_plan(spark: SparkSession, d: str) -> DataFrame:
     """An epoch of as many examples as there are, dealt by the sources' weights, small sources repeated."""
     rows = table(spark, d, "chat_examples").select("source", F.col("example_id").alias("id")).distinct()
@@ -198,10 +251,18 @@ def quantize_int8(spark: SparkSession, d: str) -> DataFrame:
     return q.select("vec_id", F.round(F.col("q.scale").cast("double"), 9).alias("scale"), F.aggregate("q.values", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"), F.array_max("q.values").cast("bigint").alias("top"))
 
 
-@query("quantize_int4")
+@query(
+    "quantize_int4",
+    """
+WITH s AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x))) AS peak FROM embeddings),
+q AS (SELECT vec_id, CAST(CASE WHEN peak = 0 THEN CAST(1 AS FLOAT) ELSE peak END / CAST(7 AS FLOAT) AS FLOAT) AS scale, embedding FROM s),
+v AS (SELECT vec_id, scale, list_transform(embedding, lambda x: CAST(greatest(-7, least(7, round_even(CAST(CAST(x / scale AS FLOAT) AS DOUBLE), 0))) AS INTEGER)) AS v FROM q)
+SELECT vec_id, round(CAST(scale AS DOUBLE), 9) AS scale, array_to_string(list_transform(range(1, len(v) // 2 + 1), lambda i: printf('%02X', v[2 * i - 1] + 8 + (v[2 * i] + 8) * 16)), '') AS packed FROM v
+""",
+)
 def quantize_int4(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "embeddings").select("vec_id", V.quantize(F.col("embedding"), 7).alias("q"))
-    return q.select("vec_id", "q.scale", F.hex(V.pack_int4(F.col("q.values"))).alias("packed"))
+    return q.select("vec_id", F.round(F.col("q.scale").cast("double"), 9).alias("scale"), F.hex(V.pack_int4(F.col("q.values"))).alias("packed"))
 
 
 @query(
@@ -404,12 +465,18 @@ def gate_check(spark: SparkSession, d: str) -> DataFrame:
     return gates.check_metrics(checks, _accuracies(spark, d, "train")).select("metric", F.round(F.coalesce("value", F.lit(-1.0)), 9).alias("value"), "ok")
 
 
-@query("bpe_pieces")
+_LETTERS, _BLANK = r"\p{L}\p{M}\p{Nl}", r"\s\x0b\x1c-\x1f\x85\p{Z}"
+
+
+@query("bpe_pieces", f"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, ' ?[{_LETTERS}]+| ?\\p{{Nd}}| ?[^{_LETTERS}\\p{{Nd}}{_BLANK}]+|[{_BLANK}]+')) AS piece FROM {CHUNKS}) GROUP BY piece")
 def bpe_pieces(spark: SparkSession, d: str) -> DataFrame:
     """How often each pre-token occurs in the chunks."""
     return bpe.piece_counts(chunks_of(spark, d, "text"))
 
 
-@query("content_hash")
+_PARTS = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS HUGEINT)) AS VARCHAR)" for i in range(4))
+
+
+@query("content_hash", f"SELECT sha256(count(*) || ':' || {_PARTS}) AS content_hash FROM (SELECT sha256(example_id || chr(31) || coalesce(target_text, chr(0))) AS h FROM {EXAMPLES})")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return chat.content_hash(first_deliveries(table(spark, d, "chat_examples").select("example_id", "target_text"), "example_id"), "example_id", columns=["target_text"])
