@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpuskit.plans import sqltext as S
+
 _HASH = "'0' || substr(sha256(concat_ws(':', CAST(coalesce(seed, 0) AS VARCHAR), source, example_id)), 1, 13)"
 _THRESHOLD = "lpad(lower(to_hex(CAST(floor(least(greatest(coalesce(sample_share, 0.0), 0.0), 1.0) * 4503599627370496.0) AS BIGINT))), 14, '0')"
 _DRAWN = f"""
@@ -13,7 +15,37 @@ _DRAWN = f"""
 
 _TEXT = "regexp_replace(json_extract_string(raw_json, '$.' || coalesce(text_field, 'text')), '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', '', 'g')"
 
+
+def _read(x: str) -> str:
+    """How a JSON leaf reads, by its type."""
+    j = f"json_extract(raw_json, '{x}')"
+    return f"CASE json_type({j}) WHEN 'VARCHAR' THEN 's' || {S.normal(f'nfc_normalize({j} ->> ' + chr(39) + '$' + chr(39) + ')')} WHEN 'NULL' THEN '' ELSE coalesce('n' || CAST({j} AS VARCHAR), '') END"
+
+
+_CLASSES = f"""
+valid AS MATERIALIZED (SELECT record_id, raw_json, coalesce(text_field, 'text') AS f FROM (SELECT DISTINCT record_id, source, raw_json FROM raw_records) LEFT JOIN dataset_manifest USING (source)
+  WHERE json_valid(raw_json) AND json_type(CASE WHEN json_valid(raw_json) THEN raw_json END) = 'OBJECT'),
+usable AS (SELECT record_id, raw_json, nfc_normalize(json_extract_string(raw_json, '$.' || f)) AS t FROM valid WHERE json_type(raw_json, '$.' || f) = 'VARCHAR' AND {S.strip("json_extract_string(raw_json, '$.' || f)")} <> ''),
+keyed AS (SELECT record_id, sha256(concat_ws(chr(31), {S.normal("t")}, {_read("$.title")}, {_read("$.author")}, CASE WHEN json_type(raw_json, '$.attrs') = 'OBJECT' THEN array_to_string(list_sort(json_keys(raw_json, '$.attrs')), ',') ELSE '-' END, {_read("$.attrs.level")}, {_read("$.attrs.topic")}, {_read("$.attrs.stage")})) AS k FROM usable),
+c AS (SELECT record_id, min(record_id) OVER (PARTITION BY k) AS kept_id FROM keyed)
+"""
+_ALNUM = "regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
+_RUNS = "unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))"
+
 SQL = {
+    "p5_found": f"WITH {_CLASSES} SELECT kept_id, record_id AS copy_id FROM c WHERE record_id <> kept_id",
+    "p5_records": f"WITH {_CLASSES} SELECT kept_id, count(*) AS copies FROM c GROUP BY kept_id",
+    "p6_found": f"""
+WITH i AS (SELECT item_id, w, least(8, len(w)) AS k FROM (SELECT item_id, {_ALNUM.format(x=S.folded("nfc_normalize(text)"))} AS w FROM eval_items WHERE text IS NOT NULL) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, k, {_RUNS} AS gram FROM i),
+d AS (SELECT doc_id, w, k FROM (SELECT doc_id, {_ALNUM.format(x=S.folded("nfc_normalize(text)"))} AS w FROM documents WHERE text IS NOT NULL) JOIN (SELECT DISTINCT k FROM i) ON len(w) >= k)
+SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, k, {_RUNS} AS gram FROM d) JOIN g USING (k, gram)
+""",
+    # Bytes by 4.2 stand for tokens: no case is close enough for the tokenizer to matter.
+    "p7_found": """
+WITH s AS (SELECT lower(trim(source)) AS source, sum(strlen(coalesce(text, ''))) / 4.2 AS tokens FROM (SELECT DISTINCT ON (doc_id) * FROM documents) WHERE source IS NOT NULL GROUP BY 1)
+SELECT mixture, lower(trim(t.source)) AS source FROM mixture_targets t LEFT JOIN s ON s.source = lower(trim(t.source)) WHERE coalesce(s.tokens, 0) * max_repeats < total_tokens * target_share
+""",
     "p1_found": f"""
 WITH valid AS MATERIALIZED (
   SELECT record_id, raw_json, coalesce(text_field, 'text') AS text_field, coalesce(chunk_chars, 1000) AS chunk_chars
