@@ -77,6 +77,17 @@ def ngrams(plain: Column, n: int) -> Column:
     return F.array_distinct(grams(words(plain), n))
 
 
+def gram_hashes(items: Column, n: int) -> Column:
+    """128-bit hashes (a, b) of all runs of ``n`` neighbours of an array of strings, none when there are fewer."""
+
+    def runs(w: Column) -> Column:
+        pair = lambda g: F.struct(F.xxhash64(F.lit(0), g).alias("a"), F.xxhash64(F.lit(1), g).alias("b"))
+        all_ = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: pair(F.slice(w, i, n)))
+        return F.when(F.size(w) >= n, all_).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+
+    return let(items, runs)
+
+
 def plain_words(text: Column) -> Column:
     """Runs of a-z and 0-9 in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))

@@ -17,14 +17,17 @@ def eval_ngrams(texts: DataFrame, n: int = 8) -> DataFrame:
     return plain.select(F.explode(T.ngrams(F.col("plain"), n)).alias("gram")).distinct()
 
 
-def contaminated(texts: DataFrame, grams: DataFrame, n: int = 8, id_col: str = "id") -> DataFrame:
+def contaminated(texts: DataFrame, grams: DataFrame, n: int = 8, id_col: str = "id", plain: str | None = None) -> DataFrame:
     """The distinct ids of ``texts`` (``id_col``, text) that have an n-gram among ``grams``.
 
-    Grams are exploded as texts and matched by a semi-join; the evaluation side is broadcast by Spark when it is small.
+    Grams are compared by 128-bit hashes, so that no text is exploded or shuffled; the evaluation side is broadcast by
+    Spark while it is small, and beyond that both sides are shuffled as pairs of numbers. ``plain`` names a column that
+    holds the normalised text already.
     """
-    plain = texts.select(id_col, T.normalize_text(F.col("text")).alias("plain"))
-    own = plain.select(id_col, F.explode(T.ngrams(F.col("plain"), n)).alias("gram"))
-    return own.join(grams, "gram", "left_semi").select(id_col).distinct()
+    own = texts.select(id_col, F.col(plain).alias("plain") if plain else T.normalize_text(F.col("text")).alias("plain"))
+    own = own.select(id_col, F.explode(T.gram_hashes(T.words(F.col("plain")), n)).alias("g")).select(id_col, "g.a", "g.b")
+    asked = grams.select(F.explode(T.gram_hashes(F.split("gram", " "), n)).alias("g")).select("g.a", "g.b")
+    return own.join(asked, ["a", "b"], "left_semi").select(id_col).distinct()
 
 
 def prompt_and_full(messages: Column, target: Column | None = None, text: Column | None = None) -> tuple[Column, Column]:

@@ -4,7 +4,7 @@ Near-duplicate removal is greedy in order: an item goes iff some kept earlier it
 Candidates share a bucket (an LSH band, or a shingle of the prefix filter). In each round the first items of every bucket
 are compared with their later mates; those that lead all their buckets are decided, and what is similar to a kept one goes.
 The first round has one leader a bucket, so the pairs of a bucket of copies grow with its size, not with its square; later
-rounds double the leaders for what is left. No threshold drops a case.
+rounds have sixteen times as many for what is left. No threshold drops a case.
 """
 
 from __future__ import annotations
@@ -140,8 +140,8 @@ def ordered_greedy(items: DataFrame, buckets: DataFrame, similar: Callable[[Data
 
     ``items``: id, payload columns. ``buckets``: id, bucket. ``similar`` gets pairs (leader, id, with the payloads of the
     leader under l_ and of the item under i_) and keeps the similar ones. A bucket has one leader in the first round, which
-    takes most copies away, and twice as many in each further one, so that rounds grow with the logarithm of the largest
-    bucket of unlike items (up to ``most_leaders`` in a round).
+    takes most copies away, and sixteen times as many in each further one, up to ``most_leaders``, so that few rounds are
+    needed unless a bucket holds more unlike items than that.
     """
     payload = [c for c in items.columns if c != "id"]
     items = space.write(items, "items")
@@ -152,7 +152,7 @@ def ordered_greedy(items: DataFrame, buckets: DataFrame, similar: Callable[[Data
         several = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
         shared = space.write(left.join(several, "bucket", "left_semi"), f"shared-{turn}")
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        heads = space.write(shared.withColumn("_rn", place).filter(F.col("_rn") <= min(2**turn, most_leaders)).select("bucket", "id"), f"heads-{turn}")
+        heads = shared.withColumn("_rn", place).filter(F.col("_rn") <= min(16**turn, most_leaders)).select("bucket", "id")
         # An item that leads all its buckets meets all its earlier mates in this round: it can be decided.
         count = F.count(F.lit(1)).alias("c")
         ready = space.write(heads.groupBy("id").agg(count).join(shared.groupBy("id").agg(count), ["id", "c"]).select("id"), f"ready-{turn}")
@@ -166,7 +166,7 @@ def ordered_greedy(items: DataFrame, buckets: DataFrame, similar: Callable[[Data
             rest = shared.join(kept.unionByName(hits.select("id")), "id", "left_anti")
             gone = hits if gone is None else gone.unionByName(hits)
         left, n = _counted(rest, space, f"open-{turn + 1}")
-        for step in ("open", "shared", "heads"):
+        for step in ("open", "shared"):
             space.drop(f"{step}-{turn}")
         turn += 1
         if not n:

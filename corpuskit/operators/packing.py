@@ -3,7 +3,7 @@
 Packing is next-fit in order: a row takes examples until the next one doesn't fit. That is a scan whose state is the
 number of tokens used in the open row, so it is done in two passes: every block of consecutive examples tabulates, for each
 possible state at its start, the state at its end and the rows it opens; the tables are chained block by block; then each
-block numbers its examples. Only the tables (max_len + 1 numbers a block) pass through one task, as a stream.
+block numbers its examples. Only the tables (three times max_len + 2 numbers a block) pass through one task, as a stream.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from corpuskit.session import Workspace
 
@@ -39,19 +39,20 @@ def next_fit(lengths: np.ndarray, max_len: int, used: int) -> tuple[np.ndarray,
     return np.cumsum(opened), state
 
 
-def transitions(lengths: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every state 0 .. max_len + 1 at the start: the state at the end, and the rows opened."""
+def transitions(lengths: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every state 0 .. max_len + 1 at the start: the state at the end, the rows opened, and how many examples the row
+    has that is open at the end (of this block alone)."""
     n, ends = len(lengths), np.cumsum(lengths)
     before = np.concatenate([[0], ends[:-1]]) if n else np.zeros(0, np.int64)
     stop = np.searchsorted(ends, before + max_len, "right")
-    last, rows = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    last, rows, held = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
     for i in range(n - 1, -1, -1):  # a row that begins at i
         rows[i] = 1 + rows[stop[i]]
-        last[i] = ends[n - 1] - before[i] if stop[i] == n else last[stop[i]]
+        last[i], held[i] = (ends[n - 1] - before[i], n - i) if stop[i] == n else (last[stop[i]], held[stop[i]])
     states = np.arange(max_len + 2)
     first = np.where(states <= max_len, np.searchsorted(ends, max_len - states, "right"), 0)
-    whole = first == n
-    return np.where(whole, states + (ends[-1] if n else 0), last[np.minimum(first, n)]), rows[first]
+    whole, at = first == n, np.minimum(first, n)
+    return np.where(whole, states + (ends[-1] if n else 0), last[at]), rows[first], np.where(whole, n, held[at])
 
 
 def pack_rows(df: DataFrame, max_len: int, length: str, *order: str) -> DataFrame:
@@ -64,55 +65,60 @@ def pack_rows(df: DataFrame, max_len: int, length: str, *order: str) -> DataFram
     checked = df.withColumn("_len", F.when(bad, F.raise_error(F.lit(f"a length lies outside 1 .. {max_len}")).cast("int")).otherwise(F.col(length).cast("int")))
     # One global sort by range; a written partition is a block of consecutive examples.
     blocks = space.write(checked.orderBy(*order).withColumn("_block", F.spark_partition_id()), "blocks")
-    inside = blocks.repartition("_block").sortWithinPartitions("_block", *order)
+    arrays = ("end", "rows", "held")
 
     def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, lengths in _runs(batches, ["_len"]):
-            end, rows = transitions(np.array(lengths["_len"], np.int64), max_len)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([end.tolist()], pa.list_(pa.int64())), pa.array([rows.tolist()], pa.list_(pa.int64()))], names=["_block", "end", "rows"])
+        for part in _runs(batches):
+            tables = transitions(part["_len"].to_numpy().astype(np.int64), max_len)
+            yield pa.RecordBatch.from_arrays([part["_block"].chunk(0)[:1], *(pa.array([t.tolist()], pa.list_(pa.int64())) for t in tables)], names=["_block", *arrays])
 
-    tables = inside.select("_block", "_len").mapInArrow(tabulate, "_block int, end array<bigint>, rows array<bigint>")
+    lengths = blocks.select("_block", "_len", *order).repartition("_block").sortWithinPartitions("_block", *order).select("_block", "_len")
+    tables = lengths.mapInArrow(tabulate, "_block int, end array<bigint>, rows array<bigint>, held array<bigint>")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, row = max_len + 1, 0
+        state, row, segment = max_len + 1, 0, 0
         for batch in batches:
             out = []
-            for block, end, rows in zip(*(batch[c].to_pylist() for c in ("_block", "end", "rows")), strict=True):
-                out.append((block, state, row))
-                state, row = end[state], row + rows[state]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int64())], names=["_block", "_state", "_row"])
+            for at, block in enumerate(batch["_block"].to_pylist()):
+                out.append((block, state, row, segment))
+                end, rows, held = (batch[c][at][state].as_py() for c in arrays)
+                state, row, segment = end, row + rows, held if rows else segment + held
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["_block", "_state", "_row", "_segment"])
 
     # One row per block, hence per partition of the sort: the side that is broadcast below.
-    starts = tables.repartition(1).sortWithinPartitions("_block").mapInArrow(chain, "_block int, _state int, _row bigint")
-    keys = [c for c in order]
-    entered = inside.select("_block", "_len", *keys).join(F.broadcast(starts), "_block").repartition("_block").sortWithinPartitions("_block", *order)
-    schema = StructType([*entered.select(*keys).schema.fields, StructField("row_no", LongType())])
+    starts = tables.repartition(1).sortWithinPartitions("_block").mapInArrow(chain, "_block int, _state int, _row bigint, _segment bigint")
+    entered = blocks.join(F.broadcast(starts), "_block").repartition("_block").sortWithinPartitions("_block", *order)
+    schema = StructType([*df.schema.fields, StructField("row_no", LongType()), StructField("segment_no", IntegerType())])
     kinds = to_arrow_schema(schema)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cols in _runs(batches, ["_len", "_state", "_row", *keys]):
-            opened, _ = next_fit(np.array(cols["_len"], np.int64), max_len, cols["_state"][0])
-            yield pa.RecordBatch.from_arrays([*(pa.array(cols[k], kinds.field(k).type) for k in keys), pa.array(cols["_row"][0] + opened - 1)], schema=kinds)
+        for part in _runs(batches):
+            state, row, segment = (part[c][0].as_py() for c in ("_state", "_row", "_segment"))
+            opened, _ = next_fit(part["_len"].to_numpy().astype(np.int64), max_len, state)
+            # The place in a row: the distance to its first example, or beyond the examples it had before the block.
+            begin = np.searchsorted(opened, opened, "left")
+            place = np.arange(len(opened)) - begin + 1 + np.where(opened == 0, segment, 0)
+            done = pa.Table.from_arrays([*(part[f.name].cast(f.type) for f in list(kinds)[:-2]), pa.array(row + opened - 1), pa.array(place, pa.int32())], schema=kinds)
+            yield from done.to_batches(max_chunksize=10_000)
 
-    numbered = entered.select("_block", "_len", "_state", "_row", *keys).mapInArrow(number, schema)
-    numbered = numbered.withColumn("segment_no", F.row_number().over(Window.partitionBy("row_no").orderBy(*order)))
-    return blocks.drop("_block", "_len").join(numbered, keys)
+    return entered.select(*df.columns, "_block", "_len", "_state", "_row", "_segment").mapInArrow(number, schema)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, dict[str, list]]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each block of a partition sorted by block."""
-    block, held = None, {n: [] for n in names}
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        cols = {n: batch[n].to_pylist() for n in names}
-        for i, b in enumerate(batch["_block"].to_pylist()):
-            if block is not None and b != block:
-                yield block, held
-                held = {n: [] for n in names}
-            block = b
-            for n in names:
-                held[n].append(cols[n][i])
-    if block is not None:
-        yield block, held
+        blocks = batch["_block"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                if held and held[-1]["_block"][0] != batch["_block"][a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def padded(ids: Column, width: int | Column, value: int) -> Column:

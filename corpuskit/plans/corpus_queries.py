@@ -8,7 +8,7 @@ from corpuskit.functions import text as T
 from corpuskit.operators import chunking, contamination, dedup, mixture, pipeline, sampling
 from corpuskit.plans import sqltext as S
 from corpuskit.plans.catalogue import query
-from corpuskit.session import table
+from corpuskit.session import Workspace, table
 from corpuskit.sources import shards
 
 
@@ -43,15 +43,18 @@ SELECT split, count(*) AS records, CAST(sum(length(text)) AS BIGINT) AS chars, C
 """,
 )
 def corpus_flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Exact dedup, decontamination, group split, counts."""
-    rows = chunks_of(spark, d, "text", *_GROUP).withColumn("plain", T.normalize_text(F.col("text"))).withColumn("key", F.sha2("plain", 256))
-    firsts = dedup.first_ids(rows, F.col("key"), "chunk_no")
-    kept = rows.join(firsts.select("chunk_no"), "chunk_no", "left_semi")
+    """Exact dedup, decontamination, group split, counts. Texts are normalised once and written in that form."""
+    space = Workspace(spark, "flagship")
+    rows = chunks_of(spark, d, "text", *_GROUP)
+    rows = rows.select("chunk_no", F.concat_ws("|", *_GROUP).alias("group_key"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), T.normalize_text(F.col("text")).alias("plain"))
+    rows = space.write(rows.withColumn("key", F.sha2("plain", 256)), "plain")
+    firsts = dedup.first_ids(rows, F.col("key"), "chunk_no").select("chunk_no")
+    kept = space.write(rows.drop("key").join(firsts, "chunk_no", "left_semi"), "kept")
     grams = contamination.eval_ngrams(table(spark, d, "eval_items"), 8)
-    dirty = contamination.contaminated(kept.select(F.col("chunk_no").alias("id"), "text"), grams, 8)
-    clean = kept.join(dirty.withColumnRenamed("id", "chunk_no"), "chunk_no", "left_anti").withColumn("group_key", F.concat_ws("|", *_GROUP))
+    dirty = contamination.contaminated(kept, grams, 8, "chunk_no", "plain")
+    clean = kept.drop("plain").join(dirty, "chunk_no", "left_anti")
     splits = sampling.split_groups(clean, 0.02, 0.02, 0)
-    return pipeline.split_counts(clean.join(splits, "group_key"))
+    return clean.join(splits, "group_key").groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.sum("chars").cast("bigint").alias("chars"), F.sum("bytes").cast("bigint").alias("bytes"))
 
 
 @query("normalize_text", f"SELECT chunk_no, {S.normal('text')} AS plain FROM {CHUNKS}")
