@@ -63,7 +63,9 @@ def pack_rows(df: DataFrame, max_len: int, length: str, *order: str) -> DataFram
     space = Workspace(df.sparkSession, "packing")
     bad = F.coalesce((F.col(length) > max_len) | (F.col(length) < 1), F.lit(True))
     checked = df.withColumn("_len", F.when(bad, F.raise_error(F.lit(f"a length lies outside 1 .. {max_len}")).cast("int")).otherwise(F.col(length).cast("int")))
-    # One global sort by range; a written partition is a block of consecutive examples.
+    # One global sort by range; a written partition is a block of consecutive examples. The rows are written before it, or
+    # what they come from would be computed for the sample of the ranges as well.
+    checked = space.write(checked, "rows")
     blocks = space.write(checked.orderBy(*order).withColumn("_block", F.spark_partition_id()), "blocks")
     arrays = ("end", "rows", "held")
 

@@ -9,17 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuskit.functions import text as T, types as Y
-from corpuskit.functions.vectors import cosine
+from corpuskit.session import Workspace
 
 
-def term_stats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """tf (doc, term, tf, len), df (term, df) and the corpus row (n, avg_len) of ``docs`` (doc, text)."""
+def term_stats(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, float, float]:
+    """tf (doc, term, tf, len) of the terms ``asked`` (term), the number of ``docs`` (doc, text) and their mean length.
+
+    Other terms are dropped where documents are read, before anything is shuffled; Spark broadcasts the asked ones while
+    they are few. Lengths count after stop words, over all documents; a mean of 0 counts as 1.
+    """
     terms = docs.select("doc", T.ranking_terms(F.coalesce("text", F.lit(""))).alias("t"))
-    tf = terms.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # Lengths count after stop words, over all documents; an average of 0 counts as 1.
-    corpus = terms.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nullif(F.avg(F.size("t")), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
-    return tf, df, corpus
+    each = terms.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = Workspace(docs.sparkSession, "ranking").write(each.groupBy("doc", "term", "len").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    n, mean = terms.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
+    return tf, float(n), float(mean or 1.0)
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -28,11 +31,11 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float =
     ``queries`` (query, text) is a stated query set: each of its terms meets the documents that have it. Pairs without a
     common term score exactly 0 and are not listed.
     """
-    tf, df, corpus = term_stats(docs)
     asked = queries.select("query", F.explode(T.ranking_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
     # Two numbers of the whole corpus enter as constants, so that no join without a key is needed.
-    n, avg_len = corpus.first()
-    weighted = asked.join(df, "term").withColumn("w", F.col("times") * F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    tf, n, avg_len = term_stats(docs, asked)
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = asked.join(df, "term").withColumn("w", F.col("times") * F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len)))
     return weighted.join(tf, "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
@@ -106,10 +109,10 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int =
             q = q / np.where(norms == 0, 1, norms)[:, None]
             best_s, best_i = np.full((len(names), 0), 0.0), np.full((len(names), 0), 0, np.int64)
             for batch in batches:
-                ids = np.array(batch["vec_id"].to_pylist(), np.int64)
-                v = np.array(batch["v"].to_pylist(), np.float64)
-                if not len(ids):
+                if not batch.num_rows:
                     continue
+                ids, lists = batch["vec_id"].to_numpy(), batch["v"]
+                v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 n = np.sqrt((v * v).sum(axis=1))
                 s = np.round(q @ (v / np.where(n == 0, 1, n)[:, None]).T, digits)
                 s[np.array(names)[:, None] == ids[None, :]] = -2
@@ -139,5 +142,3 @@ def _query_blocks(queries: DataFrame, size: int = 2_000):
     if block:
         yield block
 
-
-similarity = cosine
