@@ -82,7 +82,7 @@ def gram_hashes(items: Column, n: int) -> Column:
 
     def runs(w: Column) -> Column:
         pair = lambda g: F.struct(F.xxhash64(F.lit(0), g).alias("a"), F.xxhash64(F.lit(1), g).alias("b"))
-        all_ = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: pair(F.slice(w, i, n)))
+        all_ = F.transform(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.slice(w, i, n)), pair)
         return F.when(F.size(w) >= n, all_).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
 
     return let(items, runs)

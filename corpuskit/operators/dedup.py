@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, LongType
 from corpuskit.functions import text as T
 from corpuskit.session import Workspace
 
+SMALL_BYTES = 64 << 20  #: tables below this size are shuffled whole where that is simplest
 PRIME = 4_294_967_291  #: the largest prime below 2 ** 32
 
 
@@ -39,17 +40,20 @@ def first_deliveries(df: DataFrame, key: str, *order: str, space: Workspace | No
 
     Keys alone are shuffled to find those that repeat; rows of other keys stay where they are read. Repeated keys are
     written to the shared folder, so that Spark knows their size and broadcasts them only while they are small; the rows
-    of these keys are the only ones that are shuffled whole.
+    of these keys are the only ones that are shuffled whole. Tables below SMALL_BYTES (by Spark's estimate) are shuffled
+    whole at once, which spares them a job and spreads a file of one row group over all cores; the rows are the same.
     """
+    # Maps and variants have no order; they don't occur among the columns that deliveries are told apart by.
+    rest = [F.xxhash64(c) if "map<" in t or t == "variant" else F.col(c) for c, t in df.dtypes if c not in (key, *order)]
+    w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order], *rest)
+    first = lambda rows: rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES:
+        return first(df)
     space = space or Workspace(df.sparkSession, "deliveries")
     again = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
     again = space.write(again, "repeated")
     same = F.col(key).eqNullSafe(F.col("_key"))
-    single, several = df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
-    # Maps and variants have no order; they don't occur among the columns that deliveries are told apart by.
-    rest = [F.xxhash64(c) if "map<" in t or t == "variant" else F.col(c) for c, t in df.dtypes if c not in (key, *order)]
-    w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order], *rest)
-    return single.unionByName(several.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn"))
+    return df.join(again, same, "left_anti").unionByName(first(df.join(again, same, "left_semi")))
 
 
 def paragraph_dedup(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id") -> DataFrame:

@@ -127,6 +127,16 @@ def test_dedup_modes_and_report(spark):
         dedup.dedup_texts(df, "near", num_perm=10, n_bands=3)
 
 
+@pytest.mark.parametrize("small", [0, 1 << 40])
+def test_first_deliveries(spark, monkeypatch, small):
+    monkeypatch.setattr(dedup, "SMALL_BYTES", small)
+    rows = [(1, 5, "b"), (1, 3, "c"), (1, 3, "a"), (2, None, "z"), (2, 9, "y"), (3, 1, "x"), (3, 1, "x"), (None, 2, "n"), (None, 1, "m"), (4, None, None)]
+    df = spark.createDataFrame(rows, "k int, at int, text string")
+    got = sorted(map(tuple, dedup.first_deliveries(df, "k", "at").collect()), key=str)
+    assert got == sorted([(1, 3, "a"), (2, 9, "y"), (3, 1, "x"), (None, 1, "m"), (4, None, None)], key=str)
+    assert dedup.first_deliveries(df.limit(0), "k", "at").count() == 0
+
+
 def test_paragraph_dedup(spark):
     long = "This is the footer that every single page carries at its end."
     docs = spark.createDataFrame([(1, ["a", long]), (2, [long]), (3, ["a", long.upper(), "b"])], "doc_id int, paragraphs array<string>")
