@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuskit.functions import text as T
+from corpuskit.session import spread
 
 
 class ContaminationError(RuntimeError):
@@ -24,7 +25,7 @@ def contaminated(texts: DataFrame, grams: DataFrame, n: int = 8, id_col: str = "
     Spark while it is small, and beyond that both sides are shuffled as pairs of numbers. ``plain`` names a column that
     holds the normalised text already.
     """
-    own = texts.select(id_col, F.col(plain).alias("plain") if plain else T.normalize_text(F.col("text")).alias("plain"))
+    own = spread(texts.select(id_col, plain or "text")).select(id_col, F.col(plain).alias("plain") if plain else T.normalize_text(F.col("text")).alias("plain"))
     own = own.select(id_col, F.explode(T.gram_hashes(T.words(F.col("plain")), n)).alias("g")).select(id_col, "g.a", "g.b")
     asked = grams.select(F.explode(T.gram_hashes(F.split("gram", " "), n)).alias("g")).select("g.a", "g.b")
     return own.join(asked, ["a", "b"], "left_semi").select(id_col).distinct()

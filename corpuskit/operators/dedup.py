@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from corpuskit import session
 from corpuskit.functions import text as T
-from corpuskit.session import Workspace
+from corpuskit.session import Workspace, spread
 
-SMALL_BYTES = 64 << 20  #: tables below this size are shuffled whole where that is simplest
 PRIME = 4_294_967_291  #: the largest prime below 2 ** 32
 
 
@@ -40,14 +40,14 @@ def first_deliveries(df: DataFrame, key: str, *order: str, space: Workspace | No
 
     Keys alone are shuffled to find those that repeat; rows of other keys stay where they are read. Repeated keys are
     written to the shared folder, so that Spark knows their size and broadcasts them only while they are small; the rows
-    of these keys are the only ones that are shuffled whole. Tables below SMALL_BYTES (by Spark's estimate) are shuffled
+    of these keys are the only ones that are shuffled whole. Tables below session.SMALL_BYTES (by Spark's estimate) are shuffled
     whole at once, which spares them a job and spreads a file of one row group over all cores; the rows are the same.
     """
     # Maps and variants have no order; they don't occur among the columns that deliveries are told apart by.
     rest = [F.xxhash64(c) if "map<" in t or t == "variant" else F.col(c) for c, t in df.dtypes if c not in (key, *order)]
     w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order], *rest)
     first = lambda rows: rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES:
+    if session.is_small(df):
         return first(df)
     space = space or Workspace(df.sparkSession, "deliveries")
     again = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
@@ -62,6 +62,7 @@ def paragraph_dedup(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id"
     A paragraph of at least ``min_chars`` characters stays where it stands first in the order of (id, place); shorter
     ones always stay. Documents that lose all paragraphs keep an empty list.
     """
+    docs = spread(docs)
     rows = docs.select(id_col, F.posexplode("paragraphs").alias("place", "paragraph"))
     rows = rows.withColumn("key", F.when(F.length("paragraph") >= min_chars, T.content_key(F.col("paragraph"))))
     # The first place per paragraph is an aggregate of two numbers; texts are not shuffled by key.
@@ -187,7 +188,7 @@ def dedup_texts(texts: DataFrame, mode: str = "near", threshold: float = 0.8, nu
     """
     if mode not in ("near", "exact", "none") or num_perm % n_bands:
         raise ValueError("mode must be near, exact or none, and the bands must divide the permutations")
-    rows = texts.select("id", "text")
+    rows = spread(texts.select("id", "text"))
     if mode == "none":
         return rows.select("id", F.lit("kept").alias("decision"), F.lit(None).cast(rows.schema["id"].dataType).alias("duplicate_of"))
     space = Workspace(texts.sparkSession, "dedup")
@@ -213,7 +214,7 @@ def dedup_examples(texts: DataFrame, threshold: float = 0.9, size: int = 3) -> D
     similarity t share one among the first n - ceil(t n) + 1 of both. Texts without words equal each other.
     """
     space = Workspace(texts.sparkSession, "dedup")
-    keyed = space.write(texts.select("id", T.plain_text(F.coalesce("text", F.lit(""))).alias("plain")).withColumn("key", F.sha2("plain", 256)), "plain")
+    keyed = space.write(spread(texts.select("id", "text")).select("id", T.plain_text(F.coalesce("text", F.lit(""))).alias("plain")).withColumn("key", F.sha2("plain", 256)), "plain")
     firsts = first_ids(keyed, F.col("key"), "id").withColumnRenamed("id", "first")
     members = space.write(keyed.select("id", "key").join(firsts, "key").select("id", "first"), "members")
     heads = keyed.join(members.filter("id = first").select("id"), "id", "left_semi").select("id", T.shingles(F.col("plain"), size).alias("set"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuskit.functions import text as T, types as Y
-from corpuskit.session import Workspace
+from corpuskit.session import Workspace, spread
 
 
 def term_stats(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, float, float]:
@@ -18,7 +18,7 @@ def term_stats(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, float, flo
     Other terms are dropped where documents are read, before anything is shuffled; Spark broadcasts the asked ones while
     they are few. Lengths count after stop words, over all documents; a mean of 0 counts as 1.
     """
-    terms = docs.select("doc", T.ranking_terms(F.coalesce("text", F.lit(""))).alias("t"))
+    terms = spread(docs.select("doc", "text")).select("doc", T.ranking_terms(F.coalesce("text", F.lit(""))).alias("t"))
     each = terms.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = Workspace(docs.sparkSession, "ranking").write(each.groupBy("doc", "term", "len").agg(F.count(F.lit(1)).alias("tf")), "tf")
     n, mean = terms.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()

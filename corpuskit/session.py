@@ -49,6 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIRS[app]
 
 
+SMALL_BYTES = 64 << 20  #: tables below this size are spread over the cores, or shuffled whole, where that is simplest
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark expects less than SMALL_BYTES of ``df``; nothing is read for it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows; a small table, which may be a single file of one row group, over all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+
+
 class Workspace:
     """Tables written below the shared folder: they cut lineage and outlive the loss of any executor."""
 

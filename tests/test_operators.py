@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.functions.pytext import reading_text
+from corpuskit import session
 from corpuskit.operators import bpe, chat, chunking, contamination, curriculum, dedup, evaluation, gates, memory, metrics, mixture, packing, pipeline, retrieval, sampling
 from corpuskit.sources import shards
 
@@ -129,7 +130,7 @@ def test_dedup_modes_and_report(spark):
 
 @pytest.mark.parametrize("small", [0, 1 << 40])
 def test_first_deliveries(spark, monkeypatch, small):
-    monkeypatch.setattr(dedup, "SMALL_BYTES", small)
+    monkeypatch.setattr(session, "SMALL_BYTES", small)
     rows = [(1, 5, "b"), (1, 3, "c"), (1, 3, "a"), (2, None, "z"), (2, 9, "y"), (3, 1, "x"), (3, 1, "x"), (None, 2, "n"), (None, 1, "m"), (4, None, None)]
     df = spark.createDataFrame(rows, "k int, at int, text string")
     got = sorted(map(tuple, dedup.first_deliveries(df, "k", "at").collect()), key=str)
