@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuskit.functions import text as T
-from corpuskit.operators import bpe, chat, contamination, curriculum, evaluation, gates, pipeline, sampling
+from corpuskit.functions import text as T, tools
+from corpuskit.operators import bpe, chat, contamination, curriculum, evaluation, gates, pipeline, reports, sampling
 from corpuskit.sources import shards
 
 
@@ -126,6 +126,31 @@ def build_curriculum(spark: SparkSession, sources: dict[str, float], n: int, see
     return curriculum.verified(curriculum.build_stage(spark, sources, n, seed))
 
 
+def build_curriculum_v2(spark: SparkSession, stage: str | Mapping[str, object], out: str, seed: int = 0, scale: float = 1.0) -> dict[str, object]:
+    """Build a stage of groups (by name, or its mixture) and write it; what is known of it."""
+    spec = reports.stage_config(stage)["mixture"] if isinstance(stage, str) else stage
+    return curriculum.write_curriculum(*curriculum.build_curriculum(spark, spec, seed, scale), out)
+
+
+def curriculum_v2_info(stage: str) -> dict[str, object]:
+    """The mixture, budget and generators of a stage."""
+    spec = reports.stage_config(stage)["mixture"]
+    mixture = curriculum.stage_mixture(spec)
+    return {"stage": stage, "mixture": mixture, "target_tokens": spec["target_tokens"], "replay_fraction": spec["replay_fraction"], "generators": {g: sorted(curriculum.GROUPS[g]) for g in mixture}}
+
+
+def score_generations(rows: DataFrame) -> dict[str, DataFrame]:
+    """Roll-ups of generated answers: id, category, scorer, paraphrase, text, expected, needles, tools, tool, arguments,
+    expr_value, tokens, finish (what a scorer doesn't need may be null)."""
+    wants = F.col("scorer").isin(*evaluation.TOOL_SCORERS)
+    call = tools.call_score(tools.CALL(F.when(wants, F.col("text"))), F.col("tools"), F.col("tool"), F.col("arguments"), F.col("expr_value"))
+    graded = rows.withColumn("_call", F.when(wants, call))
+    plain = tools.score_text(F.col("scorer"), F.col("text"), F.col("expected"), F.coalesce("needles", F.array("expected")))
+    ok = F.when(F.col("scorer") == "tool_name", F.col("_call.name_ok")).when(wants, F.col("_call.args_ok")).otherwise(F.coalesce(plain, F.lit(False)))
+    graded = graded.withColumns({"ok": ok, "status": F.col("_call.status"), "name_ok": F.col("_call.name_ok")}).drop("_call")
+    return {"rows": graded, "capabilities": evaluation.capability_accuracy(graded), "tool_behavior": evaluation.tool_behavior(graded), "generation": evaluation.generation_block(graded)}
+
+
 def eval_compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return evaluation.compare(a, b)
 
@@ -134,8 +159,12 @@ def stage_gate(checks: DataFrame, metrics: DataFrame, **summary: object) -> Data
     return gates.evaluate_gate(checks, metrics, summary)
 
 
-def objective_report(checks: DataFrame, metrics: DataFrame, **state: bool) -> DataFrame:
-    return gates.objective_verdict(checks, metrics, **state)
+def objective_report(checks: DataFrame, metrics: DataFrame, comparison: DataFrame | None = None, stage: str | None = None, **state: bool) -> tuple[DataFrame, str | None]:
+    """The verdict (with what the comparison with earlier reports says) and, for a named stage, the report in Markdown."""
+    worse = bool(comparison is not None and reports.regressed(comparison).first().regressed)
+    verdict = gates.objective_verdict(checks, metrics, **{"regressed": worse} | state)
+    text = reports.render_report(f"Stage {stage}", verdict.first().asDict() | {"regressed": worse}, gates.check_metrics(checks, metrics, bound_required=False), comparison) if stage else None
+    return verdict, text
 
 
 def encode(texts: DataFrame, ranks: dict[bytes, int], columns: Sequence[str] = ("text",)) -> DataFrame:

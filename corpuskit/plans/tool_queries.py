@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuskit.functions import jsonfns as J, tools
-from corpuskit.operators import curriculum, gates, memory
+from corpuskit.operators import curriculum, gates, memory, reports
 from corpuskit.operators.dedup import first_deliveries
 from corpuskit.plans import sqltext as S
 from corpuskit.plans.catalogue import query
@@ -203,6 +203,30 @@ def regression_lag(spark: SparkSession, d: str) -> DataFrame:
     return out.select("stage", "step", "metric", *[F.round(c, 6).alias(c) for c in ("current", "previous", "worse")], "ok")
 
 
+_SCOPED = """
+SELECT CASE WHEN event_type IN ('view', 'click') THEN 'own' ELSE 'words' END AS scope, CASE WHEN event_type IN ('view', 'click') THEN 'loss.' ELSE 'generation.' END || event_type AS metric,
+       event_id % 2 = 0 AS late, avg(value) AS value FROM events GROUP BY ALL
+"""
+
+
+@query(
+    "report_comparison",
+    f"""
+WITH m AS ({_SCOPED}), a AS (SELECT scope, metric, CASE WHEN metric LIKE 'loss%' THEN 'up' ELSE 'down' END AS direction, 0.25 AS allowed FROM (SELECT DISTINCT scope, metric FROM m)),
+j AS (SELECT a.*, n.value AS current, p.value AS previous FROM a LEFT JOIN (SELECT * FROM m WHERE late) n USING (scope, metric) LEFT JOIN (SELECT * FROM m WHERE NOT late) p USING (scope, metric))
+SELECT scope, metric, round(CASE direction WHEN 'up' THEN current - previous ELSE previous - current END, 6) AS worse, coalesce(CASE direction WHEN 'up' THEN current - previous ELSE previous - current END <= allowed + 1e-12, true) AS ok FROM j
+""",
+)
+def report_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Mean values per type of event as two reports of a stage, its own ones and those of an earlier stage."""
+    own = F.col("event_type").isin("view", "click")
+    rows = table(spark, d, "events").select(F.when(own, reports.OWN).otherwise("words").alias("scope"), F.concat(F.when(own, "loss.").otherwise("generation."), "event_type").alias("metric"), (F.col("event_id") % 2 == 0).alias("late"), "value")
+    rows = rows.groupBy("scope", "metric", "late").agg(F.avg("value").alias("value"))
+    allowed = rows.select("scope", "metric").distinct().select("scope", "metric", F.when(F.col("metric").startswith("loss"), "up").otherwise("down").alias("direction"), F.lit(0.25).alias("allowed"))
+    got = reports.compare_reports(rows.filter("late"), rows.filter("not late"), allowed, "reasoning", "reasoning")
+    return got.select("scope", "metric", F.round("worse", 6).alias("worse"), "ok")
+
+
 @query("resolve_mode", "SELECT event_id, CASE WHEN user_id % 2 = 0 AND event_id % 3 = 0 THEN 'none' WHEN user_id % 2 = 0 AND event_id % 5 = 0 THEN 'continue' WHEN user_id % 2 = 0 THEN 'resume' WHEN event_id % 3 = 0 THEN 'init-from' ELSE 'none' END AS mode FROM events")
 def resolve_mode(spark: SparkSession, d: str) -> DataFrame:
     """Artifacts of the same stage for even users, complete for every third event, out of budget for every fifth."""
@@ -218,6 +242,17 @@ def curriculum_stage(spark: SparkSession, d: str) -> DataFrame:
     return curriculum.verified(out).select("source", "split", "id", "prompt", "answer", "ok")
 
 
+@query("curriculum_groups")
+def curriculum_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Examples of groups of generators, for training and evaluation, per kind of task."""
+    out = None
+    for group in ("knowledge", "dialogue", "tools", "safety"):
+        for split, n in (("train", 60), ("val", 20)):
+            part = curriculum.generate_group(spark, group, n, split).select(F.lit(group).alias("source"), F.lit(split).alias("split"), "sub")
+            out = part if out is None else out.unionByName(part)
+    return out.groupBy("source", "split", "sub").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("math_curriculum_verified")
 def math_curriculum_verified(spark: SparkSession, d: str) -> DataFrame:
     """Per kind of task, how many generated answers the recomputation confirms."""

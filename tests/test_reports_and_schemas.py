@@ -164,3 +164,38 @@ def test_a_stage_is_built_and_written(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "c/train_math.jsonl")).count() == out["files"]["train_math.jsonl"]["examples"]
     again = curriculum.write_curriculum(*curriculum.build_curriculum(spark, spec), str(tmp_path / "d"))
     assert again["files"] == out["files"]
+
+
+def test_scored_generations(spark):
+    from corpuskit import api
+
+    schema = "id string, category string, scorer string, paraphrase boolean, text string, expected string, needles array<string>, tools array<string>, tool string, arguments string, expr_value bigint, tokens int, finish string"
+    call = lambda n, a: json.dumps({"name": n, "arguments": a})
+    rows_ = [
+        ("1", "tools", "tool_call", False, call("t", {"a": 1, "b": 2}), None, None, ["t"], "t", '{"b": 2, "a": 1}', None, 5, "eos"),
+        ("2", "tools", "tool_call", True, call("calculator", {"expr": "2 * 3"}), None, None, None, "calculator", None, 6, 5, "eos"),
+        ("3", "tools", "tool_name", None, call("u", {}), None, None, ["t", "u"], "t", None, None, 5, "eos"),
+        ("4", "tools", "tool_name", None, call("v", {}), None, None, ["t"], "v", None, None, 5, "eos"),
+        ("5", "tools", "tool_call", None, "I would call t", None, None, ["t"], "t", "{}", None, 5, "length"),
+        ("6", "other", "json", None, '{"x": [1, 2]}', ' {"x":[1,2]}', None, None, None, None, None, 5, "eos"),
+        ("7", "other", "contains", None, "The sun and the moon", None, ["sun", "moon"], None, None, None, None, 5, "eos"),
+    ]
+    got = api.score_generations(spark.createDataFrame(rows_, schema))
+    assert {r.id: r.ok for r in got["rows"].collect()} == {"1": True, "2": True, "3": False, "4": False, "5": False, "6": True, "7": True}
+    b = got["tool_behavior"].first()
+    assert (b.requests_needing_a_tool, b.correct_tool_rate, b.wrong_tool_rate, b.malformed_call_rate, b.no_call_rate) == (5, 0.4, 0.2, 0.2, 0.2) and b.argument_accuracy == pytest.approx(2 / 3)
+    assert got["generation"].first().unterminated_rate == pytest.approx(1 / 7)
+
+
+def test_objective_reports(spark):
+    from corpuskit import api
+
+    checks = rows(spark, [("loss.val_loss", None, 2.0)], "metric string, min double, max double")
+    metrics = rows(spark, [("loss.val_loss", 1.0)], "metric string, value double")
+    verdict, text = api.objective_report(checks, metrics, stage="words")
+    assert verdict.first().met and "- met: yes" in text and "loss.val_loss" in text
+    now, then = rows(spark, [("own", "loss.val_loss", 1.0)], REPORT), rows(spark, [("own", "loss.val_loss", 0.5)], REPORT)
+    comparison = reports.compare_reports(now, then, rows(spark, [("own", "loss.val_loss", "up", 0.1)], ALLOWED), "words", "words")
+    verdict, text = api.objective_report(checks, metrics, comparison, "words")
+    assert not verdict.first().met and "- regressed: yes" in text
+    assert api.objective_report(checks, metrics)[1] is None and api.curriculum_v2_info("reasoning")["mixture"]["math"] > 0
