@@ -66,7 +66,7 @@ def grounding(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "grounded_calls",
-    f"""
+    rf"""
 WITH c AS (SELECT example_id, prompt, json_extract(target_text, '$.arguments') AS args FROM {_PROMPTS} WHERE target_type = 'tool_call' AND json_valid(target_text)),
 f AS (SELECT example_id, prompt, unnest(json_keys(args)) AS field, args FROM c),
 g AS (SELECT example_id, field, list_contains(regexp_extract_all(prompt, '-?\d+(?:\.\d+)?'), json_extract_string(args, '$.' || field)) AS grounded FROM f)
