@@ -26,6 +26,7 @@ from corpuskit.llm.leaks import spread
 
 CATEGORIES = ("sexual", "threat", "hate", "insult", "abusive")
 POSITIVES, NEGATIVES = 4_000, 12_000  #: the most labelled documents of either verdict that training looks at
+SENTENCES = 200  #: the most sentences of one of them that training looks at, evenly spread (scoring reads all)
 CLEAN_WEIGHT = 5.0  #: the most that a clean document of the sample weighs in the fit
 LEAST_POSITIVES = 5  #: abusive documents that the choice of a threshold needs
 
@@ -398,6 +399,7 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, neg
             out = ([], [], [], [])
             for key, toxic, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
                 parts = sentences(text)
+                parts = parts[:: -(-len(parts) // SENTENCES)] if len(parts) > SENTENCES else parts
                 if parts:
                     features, owner = f.of(parts)
                     for column, value in zip(out, (key, toxic, features.view(np.int64), owner), strict=True):
