@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_ROOTS: dict[str, list[str]] = {}  # the folders of an application's workspaces
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -68,6 +69,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def path(self, step: str) -> str:
         return f"{self.root}/{step}"
@@ -83,6 +85,20 @@ class Workspace:
 
     def drop(self, step: str) -> None:
         """Delete a table nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path(step))
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(self.spark, self.path(step))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete every table that this application's workspaces wrote to the shared folder; how many workspaces there were.
+
+    Results that are not written or collected yet read those tables: call it when a job's results are stored.
+    """
+    roots = _ROOTS.pop(spark.sparkContext.applicationId, [])
+    for root in roots:
+        _delete(spark, root)
+    return len(roots)

@@ -132,3 +132,14 @@ def test_prepare_external(spark, tmp_path):
     again = {r.source: r.identity for r in api.prepare_external(spark, str(tmp_path / "m.json"), str(tmp_path / "again"), str(tmp_path)).collect()}
     assert again == {s: r.identity for s, r in rows.items()}
     assert {r.text.split("y")[0] for r in spark.read.json(str(tmp_path / "out/prose.train")).collect()} == {"w0", "w1"}
+
+
+def test_workspaces_are_cleaned_up(spark):
+    from pathlib import Path
+
+    from corpuskit.session import Workspace, clean_up, shared_dir
+
+    kept = Workspace(spark, "mine").write(spark.range(3), "a")
+    assert kept.count() == 3 and any(Path(shared_dir(spark).removeprefix("file://")).glob("mine-*"))
+    assert clean_up(spark) > 0 and clean_up(spark) == 0
+    assert not any(Path(shared_dir(spark).removeprefix("file://")).glob("mine-*"))
