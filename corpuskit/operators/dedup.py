@@ -35,21 +35,22 @@ def first_ids(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.min(id_col).alias(id_col))
 
 
-def first_deliveries(df: DataFrame, key: str, *order: str, space: Workspace | None = None) -> DataFrame:
+def first_deliveries(df: DataFrame, key: str, *order: str, small_whole: bool = True) -> DataFrame:
     """One row for each ``key`` (a null key is one key too): the first in ``order``, nulls last, then the least content.
 
     Keys alone are shuffled to find those that repeat; rows of other keys stay where they are read. Repeated keys are
     written to the shared folder, so that Spark knows their size and broadcasts them only while they are small; the rows
     of these keys are the only ones that are shuffled whole. Tables below session.SMALL_BYTES (by Spark's estimate) are shuffled
-    whole at once, which spares them a job and spreads a file of one row group over all cores; the rows are the same.
+    whole at once (unless ``small_whole`` is off), which spares them a job and spreads a file of one row group over all
+    cores; the rows are the same.
     """
     # Maps and variants have no order; they don't occur among the columns that deliveries are told apart by.
     rest = [F.xxhash64(c) if "map<" in t or t == "variant" else F.col(c) for c, t in df.dtypes if c not in (key, *order)]
     w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order], *rest)
     first = lambda rows: rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    if session.is_small(df):
+    if small_whole and session.is_small(df):
         return first(df)
-    space = space or Workspace(df.sparkSession, "deliveries")
+    space = Workspace(df.sparkSession, "deliveries")
     again = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
     again = space.write(again, "repeated")
     same = F.col(key).eqNullSafe(F.col("_key"))
