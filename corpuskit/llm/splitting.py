@@ -158,7 +158,7 @@ def split_oversized(records: DataFrame, manifest: DataFrame) -> DataFrame:
     rows = with_manifest(records.select("record_id", "source", "raw_json", "fetched_at"), manifest, "text_field", "chunk_chars", "chunk_overlap", "min_chars")
     # A JSON spelling is never shorter than its text: shorter lines can't hold an oversized text and needn't be shuffled.
     rows = rows.filter(F.length("raw_json") > F.col("chunk_chars"))
-    rows = first_deliveries(rows.drop("source"), "record_id", "fetched_at").drop("fetched_at")
+    rows = first_deliveries(rows.drop("source"), "record_id", "fetched_at", small_whole=False).drop("fetched_at")
     return map_rows(rows, _pieces, "record_id bigint, piece_no int, start_char int, end_char int, text string")
 
 
