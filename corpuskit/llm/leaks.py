@@ -93,11 +93,16 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class _Known(dict):
+    """Hashes of words, remembered; emptied between documents when there are very many."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+        return h
+
+
 def _hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    for w in words:
-        if w not in known:
-            known[w] = int.from_bytes(blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "big")
-    return np.array([known[w] for w in words], np.uint64)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 class _Windows:
@@ -120,25 +125,35 @@ class _Windows:
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
-    def known(self, words: np.ndarray, n: int) -> np.ndarray:
-        """The number of ``n``-word runs that some item has, up to each place of a document."""
+    def upto(self, words: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+        """The number of ``n``-word runs that some item has, up to each place of a document; only those that begin at the
+        places ``at`` are looked up."""
         if n not in self.runs:
             self.runs[n] = np.unique(_grams(self.words, n))
-        own, doc = self.runs[n], _grams(words, n)
-        hit = own[np.minimum(np.searchsorted(own, doc), len(own) - 1)] == doc if len(own) else np.zeros(len(doc), bool)
-        return np.concatenate([[0], np.cumsum(hit)])
-
-    def possible(self, starts: np.ndarray, length: int, upto: dict[int, np.ndarray]) -> np.ndarray:
+        own, hit = self.runs[n], np.zeros(len(words) + 1, np.int64)
+        if len(own) and len(at):
+            doc = words[at]
+            for k in range(1, n):
+                more = words[at + k]
+                doc = doc * _PAD + (more ^ (more >> np.uint64(31)))
+            hit[at + 1] = own[np.minimum(np.searchsorted(own, doc), len(own) - 1)] == doc
+        return np.cumsum(hit)
+
+    def possible(self, words: np.ndarray, starts: np.ndarray, length: int, singles: np.ndarray) -> np.ndarray:
         """The windows of ``length`` words that may lie within the allowed edits of an item's; the others need no embedding.
 
-        A word that no item has takes an edit of its own, and an edit spoils two pairs of neighbours at most. What edits
-        leave of the longer window falls into one run more than there are edits, so the longest of them has a known least
-        length. ``upto`` (see ``known``) by length of run.
+        A word that no item has takes an edit of its own (``singles``: the number of words some item has, up to each
+        place), and an edit spoils two pairs of neighbours at most. What edits leave of the longer window falls into one
+        run more than there are edits, so the longest of them has a known least length.
         """
-        least = self.longest_run(length)
-        for n, needed in ((1, length - self.edits), (2, length - 1 - 2 * self.edits), (least, 1)):
-            if 1 <= n <= length and needed > 0:
-                starts = starts[upto[n][starts + length - n + 1] - upto[n][starts] >= needed]
+        starts = starts[singles[starts + length] - singles[starts] >= length - self.edits]
+        for n, needed in ((2, length - 1 - 2 * self.edits), (self.longest_run(length), 1)):
+            if 2 <= n <= length and needed > 0 and len(starts):
+                at = np.zeros(len(words), bool)
+                for j in range(length - n + 1):
+                    at[starts + j] = True
+                upto = self.upto(words, n, np.flatnonzero(at))
+                starts = starts[upto[starts + length - n + 1] - upto[starts] >= needed]
         return starts
 
     def longest_run(self, length: int) -> int:
@@ -163,15 +178,14 @@ class _Windows:
         doc, own = np.divmod(pairs, n_own)
         return doc, own, np.concatenate([e for *_, e in found])[first]
 
-    def found(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def found(self, words: np.ndarray, ends: np.ndarray, single: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Start, item window and fewest edits of each place of a document that matches; ``ends``: where each word's
-        document ends. In blocks of starts, each with the windows of all lengths.
+        document ends; ``single``: whether some item has the word. In blocks of starts, each with the windows of all lengths.
         """
         starts, places = np.arange(len(words)), {}
-        lengths = range(max(1, self.width - self.edits), self.width + self.edits + 1)
-        upto = {n: self.known(words, n) for n in {1, 2, *map(self.longest_run, lengths)} if n}
-        for length in lengths:
-            places[length] = self.possible(starts[starts + length <= ends], length, upto)
+        singles = np.concatenate([[0], np.cumsum(np.isin(words, self.words) if single is None else single)])
+        for length in range(max(1, self.width - self.edits), self.width + self.edits + 1):
+            places[length] = self.possible(words, starts[starts + length <= ends], length, singles)
         every = np.unique(np.concatenate(list(places.values())))
         for i in range(0, len(every), _SLICE):
             first, last = every[i], every[min(i + _SLICE, len(every)) - 1]
@@ -221,21 +235,26 @@ class _Windows:
 
 class _Block:
     def __init__(self, items: list[tuple[int, str]], edits: int, recall: float):
-        known: dict[str, int] = {}
+        self.known = known = _Known()
         read = [(i, _hashes(alnum_words(t), known)) for i, t in items]
         read = [(i, w) for i, w in read if len(w)]
+        self.vocabulary = np.unique(np.concatenate([w for _, w in read])) if read else np.zeros(0, np.uint64)
         widths = {min(WINDOW, len(w)) for _, w in read}
         self.windows = [_Windows(k, [(i, w) for i, w in read if min(WINDOW, len(w)) == k], edits, recall) for k in sorted(widths)]
+        self.has = [np.isin(self.vocabulary, g.words) for g in self.windows]
 
     def scan(self, docs: list[tuple[int, list[str]]]) -> Iterator[tuple]:
-        known: dict[str, int] = {}
+        if len(self.known) > 500_000:
+            self.known.clear()
         lengths = [len(w) for _, w in docs]
-        words = _hashes([x for _, w in docs for x in w], known)
+        words = _hashes([x for _, w in docs for x in w], self.known)
         owner = np.repeat(np.arange(len(docs)), lengths)
         ends = np.cumsum(lengths)[owner]
         found: dict[tuple[int, int, int], list] = {}
+        place = np.minimum(np.searchsorted(self.vocabulary, words), max(0, len(self.vocabulary) - 1))
+        inside = self.vocabulary[place] == words if len(self.vocabulary) else np.zeros(len(words), bool)
         for g, group in enumerate(self.windows):
-            for part in group.found(words, ends):
+            for part in group.found(words, ends, inside & self.has[g][place]):
                 for at, w, e in zip(*part, strict=True):
                     entry = found.setdefault((owner[at], g, group.item[w]), [0, 0, set(), set()])
                     entry[0 if e == 0 else 1] += 1

@@ -32,6 +32,18 @@ def strata(manifest: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     return now.join(before, "source", "left").select("source", "seed", F.greatest("threshold", "_before").alias("threshold"))
 
 
+def remembered_thresholds(manifest: DataFrame, folder: str) -> DataFrame:
+    """source, threshold: the thresholds to pass as ``earlier``, kept in ``folder`` (of a file system all executors share).
+
+    Those of the manifest are added to the ones kept there, and the largest of a source counts; so a rate lowered in the
+    manifest never takes back what runs with this folder selected before.
+    """
+    spark = manifest.sparkSession
+    now = strata(manifest).select("source", "threshold")
+    spark.createDataFrame(now.collect(), now.schema).write.mode("append").parquet(folder)  # one row per source
+    return spark.read.schema(now.schema).parquet(folder).groupBy("source").agg(F.max("threshold").alias("threshold"))
+
+
 def stable_sample(examples: DataFrame, manifest: DataFrame, earlier: DataFrame | None = None, up_to_batch: int | None = None) -> DataFrame:
     """example_id, source, batch_no (the first that delivered it) and key_hash of the selected examples.
 

@@ -203,7 +203,7 @@ def test_reported_places_are_within_the_edits(edits):
     rng = random.Random(edits)
     items = [(i, " ".join(rng.choice(WORDS) for _ in range(12))) for i in range(8)]
     group = leaks._Block(items, edits, 0.95).windows[0]
-    known = {}
+    known = leaks._Known()
     text = [x for _, t in items for x in mutate(rng, t.split(), edits)]
     words = leaks._hashes(text, known)
     best = {}

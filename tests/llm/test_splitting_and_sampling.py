@@ -110,6 +110,15 @@ def test_sample_is_stable(spark):
     assert rates["c"].n_examples == 1000 and rates["c"].actual_share == 1.0 and rates["b"].n_selected == 0
 
 
+def test_thresholds_are_remembered(spark, tmp_path):
+    rows = spark.createDataFrame([(f"e{i}", "s", 1) for i in range(500)], "example_id string, source string, batch_no int")
+    rate = lambda r: manifest(spark, ("s", None, None, None, None, 7, r))
+    chosen = lambda m: {r.example_id for r in sampling.stable_sample(rows, m, sampling.remembered_thresholds(m, str(tmp_path / "t"))).collect()}
+    first, lowered, raised = chosen(rate(0.3)), chosen(rate(0.1)), chosen(rate(0.5))
+    assert first == lowered and first < raised and 100 < len(first) < 200
+    assert chosen(rate(0.2)) == raised
+
+
 def test_growth_adds_up(spark):
     m = manifest(spark, ("a", None, None, None, None, 7, 0.5))
     df = spark.createDataFrame([(str(i), "a", i % 3) for i in range(300)], "example_id string, source string, batch_no int")
