@@ -239,12 +239,12 @@ class CrossSplitOverlaps:
         rows = examples.select("example_id", "source", F.array_join(users, " ").alias("prompt")).filter(F.col("example_id").isNotNull() & (F.trim("prompt") != ""))
         rows = rows.join(splits, "source").select("example_id", "source", "split", (F.col("split") == "train").alias("is_train"), "prompt")
         rows = map_rows(rows, _normalise, "example_id string, source string, split string, is_train boolean, text string, numbers_key bigint, t1 bigint, t2 bigint, n_words int").filter("text <> ''")
-        self.rows = self.space.write(rows, "prompts")
+        self.rows, self._each = self.space.write(rows, "prompts"), None
         found = self.space.write(self._found(passages, portion), "found")
         both = F.array_distinct(F.flatten(F.collect_list("spans")))
         covered = F.aggregate(both, F.lit(0), lambda n, s: n + s["b"] - s["a"])  # passages of one prompt never overlap
         #: train1, train2, eval1, eval2, edits, covered_words: one row per pair of distinct texts.
-        self.pairs = found.filter("train1 is not null").groupBy("train1", "train2", "eval1", "eval2").agg(F.min("edits").alias("edits"), covered.alias("covered_words"))
+        self.pairs = self.space.write(found.filter("train1 is not null").groupBy("train1", "train2", "eval1", "eval2").agg(F.min("edits").alias("edits"), covered.alias("covered_words")), "pairs")
         #: eval1, eval2, covered_words: what training texts hold of each evaluation text, all of them together.
         self.covered = found.filter("train1 is null").groupBy("eval1", "eval2").agg(covered.alias("covered_words"))
 
@@ -299,7 +299,10 @@ class CrossSplitOverlaps:
         return dealt.mapInArrow(_scan, _FOUND)
 
     def _examples(self) -> DataFrame:
-        return self.rows.select("example_id", "source", "split", "is_train", "t1", "t2", "n_words").distinct()
+        """Each example and text once, written once."""
+        if self._each is None:
+            self._each = self.space.write(self.rows.select("example_id", "source", "split", "is_train", "t1", "t2", "n_words").distinct(), "examples")
+        return self._each
 
     def examples(self) -> DataFrame:
         """train_id, train_source, eval_id, eval_source, eval_split, edits, coverage: one row per pair of examples."""
@@ -327,11 +330,13 @@ class CrossSplitOverlaps:
             mates = sizes.filter(F.col("is_train") != is_train).select(F.col("t1").alias(f"{other}1"), F.col("t2").alias(f"{other}2"), "n")
             per = self.pairs.join(mates, [f"{other}1", f"{other}2"]).groupBy(F.col(f"{own}1").alias("t1"), F.col(f"{own}2").alias("t2")).agg(F.sum("n").alias("p"), F.min("edits").alias("e"))
             ends.append(per.withColumn("is_train", F.lit(is_train)))
-        hits = rows.join(ends[0].unionByName(ends[1]), ["is_train", "t1", "t2"]).groupBy("split", "source", "example_id").agg(F.sum("p").alias("p"), F.min("e").alias("e"))
-        hits = hits.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_overlapping"), F.count_if(F.col("e") == 0).alias("n_same"), F.sum("p").alias("n_pairs"))
-        part = self.covered.select(F.col("eval1").alias("t1"), F.col("eval2").alias("t2"), F.lit(False).alias("is_train"), "covered_words")
+        # One row for each text that has anything to report: its pairs, its least edits, and what of it is covered.
+        part = self.covered.select(F.col("eval1").alias("t1"), F.col("eval2").alias("t2"), F.lit(None).cast("bigint").alias("p"), F.lit(None).cast("int").alias("e"), F.lit(False).alias("is_train"), "covered_words")
+        texts = ends[0].unionByName(ends[1]).withColumn("covered_words", F.lit(None).cast("int")).unionByName(part)
+        texts = self.space.write(texts.groupBy("is_train", "t1", "t2").agg(F.max("p").alias("p"), F.max("e").alias("e"), F.max("covered_words").alias("covered_words")), "by-text")
         share = F.when(~F.col("is_train"), F.coalesce("covered_words", F.lit(0)) / F.col("n_words"))
-        each = rows.join(part, ["is_train", "t1", "t2"], "left").groupBy("split", "source", "example_id").agg(F.max(share).alias("c"))
-        every = each.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_examples"), F.round(F.avg("c"), 6).alias("mean_coverage"), F.count_if(F.col("c") >= 1).alias("n_covered"))
-        zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-        return every.join(hits, ["split", "source"], "left").select("split", "source", "n_examples", zero("n_overlapping"), zero("n_same"), zero("n_pairs"), "mean_coverage", "n_covered")
+        each = rows.join(texts, ["is_train", "t1", "t2"], "left").groupBy("split", "source", "example_id").agg(F.sum("p").alias("p"), F.min("e").alias("e"), F.max(share).alias("c"))
+        return each.groupBy("split", "source").agg(
+            F.count(F.lit(1)).alias("n_examples"), F.count("p").alias("n_overlapping"), F.count_if(F.col("e") == 0).alias("n_same"), F.coalesce(F.sum("p"), F.lit(0)).cast("bigint").alias("n_pairs"),
+            F.round(F.avg("c"), 6).alias("mean_coverage"), F.count_if(F.col("c") >= 1).alias("n_covered"),
+        )
